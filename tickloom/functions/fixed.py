@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column, functions as F
 
+from tickloom.functions.common import bind, groups
 from tickloom.schema import MAX_LONG, MAX_SCALE, MIN_LONG
 
 _WIDE = "decimal(38,0)"
@@ -141,24 +142,29 @@ def price_at_scale(text: Column, scale: int) -> Column:
 
     Works on the digit text, so numbers of more than 38 digits keep their meaning.
     """
-    def part(n: int) -> Column:
-        return F.regexp_extract(text, _PRICE, n)
-
-    fraction = F.concat(part(3), part(4))
-    digits = F.ltrim(F.concat(part(2), fraction), F.lit("0"))
-    core = F.rtrim(digits, F.lit("0"))
-    exponent = F.when(part(5) == "", F.lit(0).cast("bigint")).otherwise(part(5).try_cast("bigint"))
-    shift = (exponent - F.length(fraction) + F.lit(scale)
-             + F.length(digits) - F.length(core))
-    body = F.concat(part(1), core, F.repeat(F.lit("0"), shift.cast("int")))
-    wide = body.try_cast(_WIDE)
+    null = F.lit(None).cast("bigint")
+
+    def exact(g: Column) -> Column:
+        fraction = F.concat(g["g3"], g["g4"])
+        digits = F.ltrim(F.concat(g["g2"], fraction), F.lit("0"))
+        exponent = F.when(g["g5"] == "", F.lit(0).cast("bigint")).otherwise(g["g5"].try_cast("bigint"))
+        parts = F.struct(g["g1"].alias("sign"), digits.alias("digits"),
+                         F.rtrim(digits, F.lit("0")).alias("core"), exponent.alias("exponent"),
+                         F.length(fraction).alias("places"))
+        return bind(parts, scaled)
+
+    def scaled(d: Column) -> Column:
+        shift = (d["exponent"] - d["places"] + F.lit(scale) + F.length(d["digits"]) - F.length(d["core"]))
+        zeros = F.repeat(F.lit("0"), F.when(shift.between(0, 19), shift).otherwise(0).cast("int"))
+        wide = F.concat(d["sign"], d["core"], zeros).try_cast(_WIDE)
+        return (F.when(~d["exponent"].between(-2147483647, 2147483647), null)
+                .when(d["core"] == "", F.lit(0).cast("bigint"))
+                .when((shift < 0) | (F.length(d["core"]) + shift > 19), null)
+                .when(fits_long(wide), wide.cast("bigint")))
+
     # Short plain numbers, nearly every cell of a real file, take one pattern and one cast.
     plain = rf"^-?[0-9]{{1,15}}(\.[0-9]{{1,{scale}}})?\z" if scale else r"^-?[0-9]{1,15}\z"
     quick = (text.try_cast(f"decimal({15 + scale},{scale})")
              * F.lit(Decimal(10 ** scale)).cast("decimal(19,0)")).cast("bigint")
     return (F.when(text.rlike(plain) & F.lit(scale <= 3), quick)
-            .when(~text.rlike(_PRICE), _null().cast("bigint"))
-            .when(~exponent.between(-2147483647, 2147483647), _null().cast("bigint"))
-            .when(core == "", F.lit(0).cast("bigint"))
-            .when((shift < 0) | (F.length(core) + shift > 19), _null().cast("bigint"))
-            .when(fits_long(wide), wide.cast("bigint")))
+            .when(text.rlike(_PRICE), bind(groups(text, _PRICE, 5), exact)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tickloom.functions.common import bind
+
 # Patterns of values that must not leave the system, and the replacement.
 MESSAGE_SECRET = r"(?i)(password|token|secret|api[_-]?key)\s*[:=]\s*[^,\s]+"
 PAYLOAD_SECRET = (r"""(?i)(password|token|secret|api[_-]?key)(?:"|')?\s*[=:]\s*"""
@@ -36,11 +38,6 @@ def upper_venue(venue: Column) -> Column:
     return F.upper(venue)
 
 
-def bind(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def redact_message(text: Column) -> Column:
     """Safe failure message: one line, secrets replaced, at most 512 characters and ``...``."""
     line = F.when(text.isNull() | is_blank(text), F.lit("unspecified failure")) \

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from tickloom.functions.common import bind, groups
 from tickloom.functions.fixed import long_parse
 
 _EPOCH = "1970-01-01"
@@ -27,26 +28,30 @@ def iso_parse(text: Column) -> Column:
     ``24:00:00`` is the next midnight and a leap second counts as second 59.  An instant before the
     epoch or beyond the 64-bit range is NULL as well.
     """
-    def part(n: int) -> Column:
-        return F.regexp_extract(text, _ISO, n)
-
-    def number(n: int) -> Column:
-        return F.coalesce(part(n).try_cast("bigint"), F.lit(0))
-
-    days = F.date_diff(part(1).try_cast("date"), F.lit(_EPOCH).cast("date")).cast("bigint")
-    hour, minute, second = number(2), number(3), number(4)
-    fraction = F.rpad(part(5), 9, "0").cast("bigint")
-    leap = (hour == 23) & (minute == 59) & (second == 60)
-    midnight = (hour == 24) & (minute == 0) & (second == 0) & (fraction == 0)
-    valid = midnight | ((hour <= 23) & (minute <= 59) & ((second <= 59) | leap))
-    off_hour, off_minute, off_second = number(7), number(8), number(9)
-    offset = off_hour * 3600 + off_minute * 60 + off_second
-    off_valid = (off_minute <= 59) & (off_second <= 59) & (offset <= 18 * 3600)
-    seconds = (days * _DAY + hour * 3600 + minute * 60
-               + F.least(second, F.lit(59).cast("bigint"))
-               - F.when(part(6) == "-", -offset).otherwise(offset))
-    nanos = F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction)
-    return F.when(text.rlike(_ISO) & days.isNotNull() & valid & off_valid & (nanos >= 0), nanos)
+    def number(value: Column) -> Column:
+        return F.coalesce(value.try_cast("bigint"), F.lit(0))
+
+    def instant(g: Column) -> Column:
+        days = F.date_diff(g["g1"].try_cast("date"), F.lit(_EPOCH).cast("date")).cast("bigint")
+        return bind(F.struct(
+            days.alias("days"), number(g["g2"]).alias("hour"), number(g["g3"]).alias("minute"),
+            number(g["g4"]).alias("second"), F.rpad(g["g5"], 9, "0").cast("bigint").alias("fraction"),
+            (g["g6"] == "-").alias("west"), number(g["g7"]).alias("oh"), number(g["g8"]).alias("om"),
+            number(g["g9"]).alias("os")), nanos_of)
+
+    def nanos_of(t: Column) -> Column:
+        leap = (t["hour"] == 23) & (t["minute"] == 59) & (t["second"] == 60)
+        midnight = (t["hour"] == 24) & (t["minute"] == 0) & (t["second"] == 0) & (t["fraction"] == 0)
+        valid = midnight | ((t["hour"] <= 23) & (t["minute"] <= 59) & ((t["second"] <= 59) | leap))
+        offset = t["oh"] * 3600 + t["om"] * 60 + t["os"]
+        off_valid = (t["om"] <= 59) & (t["os"] <= 59) & (offset <= 18 * 3600)
+        seconds = (t["days"] * _DAY + t["hour"] * 3600 + t["minute"] * 60
+                   + F.least(t["second"], F.lit(59).cast("bigint"))
+                   - F.when(t["west"], -offset).otherwise(offset))
+        nanos = F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), t["fraction"])
+        return F.when(valid & off_valid & (nanos >= 0), nanos)
+
+    return F.when(text.rlike(_ISO), bind(groups(text, _ISO, 9), instant))
 
 
 def iso_utc(nanos: Column) -> Column:

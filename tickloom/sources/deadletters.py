@@ -1,0 +1,5 @@
+"""Quarantine files as a source."""
+
+from tickloom.sinks.files import read_dead_letters
+
+__all__ = ["read_dead_letters"]
