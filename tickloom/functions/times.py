@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from tickloom.functions.common import bind, groups
 from tickloom.functions.fixed import long_parse
 
 _EPOCH = "1970-01-01"
@@ -18,8 +17,8 @@ def nanos_parse(text: Column) -> Column:
     return F.when(value >= 0, value)
 
 
-_ISO = (r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt]([0-9]{2}):([0-9]{2}):([0-9]{2})(?:\.([0-9]{0,9}))?"
-        r"(?:[Zz]|([+-])([0-9]{2}):([0-9]{2})(?::([0-9]{2}))?)\z")
+_ISO = (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[Tt][0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]{0,9})?"
+        r"(?:[Zz]|[+-][0-9]{2}:[0-9]{2}(?::[0-9]{2})?)\z")
 
 
 def iso_parse(text: Column) -> Column:
@@ -28,30 +27,32 @@ def iso_parse(text: Column) -> Column:
     ``24:00:00`` is the next midnight and a leap second counts as second 59.  An instant before the
     epoch or beyond the 64-bit range is NULL as well.
     """
-    def number(value: Column) -> Column:
-        return F.coalesce(value.try_cast("bigint"), F.lit(0))
-
-    def instant(g: Column) -> Column:
-        days = F.date_diff(g["g1"].try_cast("date"), F.lit(_EPOCH).cast("date")).cast("bigint")
-        return bind(F.struct(
-            days.alias("days"), number(g["g2"]).alias("hour"), number(g["g3"]).alias("minute"),
-            number(g["g4"]).alias("second"), F.rpad(g["g5"], 9, "0").cast("bigint").alias("fraction"),
-            (g["g6"] == "-").alias("west"), number(g["g7"]).alias("oh"), number(g["g8"]).alias("om"),
-            number(g["g9"]).alias("os")), nanos_of)
-
-    def nanos_of(t: Column) -> Column:
-        leap = (t["hour"] == 23) & (t["minute"] == 59) & (t["second"] == 60)
-        midnight = (t["hour"] == 24) & (t["minute"] == 0) & (t["second"] == 0) & (t["fraction"] == 0)
-        valid = midnight | ((t["hour"] <= 23) & (t["minute"] <= 59) & ((t["second"] <= 59) | leap))
-        offset = t["oh"] * 3600 + t["om"] * 60 + t["os"]
-        off_valid = (t["om"] <= 59) & (t["os"] <= 59) & (offset <= 18 * 3600)
-        seconds = (t["days"] * _DAY + t["hour"] * 3600 + t["minute"] * 60
-                   + F.least(t["second"], F.lit(59).cast("bigint"))
-                   - F.when(t["west"], -offset).otherwise(offset))
-        nanos = F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), t["fraction"])
-        return F.when(valid & off_valid & (nanos >= 0), nanos)
-
-    return F.when(text.rlike(_ISO), bind(groups(text, _ISO, 9), instant))
+    def number(start: Column | int, width: int) -> Column:
+        start = start if isinstance(start, Column) else F.lit(start)
+        return F.substring(text, start, F.lit(width)).try_cast("bigint")
+
+    # The pattern fixes every place, so one match and plain substrings are enough.
+    size = F.length(text)
+    west = F.substring(text, size - 5, F.lit(1))
+    short = west.isin("+", "-")
+    zone = F.when(F.lower(F.right(text, F.lit(1))) == "z", 1).when(short, 6).otherwise(9)
+    sign = F.when(short, west).otherwise(F.substring(text, size - 8, F.lit(1)))
+    start = size - zone + 1
+    offset = (F.when(zone == 1, F.lit(0).cast("bigint"))
+              .otherwise(number(start + 1, 2) * 3600 + number(start + 4, 2) * 60
+                         + F.when(zone == 9, number(start + 7, 2)).otherwise(F.lit(0))))
+    off_valid = ((zone == 1) | ((number(start + 4, 2) <= 59)
+                                & ((zone == 6) | (number(start + 7, 2) <= 59)) & (offset <= 18 * 3600)))
+    days = F.date_diff(F.substring(text, 1, 10).try_cast("date"), F.lit(_EPOCH).cast("date")).cast("bigint")
+    hour, minute, second = number(12, 2), number(15, 2), number(18, 2)
+    fraction = F.rpad(F.substring(text, F.lit(21), F.greatest(size - 20 - zone, F.lit(0))), 9, "0").try_cast("bigint")
+    leap = (hour == 23) & (minute == 59) & (second == 60)
+    midnight = (hour == 24) & (minute == 0) & (second == 0) & (fraction == 0)
+    valid = midnight | ((hour <= 23) & (minute <= 59) & ((second <= 59) | leap))
+    seconds = (days * _DAY + hour * 3600 + minute * 60 + F.least(second, F.lit(59).cast("bigint"))
+               - F.when(sign == "-", -offset).otherwise(offset))
+    nanos = F.try_add(F.try_multiply(seconds, F.lit(_NANOS).cast("bigint")), fraction)
+    return F.when(text.rlike(_ISO), F.when(valid & off_valid, F.when(nanos >= 0, nanos)))
 
 
 def iso_utc(nanos: Column) -> Column:

@@ -299,7 +299,7 @@ def csv_style_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         "quantity": F.when(k == 7, "0").when(k == 8, " 5").otherwise(F.col("l_quantity").cast("bigint").cast("string")),
         "side": F.col("l_returnflag"),
     }
-    staged = V.table(spark, sf_dir, "lineitem").select(
+    staged = V.spread(V.table(spark, sf_dir, "lineitem")).select(
         number.cast("bigint").alias("n"), "l_partkey", "l_suppkey", *[c.alias(f"cell {n}") for n, c in cells.items()])
     out = map_trades(staged, {n: F.col(f"`cell {n}`") for n in cells}, F.col("n"), F.col("n"), LINE_CONFIG)
     ok = F.col("_issue").isNull()
@@ -397,11 +397,11 @@ def capture_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key, number = F.col("o_orderkey"), F.col("l_orderkey") * 10 + F.col("l_linenumber")
     h = V.hex_long
-    add = V.table(spark, sf_dir, "orders").select(F.unhex(F.concat(
+    add = V.spread(V.table(spark, sf_dir, "orders")).select(F.unhex(F.concat(
         F.lit("002F41"), h(key + 1, 8), h(V.nanos("o_orderdate"), 8), h(key, 8),
         F.hex(F.encode(F.rpad(V.customer_symbol(), 8, " "), "US-ASCII")), F.lit("42"), h(F.lit(80), 4),
         h(V.cents("o_totalprice"), 8))).cast("string").alias("value"))
-    less = V.table(spark, sf_dir, "lineitem").select(F.unhex(F.concat(
+    less = V.spread(V.table(spark, sf_dir, "lineitem")).select(F.unhex(F.concat(
         F.lit("001D"), F.when(F.col("l_returnflag") == "R", "43").otherwise("45"), h(number + 1, 8),
         h(V.nanos("l_shipdate"), 8), h(F.col("l_orderkey"), 8),
         F.substring(h(F.col("l_quantity"), 4), 3, 6))).cast("string").alias("value"))
@@ -498,7 +498,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x,
   {s_plain('cents', 2)} AS decimal_text, at_ns::VARCHAR AS nanos_text, at_ns AS nanos_long FROM t""")
 def cast_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("l_partkey") % 8
-    base = V.table(spark, sf_dir, "lineitem").select(
+    base = V.spread(V.table(spark, sf_dir, "lineitem")).select(
         *V.LINE_KEY, k.alias("k"), F.col("l_quantity").cast("bigint").alias("q"), V.nanos("l_shipdate").alias("at_ns"),
         fixed(V.cents("l_extendedprice"), 2).alias("price"))
     q = F.col("q").cast("string")
@@ -517,8 +517,8 @@ def cast_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         cast(F.col("q"), "INT64", "STRING").alias("long_text"),
         fd_plain(cast(F.col("q"), "INT64", "FIXED_DECIMAL")).alias("long_decimal"),
         cast(F.col("price"), "FIXED_DECIMAL", "STRING").alias("decimal_text"),
-        cast(F.col("at"), "TIMESTAMP_NANOS", "STRING").alias("nanos_text"),
-        cast(F.col("at"), "TIMESTAMP_NANOS", "INT64").alias("nanos_long"))
+        cast(F.col("at_ns"), "TIMESTAMP_NANOS", "STRING").alias("nanos_text"),
+        cast(F.col("at_ns"), "TIMESTAMP_NANOS", "INT64").alias("nanos_long"))
 
 
 CHOICE = C.all_of(
@@ -592,7 +592,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
 def fixed_decimal_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = V.cents("l_extendedprice")
     b = a * 10 + F.col("l_suppkey") % 3 - 1
-    base = V.table(spark, sf_dir, "lineitem").select(
+    base = V.spread(V.table(spark, sf_dir, "lineitem")).select(
         *V.LINE_KEY, fixed(a, 2).alias("a"), fixed(b, F.col("l_partkey") % 19).alias("b"), fixed(b, 3).alias("c"))
     return base.select(*V.LINE_KEY, fd_compare(F.col("a"), F.col("b")).alias("by_scale"),
                        fd_compare(F.col("a"), F.col("c")).alias("near"))
@@ -663,7 +663,7 @@ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, x AS plain, -cents AS man
        WHEN s = 7 AND cents % 100000 = 0 THEN -cents // 100000 WHEN s = 8 AND cents % 1000000 = 0 THEN -cents // 1000000
        WHEN s = 9 AND cents % 10000000 = 0 THEN -cents // 10000000 END AS price FROM t""")
 def decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = V.table(spark, sf_dir, "lineitem").select(
+    base = V.spread(V.table(spark, sf_dir, "lineitem")).select(
         *V.LINE_KEY, fixed(-V.cents("l_extendedprice"), F.col("l_partkey") % 19).alias("fd"))
     base = base.withColumn("plain", fd_plain(F.col("fd")))
     parsed = base.withColumn("back", fd_parse(F.col("plain")))
@@ -886,7 +886,7 @@ def credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in KEYS])
     a = F.element_at(names, (F.col("doc_id") % 8 + 1).cast("int"))
     b = F.element_at(names, (F.call_function("div", F.col("doc_id"), F.lit(8).cast("bigint")) % 8 + 1).cast("int"))
-    docs = V.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(
+    docs = V.spread(V.table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), F.concat(
         F.lit('{"note":'), json_string(F.concat(F.lit('"password": '), F.col("text"))), F.lit(',"'), a,
         F.lit('":[{"'), b, F.lit('":1},2]}')).alias("doc"))
     events = V.table(spark, sf_dir, "events").select((-1 - F.col("event_id")).alias("id"), F.col("props").alias("doc"))
@@ -907,7 +907,7 @@ def documents_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(k == 4, F.concat(F.lit('{"$schema":5,"title":'), text, F.lit("}")))
            .when(k == 5, F.lit("null")).when(k == 6, F.lit("not json"))
            .otherwise(F.concat(F.lit('{"$schema":"https://json-schema.org/draft/2020-12/schema","title":'), text, F.lit("}"))))
-    df = V.table(spark, sf_dir, "documents").select("doc_id", doc.alias("doc"))
+    df = V.spread(V.table(spark, sf_dir, "documents")).select("doc_id", doc.alias("doc"))
     return check_document(df, "doc").select("doc_id", F.col("document_issue").alias("issue"))
 
 

@@ -20,6 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share a scan of few row groups among all cores before CPU-bound expressions.
+
+    Only a scan with fewer partitions than the cluster has cores is shuffled, so a large table never
+    is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder below the cluster's shared checkpoint folder; a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -72,7 +82,7 @@ def order_side() -> Column:
 def adds(spark: SparkSession, sf_dir: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """ORDER_ADDED events, one per order."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         "o_orderkey", *extra,
         metadata(F.lit("orders"), key + 1, F.lit("XTPC"), nanos("o_orderdate"),
                  F.concat(F.lit("orders:"), key.cast("string"))).alias("metadata"),
@@ -88,7 +98,7 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRADE events, one per line item; the aggressor is absent for return flag N."""
     flag = F.col("l_returnflag")
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         *LINE_KEY,
         metadata(F.lit("lineitem"), number, F.lit("XTPC"), nanos("l_shipdate"),
                  F.concat(F.lit("lineitem:"), number.cast("string"))).alias("metadata"),
@@ -176,7 +186,7 @@ def order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical JSON lines of trades from events, with one fault kind per id modulo 23."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     k, key = F.col("event_id") % 23, F.col("event_id")
     source = F.concat(F.lit("user/"), F.col("user_id").cast("string"))
 
@@ -230,10 +240,10 @@ def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(k == 9, F.lit("0000")).when(k == 10, F.lit("00"))
             .when(k == 11, F.concat(F.lit("0030"), body, F.lit("00")))
             .otherwise(F.concat(F.lit("002F"), body)))
-    add = table(spark, sf_dir, "orders").select(
+    add = spread(table(spark, sf_dir, "orders")).select(
         key.alias("k1"), F.lit(0).cast("bigint").alias("k2"), F.unhex(text).alias("frame"))
     number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    less = table(spark, sf_dir, "lineitem").select(
+    less = spread(table(spark, sf_dir, "lineitem")).select(
         F.col("l_orderkey").alias("k1"), number.alias("k2"),
         F.unhex(F.concat(F.lit("001D"), F.when(F.col("l_returnflag") == "R", "43").otherwise("45"),
                          hex_long(number, 8), hex_long(nanos("l_shipdate"), 8), hex_long(F.col("l_orderkey"), 8),
@@ -243,7 +253,7 @@ def frame_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and all conversation turns, whole."""
-    docs = table(spark, sf_dir, "documents").select(
+    docs = spread(table(spark, sf_dir, "documents")).select(
         F.lit("documents").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"), "text")
     return docs.unionByName(table(spark, sf_dir, "conversations").select(
         F.lit("conversations").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))

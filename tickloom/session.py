@@ -11,6 +11,9 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # HotSpot never compiles methods above 8,000 bytes of bytecode.  Wide rule lists would end up in one
+    # such method and run interpreted; below this limit Spark splits them into small methods instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # A repeated member of a JSON object keeps its last value instead of failing the line.
     "spark.sql.variant.allowDuplicateKeys": "true",
 }

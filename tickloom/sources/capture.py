@@ -7,8 +7,9 @@ parallel.  Frames leave the task in batches.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.sources.frames import BAD_LENGTH, TOO_LARGE, TRUNCATED
@@ -19,29 +20,24 @@ MAX_FRAME = 65537
 BATCH_FRAMES = 20_000
 
 
-def _split(content: bytes, max_frame: int) -> Iterator[tuple[bytes | None, str | None, str | None]]:
+def _split(content: memoryview, max_frame: int) -> Iterator[tuple[bytes | None, str | None, str | None]]:
     """(frame, reason, detail) in file order; a bad length is reported and skipped."""
-    view, at, end = memoryview(content), 0, len(content)
+    at, end = 0, len(content)
     while at < end:
         if end - at < 2:
             yield None, TRUNCATED, f"STP frame requires 2 bytes but only {end - at} are available"
             return
-        length = int.from_bytes(view[at:at + 2], "big")
+        length = (content[at] << 8) | content[at + 1]
+        size = length + 2
         if length < 1:
             yield None, BAD_LENGTH, f"encoded length must be between 1 and 65535: {length}"
-            at += 2
-            continue
-        size = length + 2
-        if size > max_frame:
-            yield None, TOO_LARGE, (f"STP frame declares {size} bytes but configured maximum is {max_frame}")
-            if at + size > end:
-                yield None, TRUNCATED, (f"STP frame requires {size} bytes but only {end - at} are available")
-                return
-        elif at + size > end:
+        elif size > max_frame:
+            yield None, TOO_LARGE, f"STP frame declares {size} bytes but configured maximum is {max_frame}"
+        if at + size > end:
             yield None, TRUNCATED, f"STP frame requires {size} bytes but only {end - at} are available"
             return
-        else:
-            yield bytes(view[at:at + size]), None, None
+        if 1 <= length and size <= max_frame:
+            yield bytes(content[at:at + size]), None, None
         at += size
 
 
@@ -57,23 +53,24 @@ def split_capture(spark: SparkSession, path: str | list[str], max_frame: int = M
     files = spark.read.format("binaryFile").load(paths).select(
         F.col("_metadata.file_path").alias(FILE), "content")
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch[FILE], batch["content"]):
-                rows = []
-                for number, (frame, reason, detail) in enumerate(_split(content, max_frame), 1):
-                    rows.append((name, number, frame, reason, detail))
-                    if len(rows) == BATCH_FRAMES:
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    return files.mapInPandas(split, FRAME_SCHEMA)
-
-
-def _batch(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[FILE, "frame_number", "frame", "reason", "detail"])
+            for name, content in zip(batch.column(0), batch.column(1)):
+                frames = _split(memoryview(content.as_buffer()), max_frame)
+                start = 1
+                while rows := list(islice(frames, BATCH_FRAMES)):
+                    yield _batch(name.as_py(), start, rows)
+                    start += len(rows)
+
+    return files.mapInArrow(split, FRAME_SCHEMA)
+
+
+def _batch(name: str, start: int, rows: list[tuple]) -> pa.RecordBatch:
+    frame, reason, detail = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([name] * len(rows), pa.string()), pa.array(range(start, start + len(rows)), pa.int64()),
+         pa.array(frame, pa.binary()), pa.array(reason, pa.string()), pa.array(detail, pa.string())],
+        names=[FILE, "frame_number", "frame", "reason", "detail"])
 
 
 def split_errors(split: DataFrame) -> tuple[DataFrame, DataFrame]:

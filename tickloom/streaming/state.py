@@ -19,7 +19,9 @@ from tickloom.schema import MAX_LONG
 
 
 def _in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(chunks), ignore_index=True).sort_values(order, kind="stable", ignore_index=True)
+    parts = list(chunks)
+    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+    return rows.iloc[np.lexsort([rows[c].to_numpy() for c in reversed(order)])].reset_index(drop=True)
 
 
 def _longs(values: list, present: np.ndarray) -> pd.arrays.IntegerArray:
@@ -60,33 +62,64 @@ def numpy_int(values: np.ndarray) -> np.ndarray:
 
 def order_state_stream(df: DataFrame, source: str = "source", order_id: str = "order_id",
                        kind: str = "kind", quantity: str = "quantity", symbol: str = "symbol",
-                       order: str | list[str] = "arrival") -> DataFrame:
-    """``order_state`` on a stream; an order's state is its symbol and remainder, gone once closed."""
+                       order: str | list[str] = "arrival", buckets: int = 1024) -> DataFrame:
+    """``order_state`` on a stream.
+
+    Most orders have a few rows, so state is kept per (source, bucket of order ids) as the bucket's
+    open orders (id, symbol, remainder): one call handles many orders.  A closed order leaves the state.
+    More ``buckets`` make smaller states; the number must stay the same for a checkpoint's life.
+    """
     order = [order] if isinstance(order, str) else list(order)
     schema = T.StructType(df.schema.fields + [
         T.StructField("remaining", T.LongType()), T.StructField("open_symbol", T.StringType())])
     names = df.columns
 
     def follow(key, chunks, state):
-        rows = _in_order(chunks, order)
-        is_add = (rows[kind] == ADD).to_numpy()
-        less = np.where(rows[kind].isin([EXECUTE, CANCEL]), rows[quantity].fillna(0), 0).astype("int64")
-        taken = np.concatenate(([0], np.cumsum(less)))
-        # Slot 0 is the state before the batch; slot i + 1 is the Add in row i.
-        symbols = np.concatenate(([state.get[0] if state.exists else None], rows[symbol].to_numpy(dtype=object)))
-        sizes = np.concatenate(([state.get[1] if state.exists else 0],
-                                np.where(is_add, rows[quantity].fillna(0), 0).astype("int64")))
-        taken_at = np.concatenate(([0], taken[:-1]))
-        slots = np.maximum.accumulate(np.concatenate(([0], np.where(is_add, np.arange(1, len(rows) + 1), 0))))
-        left = sizes[slots] - (taken - taken_at[slots])
-        before, used = left[:-1], slots[:-1]
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        ids, group = np.unique(rows[order_id].to_numpy(dtype="int64"), return_inverse=True)
+        old_ids, old_symbols, old_left = ((np.asarray(state.get[0], dtype="int64"),
+                                           np.asarray(state.get[1], dtype=object),
+                                           np.asarray(state.get[2], dtype="int64")) if state.exists else
+                                          (np.empty(0, "int64"), np.empty(0, object), np.empty(0, "int64")))
+        slot = pd.Index(old_ids).get_indexer(ids)
+        known = slot >= 0
+        # One row per order stands for the state before the batch and acts as its first Add.
+        first_size, first_symbol = np.zeros(len(ids), "int64"), np.full(len(ids), None, dtype=object)
+        first_size[known], first_symbol[known] = old_left[slot[known]], old_symbols[slot[known]]
+        groups = np.concatenate((np.arange(len(ids)), group))
+        real = np.concatenate((np.zeros(len(ids), bool), np.ones(len(rows), bool)))
+        keys = [np.concatenate((np.repeat(v[:1], len(ids)), v)) for v in
+                (rows[c].to_numpy() for c in reversed(order))]
+        at = np.lexsort((*keys, real, groups))
+        is_add = np.concatenate((np.ones(len(ids), bool), (rows[kind] == ADD).to_numpy()))[at]
+        amount = rows[quantity].fillna(0).to_numpy(dtype="int64")
+        less = np.concatenate((np.zeros(len(ids), "int64"),
+                               np.where(rows[kind].isin([EXECUTE, CANCEL]), amount, 0)))[at]
+        sizes = np.concatenate((first_size, amount))[at]
+        symbols = np.concatenate((first_symbol, rows[symbol].to_numpy(dtype=object)))[at]
+        taken = np.cumsum(less)
+        adds = np.maximum.accumulate(np.where(is_add, np.arange(len(at)), 0))
+        left = sizes[adds] - (taken - taken[adds])
+        spot = np.flatnonzero(real[at])
+        before, owner = left[spot - 1], symbols[adds[spot - 1]]
         is_open = before > 0
-        if left[-1] > 0:
-            state.update((symbols[slots[-1]], int(left[-1])))
+        # What stays open: the last row of each order, and old orders this batch did not touch.
+        last = np.append(np.flatnonzero(np.diff(groups[at])), len(at) - 1)
+        stays = left[last] > 0
+        rest = np.ones(len(old_ids), bool)
+        rest[slot[known]] = False
+        new = (np.concatenate((old_ids[rest], ids[stays])),
+               np.concatenate((old_symbols[rest], symbols[adds[last]][stays])),
+               np.concatenate((old_left[rest], left[last][stays])))
+        if len(new[0]):
+            state.update(tuple(part.tolist() for part in new))
         elif state.exists:
             state.remove()
-        yield rows[names].assign(remaining=_longs(before, is_open),
-                                 open_symbol=np.where(is_open, symbols[used], None))
+        out = rows[names].iloc[at[spot] - len(ids)].reset_index(drop=True)
+        yield out.assign(remaining=_longs(before, is_open), open_symbol=np.where(is_open, owner, None))
 
-    return df.groupBy(source, order_id).applyInPandasWithState(
-        follow, schema, "symbol string, remaining long", "append", GroupStateTimeout.NoTimeout)
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(order_id), F.lit(buckets)))
+    return bucketed.groupBy(source, "__bucket").applyInPandasWithState(
+        follow, schema, "ids array<bigint>, symbols array<string>, remaining array<bigint>", "append",
+        GroupStateTimeout.NoTimeout)
