@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.functions.fixed import (
     fd_parse, fd_parse_error, fd_plain, fd_rescale, fd_rescale_error, fixed, long_parse,
 )
@@ -403,7 +404,7 @@ def apply_transformation(df: DataFrame, rules: dict | list[dict], limits: Limits
         fold.doc.struct().alias(DOCUMENT),
         F.coalesce(failed["status"], F.lit(TRANSFORMED)).alias(STATUS),
         failure.alias(FAILURE))
-    return out if keep_filtered else out.filter(F.col(STATUS) != FILTERED)
+    return out if keep_filtered else keep(out, F.col(STATUS) != FILTERED)
 
 
 # -- one function per operation ---------------------------------------------------------------
@@ -470,9 +471,9 @@ def field(path: str) -> Column:
 
 def transformed(df: DataFrame) -> DataFrame:
     """Rows that passed every operation."""
-    return df.filter(F.col(STATUS) == TRANSFORMED)
+    return keep(df, F.col(STATUS) == TRANSFORMED)
 
 
 def failed(df: DataFrame) -> DataFrame:
     """Rows with a failure."""
-    return df.filter(F.col(STATUS) == FAILED)
+    return keep(df, F.col(STATUS) == FAILED)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.functions.ids import event_id
 from tickloom.functions.text import trim_symbol, upper_venue
 from tickloom.schema import EVENT_TYPES, MAX_QUANTITY, MAX_SCALE
@@ -189,5 +190,5 @@ def normalized(df: DataFrame) -> DataFrame:
 def validate_events(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid events, rejected rows with ``_issue``)."""
     checked = with_validation(df)
-    return (normalized(checked.filter(F.col("_issue").isNull()).drop("_issue")),
-            checked.filter(F.col("_issue").isNotNull()))
+    return (normalized(keep(checked, F.col("_issue").isNull()).drop("_issue")),
+            keep(checked, F.col("_issue").isNotNull()))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tickloom.functions.common import keep
 from tickloom.functions.fixed import fd_compare, fd_parse, fd_plain, fixed, price_at_scale
 from tickloom.functions.ids import DEAD_LETTER_DOMAIN, EVENT_ID_DOMAIN, event_id
 from tickloom.functions.jsontext import json_string, json_value
@@ -28,7 +29,7 @@ from tickloom.sinks.files import write_csv, write_dead_letters, write_jsonl
 from tickloom.sources.capture import split_capture, split_errors
 from tickloom.sources.csv import CsvConfig, map_trades, read_trades_csv
 from tickloom.sources.deadletters import read_dead_letters
-from tickloom.sources.frames import decode_columns
+from tickloom.sources.frames import decode_columns, decode_frames
 from tickloom.sources.jsonl import parse_event_lines
 from tickloom.streaming.state import order_state_stream, sequence_integrity_stream
 
@@ -188,14 +189,14 @@ v AS (SELECT *, CASE
 SELECT o_orderkey, eid AS event_id, 'XTPC' AS venue, symbol, {s_plain('cents', 2)} AS price FROM v
 WHERE reason IS NULL""")
 def validate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = with_validation(V.faulty_adds(spark, sf_dir)).filter(F.col("_issue").isNull())
+    good = keep(with_validation(V.faulty_adds(spark, sf_dir)), F.col("_issue").isNull())
     return normalized(good).select(
         "o_orderkey", F.col("metadata.eventId").alias("event_id"), F.col("metadata.venue").alias("venue"),
         F.col("instrument.symbol").alias("symbol"), fd_plain(F.col("payload.price")).alias("price"))
 
 
 def rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_validation(V.faulty_adds(spark, sf_dir)).filter(F.col("_issue").isNotNull()).withColumns({
+    return keep(with_validation(V.faulty_adds(spark, sf_dir)), F.col("_issue").isNotNull()).withColumns({
         "reason": F.col("_issue.reason"), "detail": F.col("_issue.detail")})
 
 
@@ -408,7 +409,7 @@ def capture_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = V.scratch(spark, "capture")
     add.unionByName(less).write.text(path)
     frames, _ = split_errors(split_capture(spark, path))
-    d = decode_columns(frames).filter(F.col("_issue").isNull())
+    d, _ = decode_frames(frames)
     return d.select("kind", "sequence", "order_id", "quantity", fd_plain(F.col("price")).alias("price"))
 
 
@@ -941,7 +942,7 @@ UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'INVALID_SIDE' FROM lineitem WHER
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = V.scratch(spark, "csv")
     write_csv(V.trades(spark, sf_dir), path, TRADE_COLUMNS)
-    events, errors = read_trades_csv(spark, path, TRADE_CONFIG)
+    events, errors = read_trades_csv(spark, path, TRADE_CONFIG, quoted_line_breaks=False)
     good = events.select(
         F.col("metadata.exchangeTimestamp").alias("at_ns"), F.col("instrument.symbol").alias("symbol"),
         F.col("payload.price.mantissa").alias("cents"), F.col("payload.quantity").alias("quantity"),

@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.operators.blueprint import BLUEPRINT_FAILURE, render_blueprint
 from tickloom.operators.deadletter import DeadLetterConfig, FAIL_FAST, SKIP, dead_letters, quarantine
 from tickloom.operators.report import COUNTERS, failure_sample, run_counters, sequence_counters
@@ -69,8 +70,8 @@ def read_capture_input(spark: SparkSession, path: str, source: str, venue: str,
         "source_location", F.concat(F.col(FILE), F.lit(":frame "), F.col("frame_number").cast("string")))
     framed = split.filter(F.col("reason").isNull()).drop("reason", "detail")
     decoded = decode_columns(framed)
-    fine = decoded.filter(F.col("_issue").isNull()).drop("_issue")
-    bad = decoded.filter(F.col("_issue").isNotNull()).select(
+    fine = keep(decoded, F.col("_issue").isNull()).drop("_issue")
+    bad = keep(decoded, F.col("_issue").isNotNull()).select(
         FILE, "frame_number", "source_location", "frame",
         F.lit("").alias("reason"), F.col("_issue.detail").alias("detail"))
     framing = split.filter(F.col("reason").isNotNull()).select(
@@ -118,7 +119,7 @@ def process_events(events: DataFrame, rules: dict | list | None = None,
 
 def event_failures(processed: DataFrame) -> DataFrame:
     """Failed events of the transform and blueprint stages in the shape of reading failures."""
-    return processed.filter(F.col("state") == "FAILED").select(
+    return keep(processed, F.col("state") == "FAILED").select(
         FILE, "position", F.concat("source_location", "below").alias("source_location"), "stage", "detail",
         "source_text", F.lit(None).cast("binary").alias("frame"),
         F.col("metadata.eventId").alias("event"))
@@ -159,7 +160,7 @@ def run(inputs: Inputs, output: str, rules: dict | list | None = None, blueprint
     if config is not None and config.policy == FAIL_FAST:
         stopped = counted["failed"] > 0
     if not stopped:
-        good = processed.filter(F.col("state") == "EMITTED")
+        good = keep(processed, F.col("state") == "EMITTED")
         if csv is None:
             write_jsonl(good, output)
         else:

@@ -6,15 +6,20 @@ parallel.  Frames leave the task in batches.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from itertools import islice
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.sources.frames import BAD_LENGTH, TOO_LARGE, TRUNCATED
 from tickloom.sources.lines import FILE
 
+# Functions sent to Python workers carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 FRAME_SCHEMA = f"{FILE} string, frame_number long, frame binary, reason string, detail string"
 MAX_FRAME = 65537
 BATCH_FRAMES = 20_000

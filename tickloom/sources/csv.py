@@ -13,6 +13,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.functions.fixed import fixed, long_parse, price_at_scale
 from tickloom.functions.ids import csv_reference, event_id
 from tickloom.functions.text import trim_symbol, upper_venue
@@ -343,15 +344,15 @@ def read_trades_csv(spark: SparkSession, path: str | list[str], config: CsvConfi
             f"{bad_index} must be a nonnegative zero-based column index when no header is present"))
     parsed = parsed.drop(*[f"cell {d}" for d, _ in named], "cells", "__header", "record")
     if mode == FAIL_FAST:
-        failing = parsed.filter(F.col("_issue").isNotNull())
+        failing = keep(parsed, F.col("_issue").isNotNull())
         first = failing.groupBy(FILE).agg(F.min("row").alias("__cut"))
         parsed = until_first_error(parsed, failing, "row")
         no_rows = no_rows.join(first, FILE, "left").filter(
             F.col("__cut").isNull() | (F.col("row") <= F.col("__cut"))).drop("__cut")
     location = F.concat(F.col(FILE), F.lit(":row "), F.col("row").cast("string"))
-    events = parsed.filter(F.col("_issue").isNull()).drop("_issue") \
+    events = keep(parsed, F.col("_issue").isNull()).drop("_issue") \
         .withColumn("source_location", location)
-    row_errors = parsed.filter(F.col("_issue").isNotNull()).select(
+    row_errors = keep(parsed, F.col("_issue").isNotNull()).select(
         FILE, "row", F.col("_issue.reason").alias("reason"), F.col("_issue.detail").alias("detail"),
         "source_text", F.lit(True).alias("counted"))
     errors = row_errors.unionByName(no_rows.withColumn("counted", F.lit(False))) \

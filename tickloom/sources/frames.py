@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.functions.fixed import fixed
 from tickloom.functions.ids import event_id, frame_reference
 from tickloom.functions.text import trim_symbol, upper_venue
@@ -130,9 +131,9 @@ def lookup_name(kind: Column) -> Column:
 def decode_frames(df: DataFrame, frame: str = "frame") -> tuple[DataFrame, DataFrame]:
     """(decoded frames, errors): a frame with a bad length or field becomes a typed error row."""
     decoded = decode_columns(df, frame)
-    errors = decoded.filter(F.col("_issue").isNotNull()).select(
+    errors = keep(decoded, F.col("_issue").isNotNull()).select(
         *df.columns, F.col("_issue.reason").alias("reason"), F.col("_issue.detail").alias("detail"))
-    return decoded.filter(F.col("_issue").isNull()).drop("_issue"), errors
+    return keep(decoded, F.col("_issue").isNull()).drop("_issue"), errors
 
 
 def normalize_frames(decoded: DataFrame, venue: str, source: str = "source",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tickloom.functions.common import keep
 from tickloom.functions.text import is_blank
 from tickloom.operators.validate import (
     INVALID, REQUIRED, UNSUPPORTED, envelope_issues, issue, normalized, payload_issues,
@@ -295,8 +296,8 @@ def _range_by_type(payload: Column) -> Column:
 
 def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, errors) of a parsed frame; an error keeps place, reason, detail and source text."""
-    events = normalized(parsed.filter(F.col("_issue").isNull())).drop("_issue")
-    errors = parsed.filter(F.col("_issue").isNotNull()).select(
+    events = normalized(keep(parsed, F.col("_issue").isNull())).drop("_issue")
+    errors = keep(parsed, F.col("_issue").isNotNull()).select(
         *[c for c in parsed.columns if c not in ("metadata", "instrument", "payload", "_issue")],
         F.col("_issue.reason").alias("reason"), F.col("_issue.detail").alias("detail"))
     return events, errors
@@ -319,5 +320,5 @@ def read_canonical_jsonl(spark: SparkSession, path: str | list[str],
         .alias("source_location"))
     parsed = parse_event_lines(lines, "source_text")
     if mode == FAIL_FAST:
-        parsed = until_first_error(parsed, parsed.filter(F.col("_issue").isNotNull()))
+        parsed = until_first_error(parsed, keep(parsed, F.col("_issue").isNotNull()))
     return split_parsed(parsed)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tickloom.functions.common import keep
 from tickloom.functions.jsontext import json_line
 from tickloom.operators.deadletter import DeadLetterConfig, dead_letters
 from tickloom.operators.report import counter_columns
@@ -63,13 +64,13 @@ def live_counters(query: StreamingQuery, name: str = OBSERVED) -> dict[str, int]
 
 def good_lines(states: DataFrame) -> DataFrame:
     """JSON lines of emitted rows."""
-    return states.filter(F.col("state") == "EMITTED").select(record_line(states).alias("value"))
+    return keep(states, F.col("state") == "EMITTED").select(record_line(states).alias("value"))
 
 
 def letters_of(states: DataFrame, pipeline_id: str, pipeline_version: str,
                config: DeadLetterConfig | None = None) -> DataFrame:
     """Dead letters of failed rows."""
-    failed = states.filter(F.col("state").isin("PARSE_FAILED", "NORMALIZE_FAILED", "FAILED"))
+    failed = keep(states, F.col("state").isin("PARSE_FAILED", "NORMALIZE_FAILED", "FAILED"))
     return dead_letters(failed, F.col("stage"), F.concat("source_location", "below"), F.col("detail"),
                         pipeline_id, pipeline_version, F.col("metadata.eventId"), F.col("source_text"),
                         config=config)

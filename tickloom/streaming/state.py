@@ -6,10 +6,12 @@ key's rows of one micro-batch meet in one task; the trigger's batch size bounds
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -17,6 +19,9 @@ from tickloom.operators.orders import ADD, CANCEL, EXECUTE
 from tickloom.operators.sequence import DUPLICATE, EXPECTED, GAP, LATE
 from tickloom.schema import MAX_LONG
 
+# Functions sent to Python workers carry their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
     parts = list(chunks)
