@@ -22,11 +22,17 @@ def credential_keys(json: Column) -> Column:
     """
     tokens = F.regexp_extract_all(json, F.lit(r'("(?:[^"\\]|\\.)*+"\s*:?)'), F.lit(1))
     keys = F.transform(F.filter(tokens, lambda t: t.endswith(":")),
-                       lambda t: F.regexp_extract(t, _KEY, 1))
+                       lambda t: _decoded(F.regexp_extract(t, _KEY, 1)))
     parts = "|".join(CREDENTIAL_PARTS)
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: F.lower(k).rlike(parts))))
 
 
+def _decoded(key: Column) -> Column:
+    """Key name with its JSON escapes resolved."""
+    return F.when(key.contains("\\"), F.get_json_object(
+        F.concat(F.lit('["'), key, F.lit('"]')), "$[0]")).otherwise(key)
+
+
 def find_credential_keys(df: DataFrame, column: str) -> DataFrame:
     """Add ``credential_keys``; NULL when the text is no JSON."""
     valid = F.try_parse_json(F.col(column)).isNotNull()

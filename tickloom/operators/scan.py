@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HOT_ROWS = 5_000_000
 TRACKED_KEYS = 10_000
+RETURNED_KEYS = 1_000
 BROADCAST_ROWS = 200_000
 
 _HASH = "__key_hash"
@@ -50,13 +51,13 @@ def find_hot(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROW
              chunk_rows: int | None = None) -> Chunks:
     """Keys with more than ``hot_rows`` rows and how to cut them; two small aggregate jobs.
 
-    The sketch returns at most ``TRACKED_KEYS`` entries, so what reaches the driver is bounded.  A key
-    it does not track has fewer than about 1/10,000 of all rows.
+    The sketch tracks ``TRACKED_KEYS`` keys and returns the ``RETURNED_KEYS`` largest, so what reaches the
+    driver is bounded.  A key that is not returned has at most 1/``RETURNED_KEYS`` of all rows.
     """
     hashed = df.select(F.xxhash64(*keys).alias(_HASH),
                        _position(F.col(order), df.schema[order].dataType).alias("at"))
     # The sketch's counts may sit a little above the truth, never so far below that a hot key hides.
-    top = hashed.agg(F.expr(f"approx_top_k({_HASH}, {TRACKED_KEYS // 10}, {TRACKED_KEYS})")
+    top = hashed.agg(F.expr(f"approx_top_k({_HASH}, {RETURNED_KEYS}, {TRACKED_KEYS})")
                      .alias("top")).first()["top"] or []
     hot = [item[0] for item in top if item[1] > hot_rows]
     if not hot:
