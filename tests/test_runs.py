@@ -156,6 +156,19 @@ def test_rates(spark):
     assert {r["k"]: r["average"] for r in duration_average(d, "n", ["k"]).collect()} == {"a": 4, "b": 0}
 
 
+def test_counters_ride_on_an_action(spark):
+    from pyspark.sql import Observation
+
+    from tickloom.operators.report import observe_counters, run_counters
+
+    df = spark.createDataFrame([("EMITTED",), ("FILTERED",), ("PARSE_FAILED",), ("NORMALIZE_FAILED",)], "state string")
+    seen = Observation("run")
+    observe_counters(df, seen).collect()
+    want = {"received": 4, "parsed": 3, "normalized": 2, "filtered": 1, "emitted": 1, "failed": 2}
+    assert seen.get == want and run_counters(df).first().asDict() == want
+    assert run_counters(df, by=["state"]).count() == 4
+
+
 def test_latest_recent_and_order(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("b", 2, "z")], "k string, rev int, v string")
     assert sorted(tuple(r) for r in latest_per_key(df, ["k"], ["rev"]).collect()) == [("a", 3, "y"), ("b", 2, "z")]

@@ -25,7 +25,7 @@ def fixed(mantissa: Column | int, scale: Column | int) -> Column:
 
 def pow10(exponent: Column) -> Column:
     """10^exponent for 0..18 as decimal(20,0), read from one constant array."""
-    table = F.array(*[F.lit(Decimal(10 ** k)).cast("decimal(20,0)") for k in range(MAX_SCALE + 1)])
+    table = F.expr(f"array({', '.join(f'cast({10 ** k} as decimal(20,0))' for k in range(MAX_SCALE + 1))})")
     return F.try_element_at(table, exponent.cast("int") + F.lit(1))
 
 

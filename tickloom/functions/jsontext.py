@@ -15,7 +15,7 @@ _CONTROL[8], _CONTROL[9], _CONTROL[10], _CONTROL[12], _CONTROL[13] = "\\b", "\\t
 def json_string(text: Column) -> Column:
     """``text`` quoted and escaped; text without special characters takes the short way."""
     quoted = F.regexp_replace(text, r'(["\\])', r"\\$1")
-    table = F.array(*[F.lit(escape) for escape in _CONTROL])
+    table = F.split(F.lit(" ".join(_CONTROL)), " ")
     controls = F.array_join(
         F.transform(
             F.split(quoted, ""),

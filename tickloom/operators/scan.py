@@ -47,13 +47,16 @@ def _position(order: Column, dtype: T.DataType) -> Column:
     raise ValueError("the first order column must be an integer or a timestamp")
 
 
-def find_hot(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS,
+def find_hot(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = HOT_ROWS,
              chunk_rows: int | None = None) -> Chunks:
     """Keys with more than ``hot_rows`` rows and how to cut them; two small aggregate jobs.
 
     The sketch tracks ``TRACKED_KEYS`` keys and returns the ``RETURNED_KEYS`` largest, so what reaches the
     driver is bounded.  A key that is not returned has at most 1/``RETURNED_KEYS`` of all rows.
+    ``hot_rows=None`` says that no key is hot and runs no job.
     """
+    if hot_rows is None:
+        return Chunks({}, 0)
     hashed = df.select(F.xxhash64(*keys).alias(_HASH),
                        _position(F.col(order), df.schema[order].dataType).alias("at"))
     # The sketch's counts may sit a little above the truth, never so far below that a hot key hides.
@@ -85,7 +88,7 @@ def _over(item: Running, window) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], items: list[Running],
-            hot_rows: int = HOT_ROWS, chunk_rows: int | None = None,
+            hot_rows: int | None = HOT_ROWS, chunk_rows: int | None = None,
             chunks: Chunks | None = None) -> DataFrame:
     """Add each running aggregate over the earlier rows of the key (own row included on request).
 

@@ -20,7 +20,10 @@ OUT_OF_RANGE = " is outside its allowed range"
 
 
 def issue(reason: str, detail: Column | str) -> Column:
-    detail = detail if isinstance(detail, Column) else F.lit(detail)
+    if isinstance(detail, str):
+        # One parsed literal instead of several calls; rule lists hold hundreds of these.
+        quoted = detail.replace("\\", "\\\\").replace("'", "\\'")
+        return F.expr(f"named_struct('reason', '{reason}', 'detail', '{quoted}')")
     return F.struct(F.lit(reason).alias("reason"), detail.alias("detail"))
 
 
