@@ -195,8 +195,9 @@ def _syntax(df: DataFrame, config: CsvConfig) -> DataFrame:
     good_start = line.rlike(p["complete"]) | line.rlike(p["opening"])
     good_inside = line.rlike(p["inside"]) | line.rlike(p["closing"]) | line.rlike(p["reopening"])
     text = F.when(line.rlike(p["after"]) | inside, F.lit(AFTER_CLOSE)).otherwise(F.lit(QUOTE_INSIDE))
-    return df.withColumn("__bad", F.when(F.when(inside, good_inside).otherwise(good_start),
-                                         F.lit(None).cast("string")).otherwise(text))
+    # A line without quotes outside a quoted cell, nearly every line, cannot be wrong.
+    good = F.when(~inside & (F.col("__quotes") == 0), F.lit(True)).when(inside, good_inside).otherwise(good_start)
+    return df.withColumn("__bad", F.when(good, F.lit(None).cast("string")).otherwise(text))
 
 
 def _numbered(lines: DataFrame, quoted_line_breaks: bool) -> DataFrame:
@@ -279,7 +280,9 @@ def read_csv_records(spark: SparkSession, path: str | list[str], config: CsvConf
                                      lambda x: x["value"]), "\n").alias("source_text"))
         records = single.unionByName(several)
     raw = F.regexp_extract_all("source_text", F.lit(_patterns(config.delimiter)["cells"]), F.lit(1))
-    return records.withColumn("cells", F.transform(raw, _unquote)), errors
+    plain = F.split("source_text", re.escape(config.delimiter), -1)
+    cells = F.when(F.col("source_text").contains('"'), F.transform(raw, _unquote)).otherwise(plain)
+    return records.withColumn("cells", cells), errors
 
 
 def _unquote(cell: Column) -> Column:
@@ -319,15 +322,20 @@ def read_trades_csv(spark: SparkSession, path: str | list[str], config: CsvConfi
         header_errors = heads.filter(F.col("__hissue").isNotNull()).select(
             FILE, F.col("__hrow").alias("row"), F.col("__hissue.reason").alias("reason"),
             F.col("__hissue.detail").alias("detail"), F.col("__htext").alias("source_text"))
-        good = heads.filter(F.col("__hissue").isNull()).select(FILE, "__header")
+        # Positions of the mapped columns, once per file.
+        places = F.array(*[F.array_position(F.col("__header"), n).cast("int") - F.lit(1)
+                           for n, _ in config.columns()])
+        good = heads.filter(F.col("__hissue").isNull()).select(FILE, places.alias("__places"))
         rows = (records.filter(F.col("record") > 1).join(maybe_broadcast(good, files), FILE)
                 .withColumn("ordinal", F.col("record") - 1))
         # A file with a bad header reports that alone.
         syntax = syntax.join(maybe_broadcast(header_errors.select(FILE), files), FILE, "left_anti")
         no_rows = header_errors.unionByName(syntax)
 
+        place = {n: i for i, (n, _) in enumerate(config.columns())}
+
         def cell(name: str) -> Column:
-            return F.get(F.col("cells"), F.array_position(F.col("__header"), name).cast("int") - F.lit(1))
+            return F.get(F.col("cells"), F.col("__places")[place[name]])
     else:
         rows, no_rows = records.withColumn("ordinal", F.col("record")), syntax
 
@@ -342,7 +350,7 @@ def read_trades_csv(spark: SparkSession, path: str | list[str], config: CsvConfi
         parsed = parsed.withColumn("_issue", issue(
             BAD_CONFIGURATION,
             f"{bad_index} must be a nonnegative zero-based column index when no header is present"))
-    parsed = parsed.drop(*[f"cell {d}" for d, _ in named], "cells", "__header", "record")
+    parsed = parsed.drop(*[f"cell {d}" for d, _ in named], "cells", "__places", "record")
     if mode == FAIL_FAST:
         failing = keep(parsed, F.col("_issue").isNotNull())
         first = failing.groupBy(FILE).agg(F.min("row").alias("__cut"))
