@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tickloom.llm import near_dedup, packing, tokens  # noqa: F401
+from tickloom.llm import chat, near_dedup, packing, tokens, url_filter  # noqa: F401
 from tickloom.llm.registry import ORACLE, QUERIES  # noqa: F401
