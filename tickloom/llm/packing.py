@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.registry import query, table
 from tickloom.llm.shared import saved
-from tickloom.llm.tokens import parts, piece_ids
+from tickloom.llm.tokens import piece_ids
 
 CAPACITY = 4096
 END = 2  # closes every document
@@ -34,7 +34,7 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_ids(tokenizer)
         for batch in batches:
-            ids = [i + end for part in parts(batch.column(1).to_pylist()) for i in table.of(part)]
+            ids = [i + end for i in table.of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"])

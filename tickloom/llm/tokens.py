@@ -1,7 +1,7 @@
 """Token counts from a digest cache, and token ids, as the tokenizer library itself gives them.
 
 The tokenizers cut a text at white space before they merge anything, so a text's tokens are those of its pieces.
-A worker keeps the tokens of pieces it has met; only new pieces reach the library, in batches.
+A worker keeps the tokens of pieces it has met, and only new pieces are encoded.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from tickloom.llm.registry import query, table
 from tickloom.llm.shared import new_path
 
 PIECES = 1_200_000  # tokens of so many pieces are kept by a worker; then it starts anew
-PART = 1 << 20  # characters whose new pieces reach the library together
 _CUT = re.compile(r"(?<=\S)(?= )")  # no token holds a space behind a visible character
 _WIDE = re.compile(r"\s ")
 # A run of signs behind a letter is a token run of its own, so "word" and "word," share one encoding.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _TAIL = r"(.*[A-Za-z])([!-/:-@\[-`{-~]+)"
 
 
@@ -80,106 +80,89 @@ def merger(path: str):
 
 
 class Pieces(dict):
-    """What the library gives for a piece, by piece; ``value`` and ``join`` say what is kept of the ids."""
+    """What the library gives for a piece (with ``before`` put before it), learned when first asked for."""
 
-    before = ""
-    letters = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
     special = "<|"  # how the tokenizers' own strings begin
     tail = re.compile(_TAIL, re.DOTALL)
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, before: str = ""):
         super().__init__()
-        self.path = path
-
-    def learn(self, pieces: set) -> None:
-        """Encode the pieces not met before.  Pieces of one call stay until the next."""
-        new = pieces.difference(self)
-        if len(self) + len(new) > PIECES:
+        self.before, self.merge, self.whole, self.signs = before, merger(path), load(path), {}
+
+    def __missing__(self, piece):
+        found = None if self.special in piece else self.tail.fullmatch(piece)
+        if found:
+            value = self[found[1]] + self.sign(found[2])
+        else:
+            value = self.value(self.ids(piece))
+        if len(self) >= PIECES:
             self.clear()
-            new = pieces
-        tails, cores, signs = {}, set(), set()
-        for piece in new:
-            found = None if self.special in piece else self.tail.fullmatch(piece)
-            if found:
-                tails[piece] = found.groups()
-                cores.add(found[1])
-                signs.add(found[2])
-            else:
-                cores.add(piece)
-        self.encode([c for c in cores if c not in self], self.before, self)
-        marks: dict = {}
-        self.encode(list(signs), "", marks)
-        for piece, (core, sign) in tails.items():
-            self[piece] = self[core] + marks[sign]
-
-    def encode(self, pieces: list, before: str, into: dict) -> None:
+        self[piece] = value
+        return value
+
+    def ids(self, piece) -> list[int]:
         """Runs of plain letters by the merge loop, anything else by the library itself."""
-        rest, merge = [], merger(self.path)
-        for piece in pieces:
-            text = piece.decode() if isinstance(piece, bytes) else piece
-            if self.letters.fullmatch(text):
-                into[piece] = self.value(merge(before + text))
-            else:
-                rest.append((piece, before + text))
-        if rest:
-            got = load(self.path).encode_batch_fast([text for _, text in rest], add_special_tokens=False)
-            into.update((piece, self.value(g.ids)) for (piece, _), g in zip(rest, got))
+        text = piece if isinstance(piece, str) else piece.decode()
+        if _LETTERS.fullmatch(text):
+            return self.merge(self.before + self.folded(text))
+        return self.whole.encode(self.before + text, add_special_tokens=False).ids
+
+    @staticmethod
+    def folded(text: str) -> str:
+        return text
+
+    def sign(self, signs):
+        if signs not in self.signs:
+            text = signs if isinstance(signs, str) else signs.decode()
+            if len(self.signs) >= PIECES:
+                self.signs.clear()
+            self.signs[signs] = self.value(self.whole.encode(text, add_special_tokens=False).ids)
+        return self.signs[signs]
 
 
 class PieceCounts(Pieces):
-    """Token counts.  A key stands for the piece with one space before it."""
+    """Token counts of pieces with one space before them; ``heads`` has those without."""
 
-    before = " "
+    value = staticmethod(len)
 
-    @staticmethod
-    def value(ids: list) -> int:
-        return len(ids)
+    def __init__(self, path: str):
+        super().__init__(path, " ")
+        self.heads = Pieces(path)
+        self.heads.value = len
 
-    def of(self, texts: list[str]) -> list[int]:
-        split = []
+    def of(self, texts: list) -> list[int]:
+        out = []
         for text in texts:
-            if _WIDE.search(text) or text[:1] == " ":
+            if not text:
+                out.append(0)
+                continue
+            if _WIDE.search(text) or text[0] == " ":
                 first, *rest = _CUT.split(text)
-                split.append((first, [piece[1:] for piece in rest]))
+                rest = [piece[1:] for piece in rest]
             else:
                 first, *rest = text.split(" ")
-                split.append((first, rest))
-        self.learn(set().union(*(rest for _, rest in split)))
-        heads = load(self.path).encode_batch_fast([first for first, _ in split], add_special_tokens=False)
-        return [len(head) + sum(map(self.__getitem__, rest)) for head, (_, rest) in zip(heads, split)]
+            out.append(self.heads[first] + sum(map(self.__getitem__, rest)))
+        return out
 
 
 class PieceIds(Pieces):
     """Ids as little-endian 16-bit numbers, for tokenizers that drop white space and case.  Keys are UTF-8."""
 
     special = b"<|"
-    letters = re.compile("[a-zß-öø-ÿ]+")
     tail = re.compile(_TAIL.encode(), re.DOTALL)
+    folded = staticmethod(str.lower)
 
     @staticmethod
     def value(ids: list) -> bytes:
         return array("H", ids).tobytes()
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        split = []
+    def of(self, texts: list) -> list[bytes]:
+        out = []
         for text in texts:
-            data = text.encode()
-            split.append((data if b"<|" in data else data.lower()).split())  # of ASCII alone
-        self.learn(set().union(*split))
-        return [b"".join(map(self.__getitem__, pieces)) for pieces in split]
-
-
-def parts(texts: list) -> Iterator[list[str]]:
-    """Lists of texts with about ``PART`` characters together; null is empty."""
-    part, size = [], 0
-    for text in texts:
-        part.append(text or "")
-        size += len(part[-1])
-        if size >= PART:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+            data = (text or "").encode()
+            pieces = (data if b"<|" in data else data.lower()).split()  # of ASCII alone
+            out.append(b"".join(map(self.__getitem__, pieces)))
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -226,7 +209,7 @@ def count_misses(docs: DataFrame, cache: DataFrame, tokenizer: str, text: str =
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(tokenizer)
         for batch in batches:
-            n = [c for part in parts(batch.column(1).to_pylist()) for c in counts.of(part)]
+            n = counts.of(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())],
                 names=["digest", "version", "n_tokens"])
