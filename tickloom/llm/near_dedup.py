@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.llm.components import connected_components
 from tickloom.llm.registry import query, table
 from tickloom.llm.shared import saved
-from tickloom.llm.wordhash import mix, numbers, shingle_hashes, words
+from tickloom.llm.wordhash import mix, numbers, portions, shingle_hashes, words
 
 PLACES = 1 << 20  # size of the permuted universe
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band in 3 of 10 million cases, one at 0.8 in 6 of 100,000
@@ -47,7 +47,7 @@ def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text",
     factors, tags = numbers(rows, 21), numbers(bands, 22)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             found, sizes, digests, signatures = words(batch.column(1)), [], [], []
             for i in range(len(batch)):
                 own = np.unique(shingle_hashes(found.of(i), width))
@@ -72,7 +72,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, shingles): the sorted set of each text, for texts that have a candidate."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             found = words(batch.column(1))
             own = [np.unique(shingle_hashes(found.of(i), width)).view(np.int64) for i in range(len(batch))]
             offsets = np.concatenate([[0], np.cumsum([len(o) for o in own])]).astype(np.int32)

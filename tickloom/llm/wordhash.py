@@ -122,3 +122,29 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
         for i in range(1, size):
             total = total + hashes[i:n - size + 1 + i] * _STEP[i]
         return mix(total + _U(size))
+
+
+def batch_shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first word of every run of ``width`` words inside one text, for a whole batch at once."""
+    n = len(found.hash) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    with np.errstate(over="ignore"):
+        total = found.hash[:n] * _STEP[0]
+        for i in range(1, width):
+            total = total + found.hash[i:n + i] * _STEP[i]
+        total = mix(total + _U(width))
+    last = np.repeat(found.first[1:], np.diff(found.first))[:n]
+    at = np.flatnonzero(np.arange(n) + width <= last)
+    return total[at], at
+
+
+def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20):
+    """Slices of a batch with about ``most`` bytes of text each; a longer text is a slice of its own."""
+    sizes = np.cumsum(np.diff(text_buffer(batch.column(column))[1]))
+    at = 0
+    while at < len(batch):
+        base = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
