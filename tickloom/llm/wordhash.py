@@ -148,3 +148,21 @@ def portions(batch: pa.RecordBatch, column: int = 1, most: int = 4 << 20):
         to = max(at + 1, int(np.searchsorted(sizes, base + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def prefix_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]) -> np.ndarray:
+    """Hashes of the first bytes of every word, one row per length; a shorter word counts as it is."""
+    out = np.empty((len(lengths), len(start)), np.uint64)
+    at = 0
+    with np.errstate(over="ignore"):
+        while at < len(start):
+            to = max(at + 1, int(np.searchsorted(end, start[at] + CHUNK, "right")))
+            s, low, size = start[at:to], start[at], (end - start)[at:to]
+            part = data[low:end[to - 1]]
+            place = np.arange(len(part)) - np.repeat(s - low, np.diff(np.append(s, low + len(part))))
+            value = _BYTE[part] * _places(int(place.max()) + 1)[place]
+            for row, most in enumerate(lengths):
+                kept = np.where(place < most, value, _U(0))
+                out[row, at:to] = np.add.reduceat(kept, s - low) + np.minimum(size, most).astype(np.uint64)
+            at = to
+    return mix(out)
