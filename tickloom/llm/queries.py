@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from tickloom.llm import chat, decontaminate, near_dedup, packing, quality, tokens, toxicity, url_filter  # noqa: F401
+from tickloom.llm import chat, decontaminate, fingerprints, near_dedup, packing, quality, tokens, toxicity, url_filter  # noqa: F401
 from tickloom.llm.registry import ORACLE, QUERIES  # noqa: F401
