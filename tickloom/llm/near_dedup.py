@@ -17,7 +17,7 @@ from tickloom.llm.wordhash import mix, numbers, portions, shingle_hashes, words
 
 PLACES = 1 << 20  # size of the permuted universe
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band in 3 of 10 million cases, one at 0.8 in 6 of 100,000
-SMALL = 6  # a bucket of so many texts is compared pair by pair: at most 2.5 pairs for each of its texts
+SMALL, GROWTH = 6, 4  # a bucket of so many texts is compared pair by pair; the bound grows from round to round
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -115,7 +115,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
       inequality, so x then has at least twice the similarity less 1 with the hub; and x and y share a shingle by which
       they differ from the hub, else y would be no closer to x than the hub is.  Only such pairs are compared.
 
-    So no bucket is compared all against all, and no link inside a bucket is lost.
+    So no link inside a bucket is lost, and a group of copies, however large, costs one comparison for each.  What is left
+    after a round is what resembles no hub; there the bound under which a bucket is compared pair by pair grows
+    ``GROWTH`` times, so that few rounds remain for texts that share a band by chance.
     """
     spark = docs.sparkSession
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -126,14 +128,14 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
     texts = (docs.join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]))
     sets = saved(shingle_sets(texts, width), f"{name}-sets")
     rest = saved(members.select("bucket", "rep", "n").join(scores, "rep"), f"{name}-rest")
-    found = []
+    found, small = [], SMALL
     while True:
         heads = rest.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("left"),
             F.max(F.struct("score", (-F.col("rep")).alias("least"), "n")).alias("head")).filter("left > 1")
         headed = rest.join(heads, "bucket")
-        few = headed.filter(F.col("left") <= SMALL)
-        many = headed.filter(F.col("left") > SMALL).withColumn("to", -F.col("head.least"))
+        few = headed.filter(F.col("left") <= small)
+        many = headed.filter(F.col("left") > small).withColumn("to", -F.col("head.least"))
         x, y = few.select("bucket", "rep", "n"), few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
         pairwise = (x.join(y, "bucket").filter("rep < rep2")
                     .filter(100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
@@ -155,6 +157,7 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
                      .select("rep", "bucket", "n", "score"), f"{name}-rest")
         if rest.isEmpty():
             return found
+        small *= GROWTH
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_id",
