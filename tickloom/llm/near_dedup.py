@@ -190,6 +190,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
             .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
 
 
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
+    """``docs``, all columns, with one row of each component: the row of its smallest doc_id.
+
+    Of rows that repeat a doc_id one stays; rows without a doc_id stay unless their text repeats another such row's.
+    """
+    gone = near_duplicates(docs, width, similarity).filter("not kept").select("doc_id").distinct()
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    return (docs.join(gone, "doc_id", "left_anti").withColumn("_own", own).dropDuplicates(["doc_id", "_own"])
+            .select(*docs.columns))
+
+
 @query("op10_near_dedup")
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=3, similarity=85)

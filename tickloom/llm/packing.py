@@ -113,7 +113,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
     dealt = rows.withColumn(
         "pack_group", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
 
-    def one(keys, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
         ids, names, sizes = frame["ids"].tolist(), frame["doc_id"].tolist(), frame["n_tokens"].tolist()
         pieces, costs = assign(sizes)

@@ -142,21 +142,27 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
     return fit(x, xo, got.column("label").to_numpy().astype(float), c, np.append(co[original], co[-1]), original)
 
 
-def score(docs: DataFrame, weights: np.ndarray, bias: float, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every row and ``score``, the probability that its whole text is toxic."""
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
+           carry_text: bool = True) -> DataFrame:
+    """``row``, the whole row as a struct, and ``score``, the probability that its whole text is toxic."""
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    kept = docs.select(*columns, F.col("text").alias("_text"))
-    schema = kept.drop("_text").schema.add("score", "double")
+    carried = [F.col(f"`{c}`") for c in docs.columns if c != text or carry_text]
+    kept = docs.select(F.struct(*carried).alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = model.value
-        for batch in (p for whole in batches for p in portions(whole, whole.num_columns - 1)):
-            found, offsets = features(batch.column(batch.num_columns - 1))
+        for batch in (p for whole in batches for p in portions(whole)):
+            found, offsets = features(batch.column(1))
             odds = np.clip(sums(w[found], offsets) + b, -30, 30)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-odds)))],
-                                             names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-odds)))], names=["row", "score"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(run, kept.select("row").schema.add("score", "double"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+    """``docs``, all columns, without the rows whose text scores ``threshold`` or more; learned from ``labels`` on them."""
+    weights, bias = train(learning_rows(docs, labels, "toxic", F.lit(True), sample))
+    return scored(docs, weights, bias).filter(F.col("score") < threshold).select("row.*")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE,
@@ -170,7 +176,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     """
     at = fold(F.col("doc_id"), folds)
     weights, bias = train(learning_rows(docs, labels, "toxic", at != held, sample))
-    return score(docs.select("doc_id", "text"), weights, bias).select(
+    rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
+    return scored(rows, weights, bias, carry_text=False).select(F.col("row.doc_id").alias("doc_id"), "score").select(
         "doc_id", F.coalesce(at == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
