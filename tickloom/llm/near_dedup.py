@@ -17,7 +17,8 @@ from tickloom.llm.wordhash import mix, numbers, portions, shingle_hashes, words
 
 PLACES = 1 << 20  # size of the permuted universe
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band in 3 of 10 million cases, one at 0.8 in 6 of 100,000
-SMALL, GROWTH = 6, 4  # a bucket of so many texts is compared pair by pair; the bound grows from round to round
+SMALL = 6  # a bucket of so many texts is compared pair by pair: at most 2.5 pairs for each of its texts
+WORTH = 0.1  # share of a round's comparisons with hubs that must be links for another round
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -115,9 +116,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
       inequality, so x then has at least twice the similarity less 1 with the hub; and x and y share a shingle by which
       they differ from the hub, else y would be no closer to x than the hub is.  Only such pairs are compared.
 
-    So no link inside a bucket is lost, and a group of copies, however large, costs one comparison for each.  What is left
-    after a round is what resembles no hub; there the bound under which a bucket is compared pair by pair grows
-    ``GROWTH`` times, so that few rounds remain for texts that share a band by chance.
+    So no link inside a bucket is lost, and a group of copies, however large, costs one comparison for each.  Once hubs
+    link few of what they are compared with, the texts left share bands by chance, and ``rare_pairs`` finds the
+    links among them exactly.
     """
     spark = docs.sparkSession
     banded = classes.select("rep", "n", F.explode("bands").alias("bucket"))
@@ -128,14 +129,14 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
     texts = (docs.join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]))
     sets = saved(shingle_sets(texts, width), f"{name}-sets")
     rest = saved(members.select("bucket", "rep", "n").join(scores, "rep"), f"{name}-rest")
-    found, small = [], SMALL
+    found = []
     while True:
         heads = rest.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("left"),
             F.max(F.struct("score", (-F.col("rep")).alias("least"), "n")).alias("head")).filter("left > 1")
         headed = rest.join(heads, "bucket")
-        few = headed.filter(F.col("left") <= small)
-        many = headed.filter(F.col("left") > small).withColumn("to", -F.col("head.least"))
+        few = headed.filter(F.col("left") <= SMALL)
+        many = headed.filter(F.col("left") > SMALL).withColumn("to", -F.col("head.least"))
         x, y = few.select("bucket", "rep", "n"), few.select("bucket", F.col("rep").alias("rep2"), F.col("n").alias("n2"))
         pairwise = (x.join(y, "bucket").filter("rep < rep2")
                     .filter(100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
@@ -155,9 +156,31 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
         done = compared.filter("hub and linked").select(F.col("a").alias("rep"), F.col("b").alias("to"))
         rest = saved(many.filter("rep <> to").join(done, ["rep", "to"], "left_anti")
                      .select("rep", "bucket", "n", "score"), f"{name}-rest")
-        if rest.isEmpty():
-            return found
-        small *= GROWTH
+        met, held = compared.filter("hub").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("linked").cast("int")), F.lit(0))).first()
+        if held <= WORTH * met:
+            break
+    alone = sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    found.append(saved(verified(rare_pairs(alone, similarity), sets, similarity).filter("linked").select("a", "b"),
+                       f"{name}-left"))
+    return found
+
+
+def rare_pairs(sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) among which are all that reach ``similarity`` percent (prefix filter).
+
+    Two sets that alike differ in so few members that the rarest of each, as many as may be missing and one more, have one
+    in common.  Common passages are never among the rarest, so they make no pairs.
+    """
+    tokens = sets.select("doc_id", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("shingle"))
+    held = tokens.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"))
+    ranked = (tokens.join(held, "shingle").groupBy("doc_id", "n")
+              .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("all")))  # one text's own shingles
+    first = F.col("n") - F.floor((similarity * F.col("n") + 99) / 100) + 1
+    rare = (ranked.select("doc_id", "n", F.explode(F.slice("all", F.lit(1), first.cast("int"))).alias("x"))
+            .filter("x.held > 1").select("doc_id", "n", F.col("x.shingle").alias("shingle")))
+    other = rare.select(F.col("doc_id").alias("b"), F.col("n").alias("m"), "shingle")
+    return (rare.withColumnRenamed("doc_id", "a").join(other, "shingle").filter("a < b")
+            .filter(100 * F.least("n", "m") >= similarity * F.greatest("n", "m")).select("a", "b").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key: str = "doc_id",

@@ -77,7 +77,6 @@ def fit(feature: np.ndarray, offsets: np.ndarray, labels: np.ndarray, swapped: n
     apart = toxic / max(ones, 1) - (held - toxic) / max(n - ones, 1)
     error = np.sqrt(share * (1 - share) * (1 / max(ones, 1) + 1 / max(n - ones, 1)))
     use = (held >= FEWEST) & (np.abs(apart) > SIGNIFICANT * error)
-    use[swapped] = True
     at = np.flatnonzero(use)
     number = np.full(size, -1, np.int64)
     number[at] = np.arange(len(at))
