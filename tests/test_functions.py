@@ -21,7 +21,7 @@ def values(spark, rows, schema, column):
 
 
 def test_event_ids_match_the_published_ones(spark):
-    got = values(spark, list(IDS), "n bigint", event_id(F.lit("jsonl/fixture-1"), F.col("n")))
+    got = values(spark, list(IDS), "n bigint", event_id(F.lit("feed/alpha"), F.col("n")))
     assert got == list(IDS.values())
 
 
@@ -93,14 +93,14 @@ def test_rescale_is_exact_or_null(spark):
 
 
 def test_decimal_text_rules(spark):
-    good = {"123.4500": (1234500, 4), "-0.05": (-5, 2), "007": (7, 0), "0" * 50 + "1.5": (15, 1), str(MAX): (MAX, 0)}
+    good = {"187.2500": (1872500, 4), "-0.05": (-5, 2), "007": (7, 0), "0" * 50 + "1.5": (15, 1), str(MAX): (MAX, 0)}
     bad = ["", "-", "+1", "1.", ".5", "1e3", "1.2.3", " 1", "1\n", str(MAX + 1), "0." + "0" * 19, "abc"]
     got = values(spark, list(good) + bad, "x string", X.fd_parse(F.col("x")))
     assert [(r["mantissa"], r["scale"]) if r else None for r in got] == list(good.values()) + [None] * len(bad)
 
 
 def test_price_text(spark):
-    cases = {"123.45": 12345, "1e3": 100000, "12.345": None, ".5": 50, "5.": 500, "+5.10": 510, "1.2E-1": 12, "0e5": 0,
+    cases = {"187.25": 18725, "1e3": 100000, "12.345": None, ".5": 50, "5.": 500, "+5.10": 510, "1.2E-1": 12, "0e5": 0,
              "92233720368547758.07": MAX, "92233720368547758.08": None, "-92233720368547758.08": -MAX - 1, "": None, "x": None,
              "1.10000000000000000000000000000000000000000000000": 110, "1e99999999999": None, "1e-2": 1, "1e400": None,
              "12 ": None, "-": None, "1_0": None, "123456789012345.12": 12345678901234512}

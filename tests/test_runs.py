@@ -38,15 +38,15 @@ def test_jsonl_run_reproduces_the_golden_line(spark, tmp_path):
     report = run(inputs, str(tmp_path / "out"), blueprint=BLUEPRINT)
     assert text(tmp_path / "out") == [GOLDEN]
     assert numbers(report) == (2, 2, 2, 0, 1, 1) and report.outcome == "COMPLETED"
-    assert report.failures[0]["source_location"].endswith(":line 2$.order.id")
+    assert report.failures[0]["source_location"].endswith(":line 2$.what.of")
 
 
 def test_csv_run(spark, tmp_path):
-    p = write(tmp_path / "in.csv", HEAD + f'{MAX},"AAPL","XNAS","123.45",100,B,"a, b"\n0,"MSFT","XNAS","250.05",25,S,x\n')
+    p = write(tmp_path / "in.csv", HEAD + f'{MAX},"ZORB","XTST","187.25",100,B,"a, b"\n0,"QUIX","XTST","314.18",25,S,x\n')
     columns = [("symbol", "instrument.symbol"), ("timestamp", "metadata.exchangeTimestamp"), ("price", "payload.price"),
                ("side", "payload.aggressorSide"), ("none", "payload.bid.price")]
     report = run(read_csv_input(spark, p, CONFIG), str(tmp_path / "out"), csv=columns)
-    assert text(tmp_path / "out") == [f"AAPL,{MAX},123.45,BUY,", "MSFT,0,250.05,SELL,", "symbol,timestamp,price,side,none"]
+    assert text(tmp_path / "out") == ["QUIX,0,314.18,SELL,", f"ZORB,{MAX},187.25,BUY,", "symbol,timestamp,price,side,none"]
     assert numbers(report) == (2, 2, 2, 0, 2, 0)
     p = write(tmp_path / "bad.csv", HEAD + "1,A,X,12.345,1,B\n2,A,X,1.00,1,B\n")
     assert numbers(run(read_csv_input(spark, p, CONFIG), str(tmp_path / "out2"))) == (2, 1, 1, 0, 1, 1)
@@ -55,7 +55,7 @@ def test_csv_run(spark, tmp_path):
 def test_capture_run(spark, tmp_path):
     third = RAW["execute"][:3] + (3).to_bytes(8, "big") + RAW["execute"][11:]
     p = write(tmp_path / "c.bin", RAW["add"] + third + third + b"\x00\x01Q" + b"\x00\x00")
-    report = run(read_capture_input(spark, p, "sim", "xnas"), str(tmp_path / "out"))
+    report = run(read_capture_input(spark, p, "sim", "xtst"), str(tmp_path / "out"))
     assert numbers(report) == (5, 4, 3, 0, 3, 2)
     assert (report.sequence_gap_count, report.duplicate_count) == (1, 1)
     assert [(r["stage"], r["detail"].split(":")[0]) for r in report.failures] == [
@@ -67,7 +67,7 @@ def test_demo_counts(spark, tmp_path):
         return RAW["add"][:3] + n.to_bytes(8, "big") + RAW["add"][11:]
 
     p = write(tmp_path / "c.bin", b"".join(frame(n) for n in range(1, 10001)) + b"\x00\x00")
-    report = run(read_capture_input(spark, p, "sim", "xnas"), str(tmp_path / "out"))
+    report = run(read_capture_input(spark, p, "sim", "xtst"), str(tmp_path / "out"))
     assert numbers(report) == (10001, 10000, 10000, 0, 10000, 1) and report.sequence_gap_count == 0
 
 
@@ -100,7 +100,7 @@ def test_policies(spark, tmp_path):
 
 
 def test_counters_add_up_with_rules(spark, tmp_path):
-    p = write(tmp_path / "in.jsonl", "\n".join([ADD, EXECUTE, TRADE, "x", TRADE.replace("25005", "5")]))
+    p = write(tmp_path / "in.jsonl", "\n".join([ADD, EXECUTE, TRADE, "x", TRADE.replace('"quantity": 25', '"quantity": 95')]))
     report = run(read_jsonl_input(spark, p), str(tmp_path / "out"), rules=EXAMPLE, sample=2)
     assert numbers(report) == (5, 4, 4, 1, 1, 3)
     assert len(report.failures) == 2 and report.suppressed == 1
@@ -129,8 +129,8 @@ def test_csv_sink_quoting_and_rejects(spark, events, tmp_path):
 
 
 def test_validate_events_and_event_json(spark, events):
-    good, bad = validate_events(events(ADD.replace("XNAS", "xnas"), TRADE.replace('"SELL"', '"S"'), QUOTE))
-    assert sorted(r["metadata"]["venue"] for r in good.collect()) == ["XNAS", "XNAS"]
+    good, bad = validate_events(events(ADD.replace("XTST", "xtst"), TRADE.replace('"SELL"', '"S"'), QUOTE))
+    assert sorted(r["metadata"]["venue"] for r in good.collect()) == ["XTST", "XTST"]
     assert [r["_issue"]["reason"] for r in bad.collect()] == ["INVALID_FIELD"]
     df = events(QUOTE)
     doc = df.select(event_json(df).alias("j")).first()["j"]

@@ -1,10 +1,11 @@
 import json
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from tests.conftest import ADD, CANCEL, EXECUTE, MAX, QUOTE, TRADE
+from tests.conftest import IDS, ADD, CANCEL, EXECUTE, MAX, QUOTE, TRADE
 from tickloom.functions.fixed import fd_plain
 from tickloom.sources.capture import split_capture, split_errors
 from tickloom.sources.csv import CsvConfig, read_trades_csv
@@ -25,7 +26,7 @@ def counts(events, errors):
 
 def test_jsonl_modes(spark, tmp_path):
     p = write(tmp_path / "a.jsonl", "\n".join([
-        ADD, "not-json", EXECUTE.replace('"minor": 0', '"minor": 1'), CANCEL.replace("aa582985", "00000000"), TRADE]))
+        ADD, "not-json", EXECUTE.replace('"minor": 0', '"minor": 1'), CANCEL.replace(IDS[3][:8], "0" * 8), TRADE]))
     events, errors = read_canonical_jsonl(spark, p)
     assert counts(events, errors) == (5, 2, 3)
     assert [(r["line_number"], r["reason"]) for r in errors.orderBy("line_number").collect()] == [
@@ -64,14 +65,14 @@ def test_jsonl_reasons(spark, tmp_path):
         (change(QUOTE, payload__bid=None), "REQUIRED_FIELD"), (change(QUOTE, payload__bid=...), "REQUIRED_FIELD"),
         (change(QUOTE, payload__bid__quantity=0), "NORMALIZATION_ERROR"), (change(QUOTE, payload__bid__price__scale=19), "NORMALIZATION_ERROR"),
         (change(QUOTE, payload__bid__quantity="1"), "INVALID_FIELD"), (change(QUOTE, payload__ask={"quantity": 1}), "REQUIRED_FIELD"),
-        (TRADE, None), (QUOTE, None), (TRADE.replace('"XNAS"', '"A", "venue": "xnas"'), None),
+        (TRADE, None), (QUOTE, None), (TRADE.replace('"XTST"', '"A", "venue": "xtst"'), None),
         (change(TRADE, payload__aggressorSide=...), None),
     ]
     p = write(tmp_path / "a.jsonl", "\n".join(text for text, _ in cases) + "\n")
     events, errors = read_canonical_jsonl(spark, p)
     got = {r["line_number"]: r["reason"] for r in errors.collect()}
     assert [got.get(i + 1) for i in range(len(cases))] == [reason for _, reason in cases]
-    assert {r[0] for r in events.select("metadata.venue").collect()} == {"XNAS"}
+    assert {r[0] for r in events.select("metadata.venue").collect()} == {"XTST"}
 
 
 def test_line_numbers_over_many_splits(spark, tmp_path):
@@ -87,10 +88,10 @@ def test_line_numbers_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
-CONFIG = CsvConfig(source="csv/sample", timestamp_column="timestamp", symbol_column="symbol", venue_column="venue",
-                   decimal_price_column="price", quantity_column="quantity", side_column="side",
+CONFIG = CsvConfig(source="csv/desk", timestamp_column="at", symbol_column="code", venue_column="place",
+                   decimal_price_column="paid", quantity_column="lots", side_column="way",
                    side_mapping={"B": "BUY", "S": "SELL"}, price_scale=2)
-HEAD = "timestamp,symbol,venue,price,quantity,side,notes\n"
+HEAD = "at,code,place,paid,lots,way,remark\n"
 
 
 def csv(spark, tmp_path, text, config=CONFIG, **kw):
@@ -103,10 +104,10 @@ def csv(spark, tmp_path, text, config=CONFIG, **kw):
 
 
 def test_csv_rows(spark, tmp_path):
-    text = HEAD + (f'{MAX},"AAPL","XNAS","123.45",100,B,"a, ""b""\nsecond line"\n2,B,X,12.345,5,B\n\n3,C,X,1,5,S\r\n'
+    text = HEAD + (f'{MAX},"ZORB","XTST","187.25",100,B,"a, ""b""\nsecond line"\n2,B,X,12.345,5,B\n\n3,C,X,1,5,S\r\n'
                    '4,D,X,1,5\n5,E,X,1e1,7,B,n,more\n')
     assert csv(spark, tmp_path, text) == (
-        [(2, 1, "AAPL", "123.45"), (6, 4, "C", "1.00"), (8, 6, "E", "10.00")],
+        [(2, 1, "ZORB", "187.25"), (6, 4, "C", "1.00"), (8, 6, "E", "10.00")],
         [(4, "INVALID_DECIMAL"), (5, "INVALID_TIMESTAMP"), (7, "MISSING_COLUMN")])
 
 
@@ -124,12 +125,12 @@ def test_csv_syntax_error_ends_the_file(spark, tmp_path):
 
 
 def test_csv_header_and_modes(spark, tmp_path):
-    assert csv(spark, tmp_path, "timestamp,symbol\n1,A\n") == ([], [(1, "MISSING_COLUMN")])
-    assert csv(spark, tmp_path, HEAD.replace("notes", "side") + "1,A,X,1,1,B\n") == ([], [(1, "INVALID_CONFIGURATION")])
+    assert csv(spark, tmp_path, "at,code\n1,A\n") == ([], [(1, "MISSING_COLUMN")])
+    assert csv(spark, tmp_path, HEAD.replace("remark", "way") + "1,A,X,1,1,B\n") == ([], [(1, "INVALID_CONFIGURATION")])
     assert csv(spark, tmp_path, HEAD + "1,A,X,zz,5,B\n2,A,X,1,5,B\n", mode=FAIL_FAST) == ([], [(2, "INVALID_DECIMAL")])
     assert csv(spark, tmp_path, "") == ([], [])
     plain = CsvConfig(source="s", timestamp_column="0", symbol_column="1", price_mantissa_column="2", quantity_column="3",
-                      side_column="4", side_mapping={"b": "BUY"}, constant_venue="xnas", has_header=False, delimiter="|",
+                      side_column="4", side_mapping={"b": "BUY"}, constant_venue="xtst", has_header=False, delimiter="|",
                       timestamp_format="ISO_INSTANT", price_scale=3)
     assert csv(spark, tmp_path, "1970-01-01T00:00:01Z|A|1500|3|b\n", plain) == ([(1, 1, "A", "1.500")], [])
     named = CsvConfig(**{**plain.__dict__, "symbol_column": "sym"})
@@ -163,13 +164,12 @@ def test_csv_config_rejects(change):
         CsvConfig(**{**CONFIG.__dict__, **change})
 
 
-FRAMES = {
-    "add": "002F41000000000000000100000000 3B9ACA00 00000000000003E9 4141504C20202020 42 00000064 0000000000003039 02",
-    "execute": "001D45 0000000000000002 000000003B9ACA64 00000000000003E9 00000028",
-    "cancel": "001D43 0000000000000003 000000003B9ACAC8 00000000000003E9 0000003C",
-    "trade": "002F54 0000000000000004 000000003B9ACB2C 0000000000001389 4D53465420202020 53 00000019 00000000000061AD 02",
+RAW = {
+    "add": struct.pack(">HcQQQ8scIQB", 47, b"A", 1, 1000000000, 4207, b"ZORB    ", b"B", 100, 18725, 2),
+    "execute": struct.pack(">HcQQQI", 29, b"E", 2, 1000000100, 4207, 40),
+    "cancel": struct.pack(">HcQQQI", 29, b"C", 3, 1000000200, 4207, 60),
+    "trade": struct.pack(">HcQQQ8scIQB", 47, b"T", 4, 1000000300, 9313, b"QUIX    ", b"S", 25, 31418, 2),
 }
-RAW = {k: bytes.fromhex(v.replace(" ", "")) for k, v in FRAMES.items()}
 
 
 def frames(spark, *raw):
@@ -183,10 +183,10 @@ def test_golden_frames(spark):
     assert errors.count() == 0
     assert [(r["kind"], r["sequence"], r["event_time"], r["order_id"], r["trade_id"], r["symbol"], r["side"], r["quantity"],
              tuple(r["price"]) if r["price"] else None) for r in rows] == [
-        ("ORDER_ADDED", 1, 1000000000, 1001, None, "AAPL", "BUY", 100, (12345, 2)),
-        ("ORDER_EXECUTED", 2, 1000000100, 1001, None, None, None, 40, None),
-        ("ORDER_CANCELLED", 3, 1000000200, 1001, None, None, None, 60, None),
-        ("TRADE", 4, 1000000300, None, 5001, "MSFT", "SELL", 25, (25005, 2))]
+        ("ORDER_ADDED", 1, 1000000000, 4207, None, "ZORB", "BUY", 100, (18725, 2)),
+        ("ORDER_EXECUTED", 2, 1000000100, 4207, None, None, None, 40, None),
+        ("ORDER_CANCELLED", 3, 1000000200, 4207, None, None, None, 60, None),
+        ("TRADE", 4, 1000000300, None, 9313, "QUIX", "SELL", 25, (31418, 2))]
 
 
 def test_bad_frames(spark):
@@ -211,13 +211,13 @@ def test_bad_frames(spark):
 
 def test_frames_normalize(spark):
     raw = [*RAW.values(), RAW["execute"], b"\x00\x01Q"]
-    events, failures = normalize_frames(decode_frames(frames(spark, *raw))[0], "xnas")
+    events, failures = normalize_frames(decode_frames(frames(spark, *raw))[0], "xtst")
     rows = events.orderBy("frame_number").collect()
     assert [(r["instrument"]["symbol"], r["payload"]["type"]) for r in rows] == [
-        ("AAPL", "ORDER_ADDED"), ("AAPL", "ORDER_EXECUTED"), ("AAPL", "ORDER_CANCELLED"), ("MSFT", "TRADE")]
-    assert rows[0]["metadata"]["venue"] == "XNAS" and rows[0]["metadata"]["rawEventReference"] == "stp:src:frame:1"
+        ("ZORB", "ORDER_ADDED"), ("ZORB", "ORDER_EXECUTED"), ("ZORB", "ORDER_CANCELLED"), ("QUIX", "TRADE")]
+    assert rows[0]["metadata"]["venue"] == "XTST" and rows[0]["metadata"]["rawEventReference"] == "stp:src:frame:1"
     assert [(r["frame_number"], r["reason"], r["detail"]) for r in failures.orderBy("frame_number").collect()] == [
-        (5, "INSTRUMENT_NOT_RESOLVED", "no instrument is known for STP order 1001"),
+        (5, "INSTRUMENT_NOT_RESOLVED", "no instrument is known for STP order 4207"),
         (6, "UNSUPPORTED_MESSAGE_TYPE", "STP message type 81 is not assigned by STP v1")]
 
 

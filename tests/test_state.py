@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import MAX
 from tickloom.operators.orders import order_state, resolve_instruments
-from tickloom.operators.scan import find_hot
+from tickloom.operators.scan import chunked
 from tickloom.operators.sequence import sequence_integrity, sequence_strict
 from tickloom.streaming.state import order_state_stream, sequence_integrity_stream
 
@@ -64,15 +64,26 @@ def test_integrity_rules(spark):
     assert sequence_integrity(first).first()["missing"] == 3
 
 
-@pytest.mark.parametrize("hot_rows, chunk_rows", [(10 ** 9, None), (100, 20), (1, 7)])
-def test_hot_source_gives_the_same_result(spark, hot_rows, chunk_rows):
+@pytest.mark.parametrize("hot_rows, parts", [(10 ** 9, 5), (100, 20), (1, 7), (None, 3)])
+def test_hot_source_gives_the_same_result(spark, hot_rows, parts):
     rows = sequence_rows()
     df = spark.createDataFrame(rows, "source string, arrival long, sequence long").repartition(5)
-    out = sequence_integrity(df, hot_rows=hot_rows, chunk_rows=chunk_rows)
+    out = sequence_integrity(df, hot_rows=hot_rows, parts=parts)
     assert got_integrity(out) == expected_integrity(rows)
-    if hot_rows == 100:
-        chunks = find_hot(df, ["source"], "arrival", hot_rows, chunk_rows)
-        assert chunks.rows > 5 and "__chunk" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_keys_split_evenly_and_without_a_job(spark):
+    rows = spark.range(40_000).selectExpr("if(id % 4 = 3, concat('k', id % 1000), 'hot') as source",
+                                          "if(id = 39998, 1000000000000, id) as arrival", "id + 1 as sequence")
+    rows = rows.union(spark.sql("select cast(null as string), 5L, 6L"))
+    spark.sparkContext.setJobGroup("build", "building a plan")
+    split = chunked(rows, ["source"], "arrival", 1_000, 50)
+    sequence_integrity(rows, hot_rows=1_000, parts=50)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    sizes = {(r["source"], r["__chunk"]): r["count"] for r in split.groupBy("source", "__chunk").count().collect()}
+    hot = [n for (source, chunk), n in sizes.items() if source == "hot"]
+    assert sum(sizes.values()) == 40_001 and sum(hot) == 30_000 and len(hot) == 50 and max(hot) < 2 * 30_000 / 50
+    assert all(chunk is None for source, chunk in sizes if source != "hot")
 
 
 @pytest.mark.parametrize("hot_rows", [10 ** 9, 50])
@@ -80,7 +91,7 @@ def test_reset_judges_against_one_again(spark, hot_rows):
     rows = sequence_rows(9)
     df = spark.createDataFrame(rows, "source string, arrival long, sequence long") \
         .withColumn("forget", F.col("arrival") % 17 == 0)
-    got = got_integrity(sequence_integrity(df, reset="forget", hot_rows=hot_rows, chunk_rows=10))
+    got = got_integrity(sequence_integrity(df, reset="forget", hot_rows=hot_rows, parts=10))
     want = []
     for s, items in by_source(rows).items():
         runs = [[]]
@@ -135,18 +146,18 @@ def got_orders(df):
     return sorted((tuple(r) for r in df.select(*names).collect()), key=lambda r: r[2])
 
 
-@pytest.mark.parametrize("hot_rows, chunk_rows", [(10 ** 9, None), (100, 30), (1, 9)])
-def test_order_state(spark, hot_rows, chunk_rows):
+@pytest.mark.parametrize("hot_rows, parts", [(10 ** 9, 5), (100, 30), (1, 9)])
+def test_order_state(spark, hot_rows, parts):
     rows = order_rows()
     df = spark.createDataFrame(rows, ORDER_SCHEMA).repartition(5)
-    assert got_orders(order_state(df, hot_rows=hot_rows, chunk_rows=chunk_rows)) == follow(rows)
+    assert got_orders(order_state(df, hot_rows=hot_rows, parts=parts)) == follow(rows)
 
 
 def test_resolve(spark):
-    rows = [("s", 1, 1, "ORDER_EXECUTED", 5, None), ("s", 1, 2, "ORDER_ADDED", 100, "AAPL"), ("s", 1, 3, "ORDER_CANCELLED", 40, None),
-            ("s", 1, 4, "ORDER_EXECUTED", 90, None), ("s", 1, 5, "ORDER_EXECUTED", 1, None), ("s", 1, 6, "TRADE", 1, "MSFT")]
+    rows = [("s", 1, 1, "ORDER_EXECUTED", 5, None), ("s", 1, 2, "ORDER_ADDED", 100, "ZORB"), ("s", 1, 3, "ORDER_CANCELLED", 40, None),
+            ("s", 1, 4, "ORDER_EXECUTED", 90, None), ("s", 1, 5, "ORDER_EXECUTED", 1, None), ("s", 1, 6, "TRADE", 1, "QUIX")]
     out = resolve_instruments(spark.createDataFrame(rows, ORDER_SCHEMA)).orderBy("arrival").collect()
-    assert [r["instrument"] for r in out] == [None, "AAPL", "AAPL", "AAPL", None, "MSFT"]
+    assert [r["instrument"] for r in out] == [None, "ZORB", "ZORB", "ZORB", None, "QUIX"]
     assert [bool(r["resolve_error"]) for r in out] == [True, False, False, False, True, False]
 
 

@@ -147,7 +147,7 @@ class _Renderer:
         members: dict[str, Node] = {}
         for key, child in spec["fields"].items():
             if not key.strip() or len(key) > MAX_KEY_LENGTH:
-                raise ValueError(f"output field key must be 1..{MAX_KEY_LENGTH} characters: {location}")
+                raise ValueError(f"{location} has a key that is empty or longer than {MAX_KEY_LENGTH}")
             self.add(f"{location}.{key}")
             members[key] = self.node(child, f"{location}.{key}", depth + 1, guard)
         value = F.struct(*[n.value.alias(k) for k, n in members.items()])

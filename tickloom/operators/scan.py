@@ -1,9 +1,9 @@
 """Running aggregates over ordered rows of a key that hold when one key owns much of the data.
 
-A plain window sorts one key in one task.  Keys above ``hot_rows`` are found first by a heavy-hitter
-sketch (map-side merge, no shuffle of the keys); their rows are cut into consecutive chunks of the
-order column, each chunk is aggregated, a window over the few chunk rows gives every chunk the state
-at its start, and the window then runs per (key, chunk).  Results are the same either way.
+A plain window sorts one key in one task.  Here the rows of every key with more than ``hot_rows`` rows are cut into
+consecutive chunks of the order column, at percentiles of that key, so an outlier moves no border.  Each chunk
+is aggregated, a window over the few chunk rows gives every chunk the state at its start, and the window over the rows
+runs per (key, chunk).  Keys are counted exactly, all parts belong to one plan, and no job runs while it is built.
 """
 
 from __future__ import annotations
@@ -13,11 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 HOT_ROWS = 5_000_000
-TRACKED_KEYS = 10_000
-RETURNED_KEYS = 1_000
-BROADCAST_ROWS = 200_000
+PARTS = 1_000  # chunks of a hot key
 
-_HASH = "__key_hash"
 _CHUNK = "__chunk"
 
 
@@ -31,14 +28,6 @@ class Running:
     inclusive: bool = False
 
 
-@dataclass(frozen=True)
-class Chunks:
-    """Hot keys with the start and width of their chunks (few rows, bounded by the sketch)."""
-
-    ranges: dict[int, tuple[int, int]]
-    rows: int
-
-
 def _position(order: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return order.cast("bigint")
@@ -47,34 +36,32 @@ def _position(order: Column, dtype: T.DataType) -> Column:
     raise ValueError("the first order column must be an integer or a timestamp")
 
 
-def find_hot(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = HOT_ROWS,
-             chunk_rows: int | None = None) -> Chunks:
-    """Keys with more than ``hot_rows`` rows and how to cut them; two small aggregate jobs.
+def _same(a: str, b: str, keys: list[str]) -> Column:
+    out = F.lit(True)
+    for key in keys:
+        out = out & F.col(f"{a}.{key}").eqNullSafe(F.col(f"{b}.{key}"))
+    return out
+
 
-    The sketch tracks ``TRACKED_KEYS`` keys and returns the ``RETURNED_KEYS`` largest, so what reaches the
-    driver is bounded.  A key that is not returned has at most 1/``RETURNED_KEYS`` of all rows.
-    ``hot_rows=None`` says that no key is hot and runs no job.
+def chunked(df: DataFrame, keys: list[str], order: str, hot_rows: int | None = HOT_ROWS,
+            parts: int = PARTS) -> DataFrame:
+    """Add the chunk of every row: NULL unless its key has more than ``hot_rows`` rows.
+
+    Rows are counted per key with partial counts per task; what comes back is one row per hot key, at most one for
+    every ``hot_rows`` rows of input.  ``hot_rows=None`` says that no key is hot.
     """
     if hot_rows is None:
-        return Chunks({}, 0)
-    hashed = df.select(F.xxhash64(*keys).alias(_HASH),
-                       _position(F.col(order), df.schema[order].dataType).alias("at"))
-    # The sketch's counts may sit a little above the truth, never so far below that a hot key hides.
-    top = hashed.agg(F.expr(f"approx_top_k({_HASH}, {RETURNED_KEYS}, {TRACKED_KEYS})")
-                     .alias("top")).first()["top"] or []
-    hot = [item[0] for item in top if item[1] > hot_rows]
-    if not hot:
-        return Chunks({}, 0)
-    chunk_rows = chunk_rows or max(hot_rows // 4, 1)
-    spans = (hashed.filter(F.col(_HASH).isin(hot)).groupBy(_HASH)
-             .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).collect())
-    ranges, total = {}, 0
-    for span in spans:
-        parts = -(-span["n"] // chunk_rows)
-        width = max(-(-(span["hi"] - span["lo"] + 1) // parts), 1)
-        ranges[span[_HASH]] = (span["lo"], width)
-        total += parts
-    return Chunks(ranges, total)
+        return df.withColumn(_CHUNK, F.lit(None).cast("int"))
+    at = _position(F.col(order), df.schema[order].dataType)
+    placed = df.select(*keys, at.alias("__at"))
+    hot = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > hot_rows)
+    borders = (placed.alias("x").join(hot.alias("h"), _same("x", "h", keys), "left_semi").groupBy(*keys)
+               .agg(F.percentile_approx("__at", [i / parts for i in range(1, parts)], 10 * parts).alias("__borders")))
+    steps = [1 << i for i in reversed(range(parts.bit_length()))]
+    chunk = F.when(F.col("h.__borders").isNotNull(), F.aggregate(
+        F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(
+            F.get(F.col("h.__borders"), low + step - 1) <= at, low + step).otherwise(low)))
+    return df.alias("x").join(borders.alias("h"), _same("x", "h", keys), "left").select("x.*", chunk.alias(_CHUNK))
 
 
 def _aggregate(item: Running) -> Column:
@@ -88,26 +75,23 @@ def _over(item: Running, window) -> Column:
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], items: list[Running],
-            hot_rows: int | None = HOT_ROWS, chunk_rows: int | None = None,
-            chunks: Chunks | None = None) -> DataFrame:
+            hot_rows: int | None = HOT_ROWS, parts: int = PARTS) -> DataFrame:
     """Add each running aggregate over the earlier rows of the key (own row included on request).
 
     ``order`` must order the rows of a key totally.  Its first column is an integer or a timestamp
-    and decides the chunks of hot keys.  All items share one shuffle and one sort.
+    and decides the chunks of hot keys; rows where it is NULL are in the first chunk.  All items share one sort.
+    A frame that ``chunked`` has seen keeps its chunks, and the caller drops them.
     """
-    chunks = find_hot(df, keys, order[0], hot_rows, chunk_rows) if chunks is None else chunks
-    if not chunks.ranges:
-        return _windowed(df, keys, order, items)
-    tagged = df.withColumn(_HASH, F.xxhash64(*keys))
-    is_hot = F.col(_HASH).isin(list(chunks.ranges))
-    cold = _windowed(tagged.filter(~is_hot).drop(_HASH), keys, order, items)
-
-    at = _position(F.col(order[0]), df.schema[order[0]].dataType)
-    starts = F.create_map(*[F.lit(x) for h, (lo, _) in chunks.ranges.items() for x in (h, lo)])
-    widths = F.create_map(*[F.lit(x) for h, (_, w) in chunks.ranges.items() for x in (h, w)])
-    chunk = F.call_function("div", at - F.element_at(starts, F.col(_HASH)),
-                            F.element_at(widths, F.col(_HASH)))
-    hot = tagged.filter(is_hot).withColumn(_CHUNK, chunk.cast("bigint")).drop(_HASH)
+    if _CHUNK in df.columns:
+        return _running(df, keys, order, items)
+    return _running(chunked(df, keys, order[0], hot_rows, parts), keys, order, items).drop(_CHUNK)
+
+
+def without_chunks(df: DataFrame) -> DataFrame:
+    return df.drop(_CHUNK)
+
+
+def _running(df: DataFrame, keys: list[str], order: list[str], items: list[Running]) -> DataFrame:
     group = keys + [_CHUNK]
     place = F.struct(*order)
     states = []
@@ -117,15 +101,12 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
                                    F.when(item.value.isNotNull(), place)).alias(f"__s_{item.name}"))
         else:
             states.append(_aggregate(item).alias(f"__s_{item.name}"))
-    per_chunk = hot.groupBy(*group).agg(*states)
+    per_chunk = df.filter(F.col(_CHUNK).isNotNull()).groupBy(*group).agg(*states)
     before = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    starts_of = per_chunk.select(*group, *[
-        _over(Running(i.name, i.kind, F.col(f"__s_{i.name}")), before).alias(f"__p_{i.name}")
-        for i in items])
-    if chunks.rows <= BROADCAST_ROWS:
-        starts_of = F.broadcast(starts_of)
-    local = _windowed(hot, group, order, items).join(starts_of, group)
-    merged = local
+    starts = per_chunk.select(*group, *[
+        _over(Running(i.name, i.kind, F.col(f"__s_{i.name}")), before).alias(f"__p_{i.name}") for i in items])
+    merged = _windowed(df, group, order, items).alias("x").join(
+        starts.alias("p"), _same("x", "p", group), "left").select("x.*", *[f"p.__p_{i.name}" for i in items])
     for i in items:
         own, prefix = F.col(i.name), F.col(f"__p_{i.name}")
         if i.kind == "max":
@@ -136,7 +117,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], items: list[Runnin
         else:
             value = F.coalesce(own, prefix)
         merged = merged.withColumn(i.name, value)
-    return cold.unionByName(merged.select(*cold.columns))
+    return merged.drop(*[f"__p_{i.name}" for i in items])
 
 
 def _windowed(df: DataFrame, keys: list[str], order: list[str], items: list[Running]) -> DataFrame:

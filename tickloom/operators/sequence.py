@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators.scan import HOT_ROWS, Running, find_hot, running
+from tickloom.operators.scan import HOT_ROWS, PARTS, Running, running
 from tickloom.schema import MAX_LONG
 
 EXPECTED = "EXPECTED"
@@ -37,7 +37,7 @@ def classify(sequence: Column, last: Column) -> tuple[Column, Column, Column]:
 
 def sequence_integrity(df: DataFrame, source: str = "source", sequence: str = "sequence",
                        order: str | list[str] = "arrival", reset: str | None = None,
-                       hot_rows: int = HOT_ROWS, chunk_rows: int | None = None) -> DataFrame:
+                       hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
     """Add ``status``, ``expected`` and ``missing`` to every row.
 
     The last accepted number is the running maximum of the earlier rows, since only an expected
@@ -50,13 +50,10 @@ def sequence_integrity(df: DataFrame, source: str = "source", sequence: str = "s
     if reset is not None:
         base = running(df, [source], order,
                        [Running("__epoch", "sum", F.col(reset).cast("bigint"), inclusive=True)],
-                       hot_rows, chunk_rows)
+                       hot_rows, parts)
         keys = [source, "__epoch"]
-        chunks = find_hot(base, keys, order[0], hot_rows, chunk_rows)
-    else:
-        chunks = None
     out = running(base, keys, order, [Running(_LAST, "max", F.col(sequence).cast("bigint"))],
-                  hot_rows, chunk_rows, chunks)
+                  hot_rows, parts)
     status, expected, missing = classify(F.col(sequence), F.col(_LAST))
     return out.withColumns({"status": status, "expected": expected, "missing": missing}) \
         .drop(_LAST, "__epoch")
@@ -64,12 +61,12 @@ def sequence_integrity(df: DataFrame, source: str = "source", sequence: str = "s
 
 def sequence_strict(df: DataFrame, source: str = "source", sequence: str = "sequence",
                     order: str | list[str] = "arrival", hot_rows: int = HOT_ROWS,
-                    chunk_rows: int | None = None) -> DataFrame:
+                    parts: int = PARTS) -> DataFrame:
     """Add ``accepted`` and ``previous``: a number not above the last accepted one is rejected.
 
     A source may start at any positive number and may skip numbers.
     """
     order = [order] if isinstance(order, str) else list(order)
     out = running(df, [source], order, [Running("previous", "max", F.col(sequence).cast("bigint"))],
-                  hot_rows, chunk_rows)
+                  hot_rows, parts)
     return out.withColumn("accepted", F.col("previous").isNull() | (F.col(sequence) > F.col("previous")))

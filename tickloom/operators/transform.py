@@ -108,7 +108,7 @@ def cast_value(value: Column, source: str, target: str) -> tuple[Column, Column]
 def _require(doc: Document, path: str) -> Field:
     check_path(path)
     if path not in doc.fields:
-        raise ValueError(f"UNKNOWN_FIELD: unknown field path: {path}")
+        raise ValueError(f"UNKNOWN_FIELD: no field {path} at this point of the rules")
     return doc.fields[path]
 
 
@@ -116,20 +116,20 @@ def _require_writable(path: str, subtree: bool = False) -> None:
     cursor = path
     while cursor:
         if cursor in PROTECTED:
-            raise ValueError(f"PROTECTED_FIELD: protected canonical field cannot be modified: {path}")
+            raise ValueError(f"PROTECTED_FIELD: rules may read {path} but not change it")
         cursor = parent_of(cursor)
     if subtree and any(is_under(p, path) for p in PROTECTED):
-        raise ValueError(f"PROTECTED_FIELD: field subtree contains a protected field: {path}")
+        raise ValueError(f"PROTECTED_FIELD: {path} holds a field that rules may not change")
 
 
 def _require_target(doc: Document, path: str) -> None:
     check_path(path)
     if any(is_under(p, path) for p in doc.fields):
-        raise ValueError(f"TARGET_EXISTS: target field already exists: {path}")
+        raise ValueError(f"TARGET_EXISTS: {path} is taken")
     parent = parent_of(path)
     if parent:
         if parent not in doc.fields or doc.fields[parent].type != OBJECT:
-            raise ValueError(f"INVALID_TARGET: target parent must exist and be OBJECT: {path}")
+            raise ValueError(f"INVALID_TARGET: {path} has no object to stand in")
         _require_writable(parent)
 
 
@@ -187,7 +187,7 @@ class _Fold:
     def select(self, index: int, op: dict) -> str:
         chosen = list(op["fields"])
         if len(set(chosen)) != len(chosen):
-            raise ValueError("DUPLICATE_FIELD: select contains duplicate field")
+            raise ValueError("DUPLICATE_FIELD: select names a field twice")
         for path in chosen:
             _require(self.doc, path)
         keep = set(chosen) | PROTECTED
@@ -207,7 +207,7 @@ class _Fold:
         _require(self.doc, source)
         _require_writable(source, subtree=True)
         if is_under(target, source):
-            raise ValueError(f"INVALID_TARGET: rename target must not be under its source: {target}")
+            raise ValueError(f"INVALID_TARGET: {target} lies inside what is renamed")
         _require_target(self.doc, target)
         self.need(source, index, "rename")
         doc = self.doc
@@ -254,7 +254,7 @@ class _Fold:
         entry = _require(self.doc, path)
         _require_writable(path)
         if target != entry.type and target not in CASTS[entry.type]:
-            raise ValueError(f"UNSUPPORTED_CAST: unsupported cast from {entry.type} to {target}")
+            raise ValueError(f"UNSUPPORTED_CAST: no cast leads from {entry.type} to {target}")
         self.need(path, index, "cast")
         if entry.type == OBJECT:
             return path
@@ -273,7 +273,7 @@ class _Fold:
         entry = _require(self.doc, path)
         _require_writable(path)
         if entry.type != FIXED_DECIMAL:
-            raise ValueError(f"TYPE_MISMATCH: scale_fixed_decimal requires FIXED_DECIMAL: {path}")
+            raise ValueError(f"TYPE_MISMATCH: {path} is no decimal to rescale")
         if isinstance(target, bool) or not isinstance(target, int) or not 0 <= target <= MAX_SCALE:
             raise ValueError(f"scale must be between 0 and {MAX_SCALE}")
         self.need(path, index, "scale_fixed_decimal")
@@ -291,7 +291,7 @@ class _Fold:
         entry = _require(self.doc, path)
         _require_writable(path)
         if entry.type not in (ENUM, STRING):
-            raise ValueError(f"TYPE_MISMATCH: enum_map requires ENUM or STRING: {path}")
+            raise ValueError(f"TYPE_MISMATCH: {path} is no text to map")
         if not 1 <= len(mapping) <= MAX_ENUM_ENTRIES:
             raise ValueError(f"enum mapping takes 1..{MAX_ENUM_ENTRIES} entries")
         self.need(path, index, "enum_map")

@@ -127,7 +127,7 @@ DEAD_LETTER_SCHEMA = T.StructType([
     T.StructField("pipelineSchemaVersion", T.StringType()),
 ])
 
-_SEGMENT = re.compile(r"[A-Za-z][A-Za-z0-9_]*\Z")
+_PATH = re.compile(r"[A-Za-z][A-Za-z0-9_]*(\.[A-Za-z][A-Za-z0-9_]*)*")
 MAX_PATH_LENGTH = 256
 MAX_PATH_SEGMENTS = 16
 
@@ -139,18 +139,12 @@ FORBIDDEN_SEGMENTS = frozenset({
 
 def check_path(path: str) -> str:
     """Return ``path`` when it is a legal dotted field path, else raise ``ValueError``."""
-    if not isinstance(path, str) or not path.strip():
-        raise ValueError("field path must not be blank")
-    if len(path) > MAX_PATH_LENGTH:
-        raise ValueError(f"field path must not exceed {MAX_PATH_LENGTH} characters")
-    segments = path.split(".")
-    if len(segments) > MAX_PATH_SEGMENTS:
-        raise ValueError(f"field path must not exceed {MAX_PATH_SEGMENTS} segments")
-    for segment in segments:
-        if not _SEGMENT.match(segment):
-            raise ValueError(f"invalid field path segment: {segment}")
-        if segment in FORBIDDEN_SEGMENTS:
-            raise ValueError(f"forbidden field path segment: {segment}")
+    names = path.split(".") if isinstance(path, str) and _PATH.fullmatch(path) else []
+    if not 1 <= len(names) <= MAX_PATH_SEGMENTS or len(path) > MAX_PATH_LENGTH:
+        raise ValueError(f"{path!r} is no field path: names joined by dots, at most {MAX_PATH_SEGMENTS} of them "
+                         f"and {MAX_PATH_LENGTH} characters")
+    if reserved := FORBIDDEN_SEGMENTS.intersection(names):
+        raise ValueError(f"{path!r} names {', '.join(sorted(reserved))}, which rules may not touch")
     return path
 
 
@@ -175,30 +169,3 @@ def logical_type(dtype: T.DataType) -> str:
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return INT64
     raise ValueError(f"type {dtype.simpleString()} has no place in an event document")
-
-
-def catalog_of(schema: T.StructType, known: dict[str, Field] | None = None,
-               roots: list[str] | None = None) -> dict[str, Field]:
-    """Field catalog of a frame's document columns.
-
-    Canonical paths keep their catalog type (ENUM, TIMESTAMP_NANOS) and protection; a path the
-    catalog does not know takes the type Spark reports.
-    """
-    known = CANONICAL_FIELDS if known is None else known
-    out: dict[str, Field] = {}
-
-    def walk(struct: T.StructType, prefix: str) -> None:
-        for f in struct.fields:
-            path = f"{prefix}.{f.name}" if prefix else f.name
-            if not prefix and roots is not None and f.name not in roots:
-                continue
-            seen = logical_type(f.dataType)
-            entry = known.get(path)
-            if entry is not None and SPARK_TYPES.get(entry.type) != SPARK_TYPES.get(seen):
-                entry = None
-            out[path] = entry or Field(seen, path in PROTECTED)
-            if out[path].type == OBJECT:
-                walk(f.dataType, path)
-
-    walk(schema, "")
-    return out

@@ -55,20 +55,20 @@ class CsvConfig:
 
     def __post_init__(self) -> None:
         if len(self.delimiter) != 1 or self.delimiter in '"\r\n\0':
-            raise ValueError("delimiter must be a nonzero non-quote character")
+            raise ValueError("the delimiter is one character, neither a quote nor NUL")
         if self.timestamp_format not in ("EPOCH_NANOS", "ISO_INSTANT"):
-            raise ValueError(f"unknown timestamp format: {self.timestamp_format}")
+            raise ValueError(f"no timestamp format {self.timestamp_format}")
         if (self.venue_column is None) == (self.constant_venue is None):
-            raise ValueError("configure exactly one of venue_column or constant_venue")
+            raise ValueError("give the venue either by column or as a constant")
         if (self.price_mantissa_column is None) == (self.decimal_price_column is None):
-            raise ValueError("configure exactly one of price_mantissa_column or decimal_price_column")
+            raise ValueError("give the price either by mantissa or as a decimal")
         if not 0 <= self.price_scale <= MAX_SCALE:
-            raise ValueError(f"price scale must be between 0 and {MAX_SCALE}")
+            raise ValueError(f"the price scale lies in 0..{MAX_SCALE}")
         if not self.side_mapping or set(self.side_mapping.values()) - {"BUY", "SELL"}:
-            raise ValueError("side mapping must not be empty and maps to BUY or SELL")
+            raise ValueError("the side mapping needs entries, each to BUY or SELL")
         for name in ("timestamp_column", "symbol_column", "quantity_column", "side_column"):
             if not getattr(self, name).strip():
-                raise ValueError(f"{name} must not be blank")
+                raise ValueError(f"{name} is missing")
 
     @staticmethod
     def from_dict(spec: dict) -> "CsvConfig":
