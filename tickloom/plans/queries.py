@@ -65,8 +65,8 @@ def s_event_id(source: str, seq: str) -> str:
             f"unhex(lpad(to_hex(({seq})::BIGINT), 16, '0')))")
 
 
-S_CSYM = "('C' || (o_custkey % 1000000))"
-S_PSYM = "('P' || (l_partkey % 1000000))"
+S_CSYM = "('C' || to_base(o_custkey, 36))"
+S_PSYM = "('P' || to_base(l_partkey, 36))"
 S_SIDE = "CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END"
 S_NUM = "(l_orderkey * 10 + l_linenumber)"
 S_MIXED = f"""m AS (
@@ -323,7 +323,7 @@ r AS (SELECT *, CASE k WHEN 1 THEN 'MALFORMED_JSON' WHEN 2 THEN 'EVENT_ID_MISMAT
 SELECT event_id, reason, CASE WHEN reason IS NULL THEN event_id + 1 END AS sequence,
   CASE WHEN reason IS NULL THEN epoch_us(ts) * 1000 END AS at_ns,
   CASE WHEN reason IS NULL THEN 'XTPC' END AS venue,
-  CASE WHEN reason IS NULL THEN upper(substr(event_type, 1, 5)) END AS symbol,
+  CASE WHEN reason IS NULL THEN upper(event_type) END AS symbol,
   CASE WHEN reason IS NULL THEN event_id % 97 + 1 END AS quantity,
   CASE WHEN reason IS NULL THEN cents END AS mantissa,
   CASE WHEN reason IS NULL AND k <> 11 THEN 'BUY' END AS side FROM r""")
@@ -817,8 +817,8 @@ def order_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- reports ----------------------------------------------------------------------------------
 
-S_STATE = f"""{S_MIXED}, t AS (SELECT *, CASE WHEN cents < 200000 THEN 'FILTERED' WHEN aggressor IS NULL OR cents % 10 <> 0 THEN 'FAILED'
-  ELSE 'EMITTED' END AS state FROM m), n AS (SELECT count(*) AS received, count(*) AS parsed, count(*) AS normalized,
+S_STATE = f"""{S_MIXED}, t AS (SELECT *, CASE WHEN aggressor IS NULL THEN 'FAILED' WHEN qty > 40 THEN 'FILTERED'
+  WHEN cents % 10 <> 0 THEN 'FAILED' ELSE 'EMITTED' END AS state FROM m), n AS (SELECT count(*) AS received, count(*) AS parsed, count(*) AS normalized,
   count(*) FILTER (WHERE state = 'FILTERED') AS filtered, count(*) FILTER (WHERE state = 'EMITTED') AS emitted,
   count(*) FILTER (WHERE state = 'FAILED') AS failed FROM t)"""
 
@@ -915,11 +915,9 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = X.scale_decimal(V.adds(spark, sf_dir), "payload.price", 4)
     path = V.scratch(spark, "jsonl")
     write_jsonl(B.render_blueprint(df, RENDER), path)
-    schema = "event struct<occurredAt string, symbol string>, `order` struct<id bigint, price string, side string>"
-    back = spark.read.schema(schema).json(path)
-    return back.select(F.col("order.id").alias("id"), F.col("event.symbol").alias("symbol"),
-                       F.col("event.occurredAt").alias("at_ns"), F.col("order.price").alias("price"),
-                       F.col("order.side").alias("side"))
+    back = spark.read.schema("who string, side array<string>, made struct<at string, cost string, `order` bigint>").json(path)
+    return back.select(F.col("made.order").alias("id"), F.col("who").alias("symbol"), F.col("made.at").alias("at_ns"),
+                       F.col("made.cost").alias("price"), F.get("side", F.lit(0)).alias("side"))
 
 
 TRADE_COLUMNS = [("time", "metadata.exchangeTimestamp"), ("symbol", "instrument.symbol"), ("place", "metadata.venue"),

@@ -31,12 +31,14 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder below the cluster's shared checkpoint folder; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
+    """New folder below the checkpoint folder that all executors share; a local session without one gets one."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tickloom-")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-"))
+        base = context.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -68,11 +70,11 @@ def instrument(symbol: Column) -> Column:
 
 
 def customer_symbol() -> Column:
-    return F.concat(F.lit("C"), (F.col("o_custkey") % 1000000).cast("string"))
+    return F.concat(F.lit("C"), F.conv(F.col("o_custkey").cast("string"), 10, 36))
 
 
 def part_symbol() -> Column:
-    return F.concat(F.lit("P"), (F.col("l_partkey") % 1000000).cast("string"))
+    return F.concat(F.lit("P"), F.conv(F.col("l_partkey").cast("string"), 10, 36))
 
 
 def order_side() -> Column:
@@ -208,7 +210,7 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',"exchangeTimestamp":'), F.when(k == 6, F.lit('"7"')).otherwise(nanos("ts").cast("string")),
         F.lit(',"sequenceNumber":'), F.when(k == 7, F.lit("1.0")).otherwise(number),
         F.lit(',"rawEventReference":'), json_string(F.concat(F.lit("events:"), key.cast("string"))),
-        F.lit('},"instrument":{"symbol":"'), pick(F.upper(F.substring("event_type", 1, 5)), _8="TOO LONG1"),
+        F.lit('},"instrument":{"symbol":"'), pick(F.upper("event_type"), _8="TOO LONG1"),
         F.lit('"},"payload":{"type":"'), pick("TRADE", _9="NOPE"), F.lit('","tradeId":'), key.cast("string"),
         pick(',"aggressorSide":"BUY"', _10=',"aggressorSide":"X"', _11="", _12=',"aggressorSide":null'),
         F.lit(',"quantity":'), F.when(k == 13, F.concat(quantity, F.lit(".0"))).when(k == 14, F.concat(F.lit('"'), quantity, F.lit('"')))
