@@ -18,7 +18,8 @@ from tickloom.llm.wordhash import mix, numbers, portions, shingle_hashes, words
 PLACES = 1 << 20  # size of the permuted universe
 BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band in 3 of 10 million cases, one at 0.8 in 6 of 100,000
 SMALL = 6  # a bucket of so many texts is compared pair by pair: at most 2.5 pairs for each of its texts
-WORTH = 0.1  # share of a round's comparisons with hubs that must be links for another round
+NEAR = 50  # percent of similarity with a hub from which on its differences are kept
+WORTH = 0.1  # share of a round's comparisons with hubs that must settle a text for another round
 SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
 
 
@@ -88,7 +89,8 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, similarity: int, far: bool = False) -> DataFrame:
     """Exact similarity of ``pairs`` (a, b, ..) on full sets, as ``linked``.
 
-    ``far`` adds ``diff``, the shingles that only one of the two has, for pairs close enough to matter to a third text.
+    ``far`` adds, for pairs with a hub, ``diff``, the shingles that only one of the two has if they are near, and
+    ``close``, whether they are so near that no text which is not near the hub can be linked with a.
     """
     common, both = F.col("common"), F.col("na") + F.col("nb") - F.col("common")
     out = (pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
@@ -98,9 +100,10 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: int, far: bool = Fal
            .withColumn("linked", 100 * common >= similarity * both))
     columns = [*pairs.columns, "linked"]
     if far:
-        near = F.col("hub") & (100 * common >= (2 * similarity - 100) * both)
+        near = F.col("hub") & (100 * common >= NEAR * both)
         out = out.withColumn("diff", F.when(near, F.concat(F.array_except("sa", "sb"), F.array_except("sb", "sa"))))
-        columns.append("diff")
+        out = out.withColumn("close", F.col("hub") & (100 * common >= (NEAR + 100 - similarity) * both))
+        columns += ["diff", "close", "common", "na", "nb"]
     return out.select(*columns)
 
 
@@ -110,11 +113,10 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
     A bucket holds the texts that share a band.  Small ones are compared pair by pair.  In a larger one the text that
     shares most bands with others is the hub, and the others are compared with it alone:
 
-    * those linked with the hub leave the bucket;
-    * the rest stay for the next round, with a hub of their own;
-    * one of the rest (x) can still be linked with one that left (y).  Jaccard distance obeys the triangle
-      inequality, so x then has at least twice the similarity less 1 with the hub; and x and y share a shingle by which
-      they differ from the hub, else y would be no closer to x than the hub is.  Only such pairs are compared.
+    * Jaccard distance obeys the triangle inequality, so a text close to the hub can be linked only with texts near it;
+    * two texts that are not both linked with the hub can be linked only if they share shingles by which they differ
+      from it, else neither would be closer to the other than to the hub (``third_pairs``);
+    * texts close to the hub are then settled in this bucket; the rest stay for the next round, with a hub of their own.
 
     So no link inside a bucket is lost, and a group of copies, however large, costs one comparison for each.  Once hubs
     link few of what they are compared with, the texts left share bands by chance, and ``rare_pairs`` finds the
@@ -142,21 +144,17 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
                     .filter(100 * F.least("n", "n2") >= similarity * F.greatest("n", "n2"))
                     .select(F.col("rep").alias("a"), F.col("rep2").alias("b"), F.lit(False).alias("hub")))
         to_hub = (many.filter("rep <> to")
-                  .filter(100 * F.least("n", "head.n") >= (2 * similarity - 100) * F.greatest("n", "head.n"))
+                  .filter(100 * F.least("n", "head.n") >= NEAR * F.greatest("n", "head.n"))
                   .select(F.col("rep").alias("a"), F.col("to").alias("b"), F.lit(True).alias("hub")))
         pairs = pairwise.union(to_hub).groupBy("a", "b").agg(F.max("hub").alias("hub"))
         compared = saved(verified(pairs, sets, similarity, far=True), f"{name}-compared")
         found.append(compared.filter("linked").select("a", "b"))
-        parts = compared.filter("hub and diff is not null").select(
-            F.col("a").alias("rep"), F.col("b").alias("to"), "linked", F.explode("diff").alias("shingle"))
-        left = parts.filter("not linked").select("to", "shingle", F.col("rep").alias("a"))
-        gone = parts.filter("linked").select("to", "shingle", F.col("rep").alias("b"))
-        third = left.join(gone, ["to", "shingle"]).select("a", "b").distinct()
+        third = saved(third_pairs(compared.filter("hub and diff is not null"), similarity), f"{name}-thirds")
         found.append(saved(verified(third, sets, similarity).filter("linked").select("a", "b"), f"{name}-third"))
-        done = compared.filter("hub and linked").select(F.col("a").alias("rep"), F.col("b").alias("to"))
+        done = compared.filter("close").select(F.col("a").alias("rep"), F.col("b").alias("to"))
         rest = saved(many.filter("rep <> to").join(done, ["rep", "to"], "left_anti")
                      .select("rep", "bucket", "n", "score"), f"{name}-rest")
-        met, held = compared.filter("hub").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("linked").cast("int")), F.lit(0))).first()
+        met, held = compared.filter("hub").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("close").cast("int")), F.lit(0))).first()
         if held <= WORTH * met:
             break
     alone = sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
@@ -165,6 +163,31 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
     return found
 
 
+def third_pairs(near: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a, b) of texts near one hub, not both linked with it, among which are all that are linked.
+
+    Two texts share what both share with the hub, and o shingles of their differences from it, so their similarity says how
+    large o must be.  The differences of each text are put in order, the rarest first.  If a shingle is the first
+    that two texts share, o is at most what is left in either list from there; pairs that cannot reach the o they need
+    are dropped in the join, so what only sets the hub apart pairs nothing.
+    """
+    parts = near.select(F.col("a").alias("rep"), F.col("b").alias("to"), "linked", "common", "na", "nb",
+                        F.explode("diff").alias("shingle"))
+    held = parts.groupBy("to", "shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    lists = (parts.join(held, ["to", "shingle"]).groupBy("rep", "to", "linked", "common", "na", "nb")
+             .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own")))  # one text's own shingles
+    placed = lists.select("rep", "to", "linked", "common", "na", "nb", F.size("own").alias("size"),
+                          F.posexplode("own").alias("place", "x")).withColumn("shingle", F.col("x.shingle")).drop("x")
+    x, y = placed.filter("not linked").alias("x"), placed.alias("y")
+    bound = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    need = (similarity * (F.col("x.na") + F.col("y.na"))
+            + (100 + similarity) * (F.col("x.nb") - F.col("x.common") - F.col("y.common")))
+    one_way = (F.col("x.rep") < F.col("y.rep")) | (F.col("y.linked") & (F.col("x.rep") != F.col("y.rep")))
+    return (x.join(y, (F.col("x.to") == F.col("y.to")) & (F.col("x.shingle") == F.col("y.shingle")) & one_way
+                   & ((100 + similarity) * bound >= need))
+            .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+
+
 def rare_pairs(sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) among which are all that reach ``similarity`` percent (prefix filter).
 
