@@ -16,7 +16,8 @@ from tickloom.operators.validate import validate_events
 from tickloom.plans.run import read_capture_input, read_csv_input, read_jsonl_input, run
 from tickloom.sinks.files import publish, read_dead_letters, write_csv, write_jsonl
 from tickloom.streaming.pipeline import (
-    batch_writer, live_counters, read_event_stream, start_file_streams, stream_states,
+    batch_writer, live_counters, read_event_stream, start_counter_stream, start_file_streams, stream_counters,
+    stream_states,
 )
 
 
@@ -209,6 +210,25 @@ def test_event_stream_good_rows_and_letters(spark, tmp_path):
     assert (counters["received"], counters["emitted"], counters["failed"]) == (3, 1, 2)
 
 
+def test_counters_of_more_batches_than_spark_reports(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(12):
+        write(tmp_path / "in" / f"{i}.jsonl", "\n".join([ADD, "bad", TRADE]))
+    before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "5")
+    try:
+        states = stream_states(read_event_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger="1"), blueprint=BLUEPRINT)
+        query = start_counter_stream(states, str(tmp_path / "states"), str(tmp_path / "cp"))
+        query.awaitTermination()
+        assert len(query.recentProgress) <= 5
+        with pytest.raises(ValueError):
+            live_counters(query)
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
+    got = stream_counters(spark, str(tmp_path / "states")).first()
+    assert (got["received"], got["emitted"], got["failed"]) == (36, 12, 24)
+
+
 def test_repeated_batch_replaces_itself(spark, events, tmp_path):
     from tickloom.operators.validate import with_validation
 

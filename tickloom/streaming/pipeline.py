@@ -51,9 +51,15 @@ def observed(states: DataFrame, name: str = OBSERVED) -> DataFrame:
 
 
 def live_counters(query: StreamingQuery, name: str = OBSERVED) -> dict[str, int]:
-    """Sum of the observed counters over the progress a query still holds."""
+    """Sum of the observed counters over the progress a query still holds; fails once it has dropped any.
+
+    Spark holds a bounded number of progress reports.  ``start_counter_stream`` counts a query of any length.
+    """
     total: dict[str, int] = {}
-    for progress in query.recentProgress:
+    reports = query.recentProgress
+    if reports and reports[0]["batchId"] > 0:
+        raise ValueError("the first reports of this query are gone; count with start_counter_stream")
+    for progress in reports:
         row = progress["observedMetrics"].get(name)
         if row is None:
             continue
@@ -62,6 +68,18 @@ def live_counters(query: StreamingQuery, name: str = OBSERVED) -> dict[str, int]
     return total
 
 
+def start_counter_stream(states: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the state of every row, one small column, to a sink that commits each batch exactly once."""
+    return (states.select("state").writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def stream_counters(spark: SparkSession, path: str) -> DataFrame:
+    """The six counters over all committed batches of ``start_counter_stream``."""
+    return spark.read.schema("state string").parquet(path).agg(
+        *[c.alias(n) for n, c in counter_columns(F.col("state")).items()])
+
+
 def good_lines(states: DataFrame) -> DataFrame:
     """JSON lines of emitted rows."""
     return keep(states, F.col("state") == "EMITTED").select(record_line(states).alias("value"))
