@@ -116,6 +116,33 @@ def test_leaks(docs, spark):
     assert decontaminate.leaks(docs(rows), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_uneven_frequency(docs, spark):
+    rng = random.Random(16)
+    item = prose(rng, 20)
+    rows = [(0, " ".join(item))]
+    rows += [(i, " ".join(prose(rng, 5) + item[:10] + ["changed"] + item[11:])) for i in range(1, 5001)]
+    got = decontaminate.leaks(docs(rows), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id: r.similarity for r in got} == {0: 1.0} | {i: 0.95 for i in range(1, 5001)}
+    assert len(got) == 5001
+
+
+def test_hits_in_small_parts_are_the_same(monkeypatch):
+    rng = random.Random(17)
+    common = prose(rng, 12)
+    items = decontaminate.Items([(i, " ".join(prose(rng, 8) + common)) for i in range(30)], 0.8)
+    texts = [" ".join(prose(rng, n) + common * n + prose(rng, 3)) for n in range(6)] + ["", None]
+    found = wordhash.words(pa.array(texts, pa.string()))
+
+    def rows():
+        return sorted(r for part in items.stretches(found) for r in zip(*(x.tolist() for x in part)))
+
+    whole = rows()
+    assert len(whole) > 100
+    for most in (1, 7, 100):
+        monkeypatch.setattr(decontaminate, "PAIRS", most)
+        assert rows() == whole
+
+
 def test_alignment_against_plain_smith_waterman():
     rng = np.random.default_rng(7)
     for _ in range(40):

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,37 +10,102 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.registry import query, table
 from tickloom.llm.shared import saved
-from tickloom.llm.wordhash import batch_shingles, portions, words
+from tickloom.llm.wordhash import Words, batch_shingles, portions, words
 
 SEED = 5  # words of a seed; a shorter item is one seed
 BLOCK_BYTES = 32 << 20  # text of the items that a pass over the documents carries to every task
 MATCH, MISS = 2, -1  # alignment scores of a pair of equal words, and of a changed, missing or added one
-COMMON = 4  # a seed is common if it is in so many times more places than the rarest quarter of its item's seeds
+PAIRS = 1 << 20  # pairs of a seed in a text and in an item that are in memory at once
 _SCORE, _EQUAL = 1 << 40, 1 << 20
 
 
+def bounds(size: int, similarity: float) -> tuple[int, int]:
+    """Of a similar alignment with an item of ``size`` words: the fewest equal words, and the most other columns."""
+    equal = max(0, int(size * similarity) - 1)
+    while equal < size and equal / size < similarity:
+        equal += 1
+    return equal, _others(size, similarity)
+
+
+def _others(equal: int, similarity: float) -> int:
+    """The most columns without equal words beside ``equal`` ones."""
+    columns = int(equal / similarity) + 1
+    while columns > equal and equal / columns < similarity:
+        columns -= 1
+    return columns - equal
+
+
 class Items:
-    """A block of test items: their words, and the place of every seed among them."""
+    """A block of test items: their words, and the place of every seed among them, by the seed's width."""
 
-    def __init__(self, rows: list[tuple[int, str]], seed: int = SEED):
+    def __init__(self, rows: list[tuple[int, str]], similarity: float, seed: int = SEED):
         found = words(pa.array([text for _, text in rows], pa.string()))
         self.ids = [i for i, _ in rows]
         self.words = [found.of(i) for i in range(len(rows))]
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        hashes, owners, places = [], [], []
-        for width in sorted(set(np.minimum(sizes, seed).tolist()) - {0}):
-            got, at = batch_shingles(found, width)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.equal, self.spare = np.array([bounds(n, similarity) for n in self.size.tolist()], np.int64).reshape(-1, 2).T
+        widths = np.minimum(self.size, seed)
+        self.seeds = {}
+        for width in sorted(set(widths.tolist()) - {0}):
+            hashes, at = batch_shingles(found, width)
             owner = np.searchsorted(found.first, at, "right") - 1
-            own = (sizes[owner] >= seed) if width == seed else (sizes[owner] == width)
-            hashes.append(got[own])
-            owners.append(owner[own])
-            places.append((at - found.first[owner])[own])
-        self.widths = sorted(set(np.minimum(sizes, seed).tolist()) - {0})
-        hashes_ = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(hashes_, kind="stable")
-        self.seeds = hashes_[order]
-        self.owner = (np.concatenate(owners) if owners else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
+            own = widths[owner] == width
+            hashes, owner, place = hashes[own], owner[own], (at - found.first[owner])[own]
+            order = np.argsort(hashes, kind="stable")
+            self.seeds[width] = hashes[order], owner[order], place[order]
+
+    def stretches(self, found: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, item, stretch, seeds): every stretch of a text that shares seeds with an item, and how many of the item's.
+
+        A hit lies on the diagonal (place in the text less place in the item).  Stretches begin every item's length and
+        are as long as the item and the columns that an alignment may add, so one of them has all hits of an alignment.
+        """
+        for width, (seeds, owner, place) in self.seeds.items():
+            hashes, at = batch_shingles(found, width)
+            low = np.searchsorted(seeds, hashes, "left")
+            hit = np.flatnonzero(np.append(seeds, np.uint64(0))[low] == hashes)
+            at, low, high = at[hit], low[hit], np.searchsorted(seeds, hashes[hit], "right")
+            text = np.searchsorted(found.first, at, "right") - 1
+            for rows, low, high in _parts(text, low, high, owner, len(self.ids)):
+                many = high - low
+                which = np.repeat(rows, many)
+                s = np.arange(len(which)) + np.repeat(low - np.cumsum(many) + many, many)
+                item, t = owner[s], text[which]
+                diagonal = at[which] - found.first[t] - place[s]
+                first = (diagonal - self.spare[item]) // self.size[item]
+                many = diagonal // self.size[item] - first + 1
+                i = np.repeat(np.arange(len(s)), many)
+                stretch = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
+                keys = np.stack([t[i], item[i], stretch, place[s][i]])
+                keys = keys[:, np.lexsort(keys[::-1])]
+                keys = keys[:, np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
+                new = np.flatnonzero(np.append(True, (keys[:3, 1:] != keys[:3, :-1]).any(axis=0)))
+                yield *keys[:3, new], np.diff(np.append(new, keys.shape[1]))
+
+
+def _parts(text, low, high, owner, items: int):
+    """Hits in parts of at most about ``PAIRS`` pairs with items; a text's hits on an item stay together."""
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True)) + 1 if len(text) else []
+    pairs = np.append(0, np.cumsum(high - low))
+    at = 0
+    while at < len(text):
+        k = int(np.searchsorted(pairs[ends], pairs[at] + PAIRS, "right"))
+        to = int(ends[max(k - 1, int(np.searchsorted(ends, at, "right")))])
+        todo = [(np.arange(at, to), low[at:to], high[at:to], 0, items)]
+        while todo:
+            rows, a, b, first, last = todo.pop()
+            if (b - a).sum() <= PAIRS or last - first < 2:
+                if len(rows):
+                    yield rows, a, b
+                continue
+            middle = (first + last) // 2
+            known, back = np.unique(a, return_inverse=True)  # equal places are the same seed
+            end = np.zeros(len(known), np.int64)
+            end[back] = b
+            cut = np.array([x + np.searchsorted(owner[x:y], middle) for x, y in zip(known, end)], np.int64)[back]
+            todo += [(rows[k], x[k], y[k], f, t) for x, y, f, t in ((a, cut, first, middle), (cut, b, middle, last))
+                     for k in [y > x]]
+        at = to
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int, int, int]]:
@@ -69,48 +134,42 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
     return [(int(v) >> 40, int(v) >> 20 & 0xFFFFF, int(v) & 0xFFFFF) for v in best]
 
 
-HITS = "doc_id long, item_id long, stretch long, seeds array<int>, window array<long>"
+FOUND = "doc_id long, item_id long, seeds int, score int, equal_words int, item_words int, similarity double"
 
 
-def seed_hits(docs: DataFrame, items) -> DataFrame:
-    """Every stretch of a document that shares a seed with an item: the seeds by their place, and the words around.
+def seed_hits(docs: DataFrame, items, similarity: float) -> DataFrame:
+    """Every stretch of a document that is similar to an item it shares a seed with.
 
-    A hit lies on the diagonal (place in the text less place in the item).  Diagonals are cut into stretches of the
-    item's length, and the window of a stretch takes in any copy that begins in it, with half a length to spare.
+    The window of a stretch takes in any copy that begins in it, with half a length to spare.  It is aligned unless too few
+    of the item's words are in it at all.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = items.value
         for batch in (p for b in batches for p in portions(b)):
-            found = words(batch.column(1))
-            keys, rows = batch.column(0), {}
-            for width in known.widths:
-                hashes, at = batch_shingles(found, width)
-                low = np.searchsorted(known.seeds, hashes, "left")
-                hit = np.flatnonzero(np.append(known.seeds, 0)[low] == hashes) if len(known.seeds) else []
-                for h in hit:
-                    text = int(np.searchsorted(found.first, at[h], "right")) - 1
-                    place = int(at[h] - found.first[text])
-                    s = int(low[h])
-                    while s < len(known.seeds) and known.seeds[s] == hashes[h]:
-                        item = int(known.owner[s])
-                        size = len(known.words[item])
-                        if (width < SEED) == (size < SEED):
-                            stretch = (place - int(known.place[s])) // size
-                            rows.setdefault((text, item, stretch), set()).add(int(known.place[s]))
-                        s += 1
-            out = []
-            for (text, item, stretch), seeds in rows.items():
-                size, own = len(known.words[item]), found.of(text)
-                low, high = stretch * size - size // 2 - 1, (stretch + 2) * size + size // 2 + 1
-                out.append((keys[text].as_py(), known.ids[item], stretch, sorted(seeds),
-                            own[max(0, low):max(0, high)].view(np.int64)))
-            if out:
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
-                                                 names=["doc_id", "item_id", "stretch", "seeds", "window"])
-
-    return docs.mapInArrow(find, HITS)
+            found, keys = words(batch.column(1)), batch.column(0)
+            for part in known.stretches(found):
+                near = []
+                for text, item, stretch, seeds in zip(*(x.tolist() for x in part)):
+                    own, size = found.of(text), len(known.words[item])
+                    spare = max(int(known.spare[item]), size // 2) + 1
+                    window = own[max(0, stretch * size - spare):max(0, (stretch + 2) * size + spare)]
+                    if np.isin(known.words[item], window).sum() >= known.equal[item]:
+                        near.append((text, item, seeds, window))
+                near.sort(key=lambda r: len(known.words[r[1]]))
+                for at in range(0, len(near), 256):
+                    some = near[at:at + 256]
+                    got = align([known.words[r[1]] for r in some], [r[3] for r in some])
+                    out = [(keys[t].as_py(), known.ids[i], s, g[0], g[1], len(known.words[i]),
+                            g[1] / max(len(known.words[i]), g[2])) for (t, i, s, _), g in zip(some, got)]
+                    out = [r for r in out if r[-1] >= similarity]
+                    if out:
+                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
+                            names=["doc_id", "item_id", "seeds", "score", "equal_words", "item_words", "similarity"])
+
+    return docs.mapInArrow(find, FOUND)
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[list]:
@@ -128,13 +187,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: s
           item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, score, equal_words, item_words, seeds): test items that documents hold.
 
-    Seeds are runs of five words.  A seed is rare if it is in few places for its item: at most ``COMMON`` times
-    the number of the item's rarest quarter.  The measure is relative, so an item that leaked into a third of all documents
-    keeps its seeds, while a stock phrase inside it loses them.  Each stretch of text with a rare seed is aligned with the
-    item; similarity is equal words over the longer of item and alignment.
+    Seeds are runs of five words.  Each stretch of text with a seed of an item, however common, is aligned with the
+    item, unless too few of the item's words are near it; similarity is equal words over the longer of item and alignment.
 
-    Items travel to the tasks in blocks of bounded size, one pass over the documents for each; what the passes find is
-    written to shared storage.  Nothing else is gathered, and no document meets an item it shares no seed with.
+    Items travel to the tasks in blocks of bounded size, one pass over the documents for each; the leaks that a pass
+    finds are written to shared storage.  Nothing else is gathered, and no document meets an item it shares no seed with.
 
     Null and empty texts and items match nothing; items shorter than a seed are one seed; repeated rows of a
     document or item give one row per pair; a null key is kept as it is.  Empty tables give an empty result.
@@ -143,45 +200,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: s
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for rows in blocks(spark, benchmark, item_key, item_text, block_bytes):
-        items = spark.sparkContext.broadcast(Items(rows))
-        hits = saved(seed_hits(docs, items), "seed-hits")
-        spread = (hits.select("item_id", F.explode("seeds").alias("seed"))
-                  .groupBy("item_id", "seed").agg(F.count(F.lit(1)).alias("places")))
-        usual = spread.groupBy("item_id").agg(F.percentile("places", 0.25).alias("usual"))
-        rare = (spread.join(usual, "item_id").filter(F.col("places") <= COMMON * F.col("usual"))
-                .groupBy("item_id").agg(F.collect_set("seed").alias("rare")))  # no more than the item's words
-        near = (hits.join(rare, "item_id").withColumn("seeds", F.size(F.array_intersect("seeds", "rare")))
-                .filter("seeds > 0").select("doc_id", "item_id", "seeds", "window"))
-        scored = near.mapInArrow(_scores(items), "doc_id long, item_id long, seeds int, score int, equal_words int, "
-                                                 "item_words int, similarity double")
-        scored = scored.filter(F.col("similarity") >= similarity)
-        out = scored if out is None else out.union(scored)
+        items = spark.sparkContext.broadcast(Items(rows, similarity))
+        found = saved(seed_hits(docs, items, similarity), "leaks")
+        out = found if out is None else out.union(found)
     best = F.max(F.struct("similarity", "score", "equal_words", "item_words", "seeds")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
-def _scores(items):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = items.value
-        number: dict = {}
-        for i, key in enumerate(known.ids):
-            number.setdefault(key, []).append(i)
-        for batch in batches:
-            rows = [(d, i, s, known.words[n], np.array(w, np.int64).view(np.uint64))
-                    for d, i, s, w in zip(*(c.to_pylist() for c in batch.columns)) for n in number[i] if w]
-            rows.sort(key=lambda r: len(r[3]))
-            for at in range(0, len(rows), 256):
-                part = rows[at:at + 256]
-                got = align([r[3] for r in part], [r[4] for r in part])
-                out = [(d, i, s, g[0], g[1], len(a), g[1] / max(len(a), g[2])) for (d, i, s, a, _), g in zip(part, got)]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
-                    names=["doc_id", "item_id", "seeds", "score", "equal_words", "item_words", "similarity"])
-
-    return score
-
-
 @query("op4_decontaminate")
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
