@@ -126,6 +126,64 @@ def test_leaks_of_uneven_frequency(docs, spark):
     assert len(got) == 5001
 
 
+def plain_alignment(a, b):
+    """(score, equal words, columns) of the best local alignment, cell by cell."""
+    last, best = [(0, 0, 0)] * (len(b) + 1), (0, 0, 0)
+    for x in a:
+        row = [(0, 0, 0)]
+        for j, y in enumerate(b):
+            s, e, c = last[j]
+            cells = [(s + 2, e + 1, c + 1) if x == y else (s - 1, e, c + 1)]
+            cells += [(s - 1, e, c + 1) for s, e, c in (last[j + 1], row[j])]
+            row.append(max(max(cells), (0, 0, 0)))
+        last, best = row, max(best, max(row))
+    return best
+
+
+def test_leaks_against_plain_alignment(docs, spark):
+    rng = random.Random(18)
+    sizes = [*range(1, 21), 24, 30, 35, 50, 59]
+    items = {i: prose(rng, n) for i, n in enumerate(sizes)}
+    texts = {}
+    for i, item in items.items():
+        n = len(item)
+        changed = [w if (k + 1) % 5 else f"x{k}" for k, w in enumerate(item)]  # every fifth word
+        middle = [*item[:n // 2], "x", *item[n // 2 + 1:]]
+        added = [v for k, w in enumerate(item) for v in ([w, "x"] if k % 4 == 3 else [w])]  # four words, then another
+        missing = [w for k, w in enumerate(item) if (k + 1) % 5]
+        spread = list(item)
+        for k in rng.sample(range(n), n // 5):
+            spread[k] = "x"
+        for k, copy in enumerate((item, changed, middle, added, missing, spread)):
+            texts[10 * i + k] = prose(rng, rng.randrange(60)) + copy + prose(rng, rng.randrange(60))
+    found = decontaminate.leaks(docs([(i, " ".join(t)) for i, t in texts.items()]),
+                                spark.createDataFrame([(i, " ".join(t)) for i, t in items.items()], "item_id long, text string"))
+    got = {(r.doc_id, r.item_id): (r.score, r.equal_words) for r in found.collect()}
+    want = {}
+    for i, item in items.items():
+        for k, t in texts.items():
+            if len(set(item) & set(t)) >= 0.8 * len(set(item)):
+                score, equal, columns = plain_alignment(item, t)
+                if equal / max(len(item), columns) >= 0.8:
+                    want[k, i] = score, equal
+    assert got == want
+    assert {(10 * i + 1, i) for i, n in enumerate(sizes) if n % 5 == 0} <= set(got)
+
+
+def test_seeds_are_in_every_similar_alignment():
+    rng = random.Random(19)
+    for size in range(1, 70):
+        equal, spare, width, least = decontaminate.bounds(size, 0.8)
+        assert width <= 4 and (equal - 1) / size < 0.8 <= equal / size
+        for _ in range(300):
+            columns = [True] * rng.randint(equal, size)
+            for _ in range(rng.randint(0, spare)):
+                columns.insert(rng.randrange(len(columns) + 1), False)
+            if sum(columns) / max(size, len(columns)) >= 0.8:
+                assert len(columns) - sum(columns) <= spare
+                assert sum(all(columns[i:i + width]) for i in range(len(columns) - width + 1)) >= least
+
+
 def test_hits_in_small_parts_are_the_same(monkeypatch):
     rng = random.Random(17)
     common = prose(rng, 12)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,19 +13,26 @@ from tickloom.llm.registry import query, table
 from tickloom.llm.shared import saved
 from tickloom.llm.wordhash import Words, batch_shingles, portions, words
 
-SEED = 5  # words of a seed; a shorter item is one seed
 BLOCK_BYTES = 32 << 20  # text of the items that a pass over the documents carries to every task
 MATCH, MISS = 2, -1  # alignment scores of a pair of equal words, and of a changed, missing or added one
 PAIRS = 1 << 20  # pairs of a seed in a text and in an item that are in memory at once
 _SCORE, _EQUAL = 1 << 40, 1 << 20
 
 
-def bounds(size: int, similarity: float) -> tuple[int, int]:
-    """Of a similar alignment with an item of ``size`` words: the fewest equal words, and the most other columns."""
+@lru_cache(maxsize=None)
+def bounds(size: int, similarity: float) -> tuple[int, int, int, int]:
+    """Of a similar alignment with an item of ``size`` words: the fewest equal words, the most other columns, the words
+    of a seed and the fewest seeds.
+
+    Other columns cut the equal words into runs, at most one more than there are such columns.  The longest run that is
+    sure to be there is the width of a seed, and a run loses one seed less than that width.
+    """
     equal = max(0, int(size * similarity) - 1)
     while equal < size and equal / size < similarity:
         equal += 1
-    return equal, _others(size, similarity)
+    runs = [(e, _others(e, similarity) + 1) for e in range(max(1, equal), size + 1)] or [(0, 1)]
+    width = min(-(-e // n) for e, n in runs)
+    return equal, runs[-1][1] - 1, width, max(1, min(e - (width - 1) * n for e, n in runs))
 
 
 def _others(equal: int, similarity: float) -> int:
@@ -38,13 +46,13 @@ def _others(equal: int, similarity: float) -> int:
 class Items:
     """A block of test items: their words, and the place of every seed among them, by the seed's width."""
 
-    def __init__(self, rows: list[tuple[int, str]], similarity: float, seed: int = SEED):
+    def __init__(self, rows: list[tuple[int, str]], similarity: float):
         found = words(pa.array([text for _, text in rows], pa.string()))
         self.ids = [i for i, _ in rows]
         self.words = [found.of(i) for i in range(len(rows))]
         self.size = np.array([len(w) for w in self.words], np.int64)
-        self.equal, self.spare = np.array([bounds(n, similarity) for n in self.size.tolist()], np.int64).reshape(-1, 2).T
-        widths = np.minimum(self.size, seed)
+        known = np.array([bounds(n, similarity) for n in self.size.tolist()], np.int64).reshape(-1, 4).T
+        self.equal, self.spare, widths, self.least = known
         self.seeds = {}
         for width in sorted(set(widths.tolist()) - {0}):
             hashes, at = batch_shingles(found, width)
@@ -55,7 +63,7 @@ class Items:
             self.seeds[width] = hashes[order], owner[order], place[order]
 
     def stretches(self, found: Words) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(text, item, stretch, seeds): every stretch of a text that shares seeds with an item, and how many of the item's.
+        """(text, item, stretch, seeds): every stretch of a text that shares enough seeds with an item, and how many.
 
         A hit lies on the diagonal (place in the text less place in the item).  Stretches begin every item's length and
         are as long as the item and the columns that an alignment may add, so one of them has all hits of an alignment.
@@ -80,7 +88,9 @@ class Items:
                 keys = keys[:, np.lexsort(keys[::-1])]
                 keys = keys[:, np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))]
                 new = np.flatnonzero(np.append(True, (keys[:3, 1:] != keys[:3, :-1]).any(axis=0)))
-                yield *keys[:3, new], np.diff(np.append(new, keys.shape[1]))
+                count = np.diff(np.append(new, keys.shape[1]))
+                enough = count >= self.least[keys[1, new]]
+                yield *keys[:3, new[enough]], count[enough]
 
 
 def _parts(text, low, high, owner, items: int):
@@ -154,7 +164,7 @@ def seed_hits(docs: DataFrame, items, similarity: float) -> DataFrame:
                     own, size = found.of(text), len(known.words[item])
                     spare = max(int(known.spare[item]), size // 2) + 1
                     window = own[max(0, stretch * size - spare):max(0, (stretch + 2) * size + spare)]
-                    if np.isin(known.words[item], window).sum() >= known.equal[item]:
+                    if np.isin(known.words[item], window).sum() >= known.equal[item]:  # no alignment has more equal words
                         near.append((text, item, seeds, window))
                 near.sort(key=lambda r: len(known.words[r[1]]))
                 for at in range(0, len(near), 256):
@@ -187,15 +197,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: s
           item_key: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, similarity, score, equal_words, item_words, seeds): test items that documents hold.
 
-    Seeds are runs of five words.  Each stretch of text with a seed of an item, however common, is aligned with the
-    item, unless too few of the item's words are near it; similarity is equal words over the longer of item and alignment.
+    Seeds are runs of words, as long as an alignment of that similarity is sure to hold wherever its edits are: at 0.8, four
+    words for items from 16 words, two or three for most shorter ones.  Each stretch of text with as many of an item's
+    seeds as such an alignment must hold, however common they are, is aligned with the item, unless too few of the item's
+    words are near it; similarity is equal words over the longer of item and alignment.
 
     Items travel to the tasks in blocks of bounded size, one pass over the documents for each; the leaks that a pass
     finds are written to shared storage.  Nothing else is gathered, and no document meets an item it shares no seed with.
 
-    Null and empty texts and items match nothing; items shorter than a seed are one seed; repeated rows of a
+    Null and empty texts and items match nothing; repeated rows of a
     document or item give one row per pair; a null key is kept as it is.  Empty tables give an empty result.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity must be above 0 and at most 1")
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
