@@ -81,6 +81,31 @@ def test_near_duplicates_of_nothing(docs):
     assert sorted(((r.doc_id, r.score) for r in kept.collect()), key=str) == [(1, "x"), (None, "x")]
 
 
+def test_rows_that_repeat_a_doc_id(docs):
+    rng = random.Random(20)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = " ".join(edited(rng, b, 1))
+    rows = [(7, " ".join(a)), (7, near), (3, " ".join(b)), (7, " ".join(c)), (7, " ".join(c)), (7, None), (9, " ".join(c)),
+            (None, near)]
+    kept = near_dedup.without_near_duplicates(docs(rows)).collect()
+    want = [(7, " ".join(a)), (3, " ".join(b)), (7, " ".join(c)), (7, None), (None, near)]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+    got = near_dedup.near_duplicates(docs(rows)).collect()
+    assert sorted(((r.doc_id, r.component_id) for r in got), key=str) == sorted(
+        [(7, 7), (7, 3), (3, 3), (7, 7), (7, 7), (7, 7), (9, 7), (None, None)], key=str)
+    many = [(7, " ".join(prose(rng, 30))) for _ in range(300)]
+    assert near_dedup.without_near_duplicates(docs(many)).count() == 300
+
+
+def test_leaks_go_by_row(docs, spark):
+    rng = random.Random(21)
+    item, a, b = (" ".join(prose(rng, 30)) for _ in range(3))
+    rows = [(7, a), (7, f"{a} {item}"), (None, f"{b} {item}"), (None, b), (8, None)]
+    left = decontaminate.without_leaks(docs(rows), spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.text, r.score) for r in left), key=str) == sorted(
+        [(7, a, "x"), (None, b, "x"), (8, None, "x")], key=str)
+
+
 def test_bands_catch_links():
     rng = np.random.default_rng(5)
     missed = 0

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.registry import query, table
-from tickloom.llm.shared import saved
+from tickloom.llm.shared import saved, text_key
 from tickloom.llm.wordhash import Words, batch_shingles, portions, words
 
 BLOCK_BYTES = 32 << 20  # text of the items that a pass over the documents carries to every task
@@ -144,7 +144,7 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> list[tuple[int,
     return [(int(v) >> 40, int(v) >> 20 & 0xFFFFF, int(v) & 0xFFFFF) for v in best]
 
 
-FOUND = "doc_id long, item_id long, seeds int, score int, equal_words int, item_words int, similarity double"
+FOUND = "item_id long, seeds int, score int, equal_words int, item_words int, similarity double"
 
 
 def seed_hits(docs: DataFrame, items, similarity: float) -> DataFrame:
@@ -174,12 +174,12 @@ def seed_hits(docs: DataFrame, items, similarity: float) -> DataFrame:
                             g[1] / max(len(known.words[i]), g[2])) for (t, i, s, _), g in zip(some, got)]
                     out = [r for r in out if r[-1] >= similarity]
                     if out:
-                        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
+                        kinds = [keys.type, pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.float64()]
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(list(c), k) for c, k in zip(zip(*out), kinds)],
                             names=["doc_id", "item_id", "seeds", "score", "equal_words", "item_words", "similarity"])
 
-    return docs.mapInArrow(find, FOUND)
+    return docs.mapInArrow(find, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
 
 def blocks(spark: SparkSession, benchmark: DataFrame, key: str, text: str, most: int) -> Iterator[list]:
@@ -210,15 +210,27 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: s
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity must be above 0 and at most 1")
-    spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for rows in blocks(spark, benchmark, item_key, item_text, block_bytes):
+    found = _found(docs, benchmark.select(F.col(item_key).alias("item_id"), F.col(item_text).alias("text")), similarity,
+                   block_bytes)
+    best = F.max(F.struct("similarity", "score", "equal_words", "item_words", "seeds")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """``docs``, all columns, without the rows whose own text holds a test item, whatever their doc_id."""
+    keyed = docs.withColumn("_own", text_key("text"))
+    held = _found(keyed.select(F.col("_own").alias("doc_id"), "text"), benchmark, similarity, BLOCK_BYTES)
+    return keyed.join(held.select(F.col("doc_id").alias("_own")).distinct(), "_own", "left_anti").select(*docs.columns)
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, similarity: float, block_bytes: int) -> DataFrame:
+    spark, out = docs.sparkSession, None
+    for rows in blocks(spark, benchmark, "item_id", "text", block_bytes):
         items = spark.sparkContext.broadcast(Items(rows, similarity))
         found = saved(seed_hits(docs, items, similarity), "leaks")
         out = found if out is None else out.union(found)
-    best = F.max(F.struct("similarity", "score", "equal_words", "item_words", "seeds")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return out
 
 
 @query("op4_decontaminate")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.components import connected_components
 from tickloom.llm.registry import query, table
-from tickloom.llm.shared import saved
+from tickloom.llm.shared import saved, text_key
 from tickloom.llm.wordhash import mix, numbers, portions, shingle_hashes, words
 
 PLACES = 1 << 20  # size of the permuted universe
@@ -20,7 +20,7 @@ BANDS, ROWS = 32, 6  # a pair at 0.85 shares no band in 3 of 10 million cases, o
 SMALL = 6  # a bucket of so many texts is compared pair by pair: at most 2.5 pairs for each of its texts
 NEAR = 50  # percent of similarity with a hub from which on its differences are kept
 WORTH = 0.1  # share of a round's comparisons with hubs that must settle a text for another round
-SIGNED = "doc_id long, n_shingles long, digest binary, bands array<long>"
+SIGNED = "doc_id long, own binary, n_shingles long, digest binary, bands array<long>"
 
 
 @functools.lru_cache(maxsize=1)
@@ -45,7 +45,7 @@ def signature(shingles: np.ndarray, coordinates: int) -> np.ndarray:
 
 def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text", bands: int = BANDS,
            rows: int = ROWS) -> DataFrame:
-    """Per document: the size and digest of its shingle set, and one hash per band."""
+    """Per row: its text's key, the size and digest of its shingle set, and one hash per band."""
     factors, tags = numbers(rows, 21), numbers(bands, 22)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,15 +63,16 @@ def signed(docs: DataFrame, width: int, key: str = "doc_id", text: str = "text",
             has = np.array(sizes, np.int64) > 0
             offsets = np.concatenate([[0], np.cumsum(has * bands)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                  pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel()))],
-                names=["doc_id", "n_shingles", "digest", "bands"])
+                names=["doc_id", "own", "n_shingles", "digest", "bands"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(sign, SIGNED)
+    return (docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(text).alias("own"))
+            .mapInArrow(sign, SIGNED))
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, shingles): the sorted set of each text, for texts that have a candidate."""
+    """(doc_id, shingles): the sorted set of each text, for (doc_id, text) of texts that have a candidate."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b)):
@@ -127,8 +128,9 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = saved(banded.join(sizes, "bucket"), f"{name}-members")
     scores = members.groupBy("rep").agg(F.sum("size").alias("score"))
-    wanted = scores.select(F.col("rep").alias("doc_id"))
-    texts = (docs.join(wanted, "doc_id").select("doc_id", "text").dropDuplicates(["doc_id", "text"]))
+    wanted = scores.join(classes, "rep").select("rep", "head.doc_id", "head.own")
+    texts = (docs.withColumn("own", text_key("text")).join(wanted, ["doc_id", "own"])
+             .select(F.col("rep").alias("doc_id"), "text").dropDuplicates(["doc_id", "text"]))
     sets = saved(shingle_sets(texts, width), f"{name}-sets")
     rest = saved(members.select("bucket", "rep", "n").join(scores, "rep"), f"{name}-rest")
     found = []
@@ -218,33 +220,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80, key:
     nothing.  Rows that repeat a doc_id each get the component of their own text; a row without a
     doc_id is linked with nothing and kept.  An empty table gives an empty result; other columns are not returned.
     """
+    rows = _components(docs, width, similarity, key, text)
+    name = F.col("first.doc_id")
+    return rows.select("doc_id", "n_shingles", name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+
+
+def _components(docs: DataFrame, width: int, similarity: int, key: str, text: str) -> DataFrame:
+    """(doc_id, own, n_shingles, first) for every row: its text's key, and the least (doc_id, own) of its component."""
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     name = "near"
     rows = saved(signed(docs, width), f"{name}-signed")
-    classes = saved(rows.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-        .filter("rep is not null"), f"{name}-classes")
-    found = links(classes.select("rep", "n", "bands"), docs, width, similarity, name)
+    classes = saved(rows.filter("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "own")).alias("head"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        .withColumn("rep", F.monotonically_increasing_id()), f"{name}-classes")  # a doc_id may head several classes
+    found = links(classes.select("rep", "head", "n", "bands"), docs, width, similarity, name)
     edges = found[0]
     for more in found[1:]:
         edges = edges.union(more)
     named = connected_components(edges)
-    groups = (classes.select("digest", "rep").join(named, F.col("rep") == F.col("node"), "left")
-              .select("digest", F.coalesce("component", "rep").alias("component_id")))
-    return (rows.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
-            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-            .select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))
+    groups = (classes.select("digest", "head", "rep").join(named, F.col("rep") == F.col("node"), "left")
+              .select("digest", "head", F.coalesce("component", "rep").alias("component")))
+    first = groups.groupBy("component").agg(F.min("head").alias("first"))
+    return (rows.select("doc_id", "own", "n_shingles", "digest")
+            .join(groups.join(first, "component").select("digest", "first"), "digest", "left")
+            .withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", F.struct("doc_id", "own"))))
+            .select("doc_id", "own", "n_shingles", "first"))
 
 
 def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 80) -> DataFrame:
     """``docs``, all columns, with one row of each component: the row of its smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows without a doc_id stay unless their text repeats another such row's.
+    Rows are told apart by doc_id and text, so rows that repeat a doc_id go only where their own text is a copy; of rows
+    that repeat both one stays.  Rows without a doc_id stay unless their text repeats another such row's.
     """
-    gone = near_duplicates(docs, width, similarity).filter("not kept").select("doc_id").distinct()
-    own = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
-    return (docs.join(gone, "doc_id", "left_anti").withColumn("_own", own).dropDuplicates(["doc_id", "_own"])
-            .select(*docs.columns))
+    rows = _components(docs, width, similarity, "doc_id", "text")
+    gone = rows.filter(F.struct("doc_id", "own") != F.col("first")).select("doc_id", F.col("own").alias("_own")).distinct()
+    return (docs.withColumn("_own", text_key("text")).join(gone, ["doc_id", "_own"], "left_anti")
+            .dropDuplicates(["doc_id", "_own"]).select(*docs.columns))
 
 
 @query("op10_near_dedup")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def text_key(text: str) -> Column:
+    """The digest that tells rows with one doc_id and different texts apart; null for a null text."""
+    return F.unhex(F.md5(text))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
