@@ -382,6 +382,18 @@ def toxic_rows(rng, n):
     return out
 
 
+def test_identity_terms_are_a_parameter_and_pairs_are_counted(spark, caplog):
+    terms = (("vorn", "Zelk"),)
+    assert toxicity.counterfactual("a VORN, zelk", terms) == "a Zelk, vorn" and toxicity.counterfactual("women", terms) is None
+    assert toxicity.counterfactual("women", ()) is None
+    rows = spark.createDataFrame([("the vorn here", 0), ("nothing here", 1)], "text string, label int")
+    for identities, said in ((terms, "1 counterfactual pairs in 2 texts"), (toxicity.IDENTITIES, "0 counterfactual pairs in 2 texts")):
+        caplog.clear()
+        with caplog.at_level("INFO", logger=toxicity.__name__):
+            toxicity.train(rows, identities)
+        assert said in caplog.text
+
+
 def test_counterfactuals_calm_group_mentions(spark, monkeypatch):
     rows = spark.createDataFrame(toxic_rows(random.Random(12), 600), "doc_id long, text string, label int")
     gaps, odds = {}, {}

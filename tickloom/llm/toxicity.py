@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +15,8 @@ from tickloom.llm.labelled import fold, learning_rows
 from tickloom.llm.registry import query, table
 from tickloom.llm.wordhash import portions, prefix_hashes, text_buffer, word_places
 
+log = logging.getLogger(__name__)
+
 SAMPLE = 8_000  # labelled documents learned from, at most
 BITS = 20  # features are hashed to so many bits
 PREFIXES = (3, 4, 5, 6, 7, 8, 64)  # bytes of a word's beginning that make a feature
@@ -34,13 +38,20 @@ IDENTITIES = (
     ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("frauen", "männer"),
     ("muslime", "christen", "juden"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-_NEXT = {term: kind[(i + 1) % len(kind)] for kind in IDENTITIES for i, term in enumerate(kind)}
-_TERM = re.compile(r"\b(" + "|".join(sorted(_NEXT, key=len, reverse=True)) + r")\b", re.IGNORECASE)
+Terms = Sequence[Sequence[str]]
+
+
+@functools.lru_cache(maxsize=8)
+def _swaps(identities: tuple[tuple[str, ...], ...]) -> tuple[dict[str, str], re.Pattern]:
+    after = {term.lower(): kind[(i + 1) % len(kind)] for kind in identities for i, term in enumerate(kind)}
+    terms = "|".join(map(re.escape, sorted(after, key=len, reverse=True)))
+    return after, re.compile(rf"\b({terms})\b" if terms else "(?!)", re.IGNORECASE)
 
 
-def counterfactual(text: str) -> str | None:
+def counterfactual(text: str, identities: Terms = IDENTITIES) -> str | None:
     """The text with every identity term swapped, or None where it has none."""
-    swapped, n = _TERM.subn(lambda m: _NEXT[m[0].lower()], text)
+    after, term = _swaps(tuple(map(tuple, identities)))
+    swapped, n = term.subn(lambda m: after[m[0].lower()], text)
     return swapped if n else None
 
 
@@ -113,13 +124,16 @@ def fit(feature: np.ndarray, offsets: np.ndarray, labels: np.ndarray, swapped: n
     return out, b
 
 
-def train(rows: DataFrame) -> tuple[np.ndarray, float]:
-    """Fit on (text, label) rows, a bounded sample.  Features and counterfactuals are made by the executors."""
+def train(rows: DataFrame, identities: Terms = IDENTITIES) -> tuple[np.ndarray, float]:
+    """Fit on (text, label) rows, a bounded sample.  Features and counterfactuals are made by the executors.
+
+    The number of counterfactual pairs is logged; without any the penalty is zero and this is plain logistic regression.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, 0)):
             texts = batch.column(0).fill_null("")
-            swapped = [counterfactual(t) for t in texts.to_pylist()]
+            swapped = [counterfactual(t, identities) for t in texts.to_pylist()]
             out = []
             for column in (texts, pa.array(swapped, pa.string())):
                 found, offsets = features(column)
@@ -138,6 +152,7 @@ def train(rows: DataFrame) -> tuple[np.ndarray, float]:
     x, xo = lists(got.column("features"))
     c, co = lists(got.column("swapped"))
     original = np.flatnonzero(got.column("has").to_numpy())
+    log.log(logging.INFO if len(original) else logging.WARNING, "%d counterfactual pairs in %d texts", len(original), len(got))
     return fit(x, xo, got.column("label").to_numpy().astype(float), c, np.append(co[original], co[-1]), original)
 
 
@@ -158,14 +173,15 @@ def scored(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text"
     return kept.mapInArrow(run, kept.select("row").schema.add("score", "double"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
+                  identities: Terms = IDENTITIES) -> DataFrame:
     """``docs``, all columns, without the rows whose text scores ``threshold`` or more; learned from ``labels`` on them."""
-    weights, bias = train(learning_rows(docs, labels, "toxic", F.lit(True), sample))
+    weights, bias = train(learning_rows(docs, labels, "toxic", F.lit(True), sample), identities)
     return scored(docs, weights, bias).filter(F.col("score") < threshold).select("row.*")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE,
-                    threshold: float = THRESHOLD) -> DataFrame:
+                    threshold: float = THRESHOLD, identities: Terms = IDENTITIES) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Learned from a hash sample of at most ``sample`` labelled documents outside the held-out fold; scored over all words
@@ -174,7 +190,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     result.  Label 1 is toxic.
     """
     at = fold(F.col("doc_id"), folds)
-    weights, bias = train(learning_rows(docs, labels, "toxic", at != held, sample))
+    weights, bias = train(learning_rows(docs, labels, "toxic", at != held, sample), identities)
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
     return scored(rows, weights, bias, carry_text=False).select(F.col("row.doc_id").alias("doc_id"), "score").select(
         "doc_id", F.coalesce(at == held, F.lit(False)).alias("held_out"), "score",
