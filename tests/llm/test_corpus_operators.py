@@ -394,6 +394,13 @@ def test_identity_terms_are_a_parameter_and_pairs_are_counted(spark, caplog):
         assert said in caplog.text
 
 
+def test_a_long_handle_is_matched_whole(spark):
+    handle = "@" + "abcde" * 10
+    row = spark.createDataFrame([(f"by {handle} today",)], "text string").select(
+        F.regexp_extract("text", pd_.PATTERNS["handle"], 0).alias("found")).first()
+    assert row.found == handle
+
+
 def test_counterfactuals_calm_group_mentions(spark, monkeypatch):
     rows = spark.createDataFrame(toxic_rows(random.Random(12), 600), "doc_id long, text string, label int")
     gaps, odds = {}, {}

@@ -28,7 +28,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
     "number": r"(?<![0-9A-Za-z])\(?[0-9](?:[\x20()-]{0,2}[0-9]){6,}+",
-    "handle": r"(?<![A-Za-z0-9@._%+-])@[A-Za-z0-9_]{3,30}+",
+    "handle": r"(?<![A-Za-z0-9@._%+-])@[A-Za-z0-9_]{3,}+",
 }
 # What a text must hold before the expression is tried at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]",
