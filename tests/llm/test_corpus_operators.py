@@ -401,6 +401,16 @@ def test_a_long_handle_is_matched_whole(spark):
     assert row.found == handle
 
 
+def test_long_documents_are_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_PASSAGES", 3)
+    monkeypatch.setattr(quality.Attention, "fit", lambda self, x, where, labels: seen.append((np.diff(where), labels)))
+    seen = []
+    texts = [" ".join(["word"] * n) for n in (quality.PASSAGE * 10, quality.PASSAGE * 2)]
+    quality.train(spark.createDataFrame([(texts[0], 1), (texts[1], 0)], "text string, label int").coalesce(1))
+    (sizes, labels), = seen
+    assert sorted(zip(labels, sizes)) == [(0, 2), (1, 3)]
+
+
 def test_counterfactuals_calm_group_mentions(spark, monkeypatch):
     rows = spark.createDataFrame(toxic_rows(random.Random(12), 600), "doc_id long, text string, label int")
     gaps, odds = {}, {}

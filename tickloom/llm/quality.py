@@ -14,7 +14,7 @@ from tickloom.llm.wordhash import portions, hash_words, text_buffer, word_places
 
 SAMPLE = 4_000  # labelled documents learned from, at most
 PASSAGE = 40  # words of a passage; the last of a text may be shorter
-MOST_PASSAGES = 2_000  # a longer labelled document is scored, but not learned from
+MOST_PASSAGES = 2_000  # of a longer labelled document so many passages, evenly spread, are learned from
 HIDDEN, GATE = 16, 8
 STEPS, RATE, DECAY = 150, 0.03, 1e-4
 THRESHOLD = 0.3
@@ -148,12 +148,13 @@ def train(rows: DataFrame) -> Attention:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (p for b in batches for p in portions(b, 0)):
             x, where = passages(batch.column(0))
+            kept = [a + np.arange(k) * n // k for a, n in zip(where, np.diff(where)) for k in [min(n, MOST_PASSAGES)]]
+            x, where = x[np.concatenate(kept)], np.append(0, np.cumsum([len(k) for k in kept]))
             flat = pa.ListArray.from_arrays(pa.array((where * FEATURES).astype(np.int32)),
                                             pa.array(x.astype(np.float32).ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(1), flat], names=["label", "passages"])
 
-    got = (rows.select("text", "label").mapInArrow(encode, "label int, passages array<float>")
-           .filter(F.size("passages") <= MOST_PASSAGES * FEATURES).toArrow().combine_chunks())
+    got = (rows.select("text", "label").mapInArrow(encode, "label int, passages array<float>").toArrow().combine_chunks())
     labels = got.column("label").to_numpy().astype(float)
     lists = got.column("passages").chunks
     flat = np.concatenate([c.flatten().to_numpy() for c in lists] or [np.zeros(0)]).astype(float).reshape(-1, FEATURES)
