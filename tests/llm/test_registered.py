@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(queries()) and set(ORACLE) <= set(oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))

@@ -344,8 +344,8 @@ def hard_negatives(df: DataFrame, is_anchor: Column, relabel: Column | None = No
     whose score is ``low`` to ``high`` hundredths of the positive's.  A score is the inner product of floor(256 * x); ties go to the
     smaller vec_id.  Rows with a null id, label or vector, or a null or non-finite component, take no part.  A shorter vector counts as
     padded with zeros, an empty one scores 0 with all.  Rows equal in id, label and vector count once; rows with one id and
-    different vectors are rows of their own, and none of them is found for another of its id.  Scores beyond 64 bits become the
-    nearest long.  Anchors without positives and positives without negatives have no rows; an empty table gives none.
+    different vectors are rows of their own, and none of them is found for another of its id.  Scores are exact; rows whose score
+    lies beyond 64 bits are not found.  Anchors without positives and positives without negatives have no rows; an empty table gives none.
     """
     tree, placed = fitted(points_of(df, relabel), sample, fanout, leaf, chunk)
     anchors = placed.filter(is_anchor).dropDuplicates(["vec_id", "key"])

@@ -82,48 +82,52 @@ def sums(v: np.ndarray, cluster: np.ndarray, sign: int, out: dict[int, tuple[int
         out[int(c)] = n + sign * len(mine), total + sign * mine.sum(axis=0)
 
 
+def advance(v: np.ndarray, rows: np.ndarray, keys: np.ndarray, starts: np.ndarray, centroids: np.ndarray,
+            drift: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict], int]:
+    """One block's heaps (rows, keys, starts) after an assignment, what has moved, and how many vectors were scanned."""
+    k = len(centroids)
+    changed: dict[int, tuple[int, np.ndarray]] = {}
+    if len(starts) < k + 1:
+        popped, old, tops = np.arange(len(v)), None, np.zeros(k, np.int64)
+        starts = np.zeros(k + 1, np.int64)
+    else:
+        tops = np.array([np.searchsorted(keys[a:b], d + SLACK * (1 + d), "right") for a, b, d in zip(starts, starts[1:], drift)])
+        popped = np.concatenate([rows[a:a + t] for a, t in zip(starts, tops)]) if tops.any() else np.zeros(0, np.int64)
+        old = np.repeat(np.arange(k), tops)
+    own, gap = nearest(v[popped], centroids) if len(popped) else (np.zeros(0, np.int64), np.zeros(0))
+    if old is None:
+        sums(v, own, 1, changed)
+    else:
+        left = own != old
+        sums(v[popped[left]], old[left], -1, changed)
+        sums(v[popped[left]], own[left], 1, changed)
+    new_key = gap + drift[own]
+    heaps, heap_keys = [], []
+    for c in range(k):
+        stay = slice(starts[c] + tops[c], starts[c + 1])
+        come = np.flatnonzero(own == c)
+        come = come[np.argsort(new_key[come], kind="stable")]
+        at = np.searchsorted(keys[stay], new_key[come], "right")
+        heaps.append(np.insert(rows[stay], at, popped[come]))
+        heap_keys.append(np.insert(keys[stay], at, new_key[come]))
+    ends = np.cumsum([0, *map(len, heaps)])
+    moved = [{"cluster": c, "n": n, "total": total.tolist()} for c, (n, total) in changed.items()]
+    return np.concatenate(heaps), np.concatenate(heap_keys), ends, moved, len(popped)
+
+
 def assigned(blocks: DataFrame, centroids: np.ndarray, drift: np.ndarray) -> DataFrame:
     """The blocks after one assignment; ``moved`` says by what the vectors and sums of each cluster have changed.
 
     ``drift`` is each cluster's drift so far.  A block that has no heaps yet is scanned whole.
     """
-    k, width = centroids.shape
+    width = centroids.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
                 ids, flat, rows, keys, starts = (batch.column(c).slice(i, 1).flatten() for c in range(5))
                 v = flat.to_numpy().reshape(-1, width)
-                yield state_row(ids, flat, *advance(v, rows.to_numpy(), keys.to_numpy(), starts.to_numpy()))
-
-    def advance(v: np.ndarray, rows: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> tuple:
-        changed: dict[int, tuple[int, np.ndarray]] = {}
-        if len(starts) < k + 1:
-            popped, old, tops = np.arange(len(v)), None, np.zeros(k, np.int64)
-            starts = np.zeros(k + 1, np.int64)
-        else:
-            tops = np.array([np.searchsorted(keys[a:b], d + SLACK * (1 + d), "right") for a, b, d in zip(starts, starts[1:], drift)])
-            popped = np.concatenate([rows[a:a + t] for a, t in zip(starts, tops)]) if tops.any() else np.zeros(0, np.int64)
-            old = np.repeat(np.arange(k), tops)
-        own, gap = nearest(v[popped], centroids) if len(popped) else (np.zeros(0, np.int64), np.zeros(0))
-        if old is None:
-            sums(v, own, 1, changed)
-        else:
-            left = own != old
-            sums(v[popped[left]], old[left], -1, changed)
-            sums(v[popped[left]], own[left], 1, changed)
-        new_key = gap + drift[own]
-        heaps, heap_keys = [], []
-        for c in range(k):
-            stay = slice(starts[c] + tops[c], starts[c + 1])
-            come = np.flatnonzero(own == c)
-            come = come[np.argsort(new_key[come], kind="stable")]
-            at = np.searchsorted(keys[stay], new_key[come], "right")
-            heaps.append(np.insert(rows[stay], at, popped[come]))
-            heap_keys.append(np.insert(keys[stay], at, new_key[come]))
-        ends = np.cumsum([0, *map(len, heaps)])
-        moved = [{"cluster": c, "n": n, "total": total.tolist()} for c, (n, total) in changed.items()]
-        return np.concatenate(heaps), np.concatenate(heap_keys), ends, moved
+                yield state_row(ids, flat, *advance(v, rows.to_numpy(), keys.to_numpy(), starts.to_numpy(), centroids, drift)[:4])
 
     return blocks.mapInArrow(run, STATE)
 
