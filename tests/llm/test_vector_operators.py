@@ -128,7 +128,7 @@ def test_heaps_leave_most_vectors_alone():
     centroids, drift = v[::150], np.zeros(7)
     rows, keys, starts, _, scanned = K.advance(v, np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64), centroids, drift)
     assert scanned == 1000 and all((np.diff(keys[a:b]) >= 0).all() for a, b in zip(starts, starts[1:]))
-    moved = centroids + np.arange(8)
+    moved = centroids + np.arange(8) // 3
     drift = K.drifts(centroids, moved)
     rows, keys, starts, _, scanned = K.advance(v, rows, keys, starts, moved, drift)
     assert 0 < scanned < 500
