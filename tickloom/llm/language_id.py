@@ -46,7 +46,7 @@ def spans(text: str) -> Iterator[tuple[np.ndarray, int]]:
     """
     tail, back = np.zeros(1, np.uint64), max(SIZES) - 1
     for at in range(0, len(text) + 1, SPAN):
-        piece = text[at:at + SPAN].lower() + (" " if at + SPAN > len(text) else "")
+        piece = text[at:at + SPAN].lower().replace("ς", "σ") + (" " if at + SPAN > len(text) else "")
         code = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
         code = np.where(_letters()[code], code, 0).astype(np.uint64)
         code = code[(code != 0) | (np.concatenate([tail[-1:], code[:-1]]) != 0)]
