@@ -43,19 +43,19 @@ def test_jsonl_run_reproduces_the_golden_line(spark, tmp_path):
 
 
 def test_csv_run(spark, tmp_path):
-    p = write(tmp_path / "in.csv", HEAD + f'{MAX},"ZORB","XTST","187.25",100,B,"a, b"\n0,"QUIX","XTST","314.18",25,S,x\n')
+    p = write(tmp_path / "in.csv", HEAD + f'5,"QUIX","XTST","314.18",9,S,x\n{MAX},"ZORB","XTST","187.25",730,B,"a, b"\n')
     columns = [("symbol", "instrument.symbol"), ("timestamp", "metadata.exchangeTimestamp"), ("price", "payload.price"),
                ("side", "payload.aggressorSide"), ("none", "payload.bid.price")]
     report = run(read_csv_input(spark, p, CONFIG), str(tmp_path / "out"), csv=columns)
-    assert text(tmp_path / "out") == ["QUIX,0,314.18,SELL,", f"ZORB,{MAX},187.25,BUY,", "symbol,timestamp,price,side,none"]
+    assert text(tmp_path / "out") == ["QUIX,5,314.18,SELL,", f"ZORB,{MAX},187.25,BUY,", "symbol,timestamp,price,side,none"]
     assert numbers(report) == (2, 2, 2, 0, 2, 0)
     p = write(tmp_path / "bad.csv", HEAD + "1,A,X,12.345,1,B\n2,A,X,1.00,1,B\n")
     assert numbers(run(read_csv_input(spark, p, CONFIG), str(tmp_path / "out2"))) == (2, 1, 1, 0, 1, 1)
 
 
 def test_capture_run(spark, tmp_path):
-    third = RAW["execute"][:3] + (3).to_bytes(8, "big") + RAW["execute"][11:]
-    p = write(tmp_path / "c.bin", RAW["add"] + third + third + b"\x00\x01Q" + b"\x00\x00")
+    first, third = (RAW[k][:3] + n.to_bytes(8, "big") + RAW[k][11:] for k, n in (("add", 1), ("execute", 3)))
+    p = write(tmp_path / "c.bin", first + third + third + b"\x00\x01Q" + b"\x00\x00")
     report = run(read_capture_input(spark, p, "sim", "xtst"), str(tmp_path / "out"))
     assert numbers(report) == (5, 4, 3, 0, 3, 2)
     assert (report.sequence_gap_count, report.duplicate_count) == (1, 1)
@@ -101,7 +101,7 @@ def test_policies(spark, tmp_path):
 
 
 def test_counters_add_up_with_rules(spark, tmp_path):
-    p = write(tmp_path / "in.jsonl", "\n".join([ADD, EXECUTE, TRADE, "x", TRADE.replace('"quantity": 25', '"quantity": 95')]))
+    p = write(tmp_path / "in.jsonl", "\n".join([ADD, EXECUTE, TRADE, "x", TRADE.replace('"quantity": 9,', '"quantity": 95,')]))
     report = run(read_jsonl_input(spark, p), str(tmp_path / "out"), rules=EXAMPLE, sample=2)
     assert numbers(report) == (5, 4, 4, 1, 1, 3)
     assert len(report.failures) == 2 and report.suppressed == 1

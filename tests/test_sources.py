@@ -26,12 +26,12 @@ def counts(events, errors):
 
 def test_jsonl_modes(spark, tmp_path):
     p = write(tmp_path / "a.jsonl", "\n".join([
-        ADD, "not-json", EXECUTE.replace('"minor": 0', '"minor": 1'), CANCEL.replace(IDS[3][:8], "0" * 8), TRADE]))
+        ADD, "not-json", EXECUTE.replace('"minor": 0', '"minor": 1'), CANCEL.replace(IDS[9][:8], "0" * 8), TRADE]))
     events, errors = read_canonical_jsonl(spark, p)
     assert counts(events, errors) == (5, 2, 3)
     assert [(r["line_number"], r["reason"]) for r in errors.orderBy("line_number").collect()] == [
         (2, "MALFORMED_JSON"), (3, "SCHEMA_VERSION"), (4, "EVENT_ID_MISMATCH")]
-    assert events.orderBy("line_number").first()["metadata"]["exchangeTimestamp"] == 1000000000
+    assert events.orderBy("line_number").first()["metadata"]["exchangeTimestamp"] == 1650000000000000500
     assert counts(*read_canonical_jsonl(spark, p, FAIL_FAST)) == (2, 1, 1)
 
 
@@ -104,7 +104,7 @@ def csv(spark, tmp_path, text, config=CONFIG, **kw):
 
 
 def test_csv_rows(spark, tmp_path):
-    text = HEAD + (f'{MAX},"ZORB","XTST","187.25",100,B,"a, ""b""\nsecond line"\n2,B,X,12.345,5,B\n\n3,C,X,1,5,S\r\n'
+    text = HEAD + (f'{MAX},"ZORB","XTST","187.25",730,B,"half ""way""\ndown, so"\n2,B,X,12.345,5,B\n\n3,C,X,1,5,S\r\n'
                    '4,D,X,1,5\n5,E,X,1e1,7,B,n,more\n')
     assert csv(spark, tmp_path, text) == (
         [(2, 1, "ZORB", "187.25"), (6, 4, "C", "1.00"), (8, 6, "E", "10.00")],
@@ -165,10 +165,10 @@ def test_csv_config_rejects(change):
 
 
 RAW = {
-    "add": struct.pack(">HcQQQ8scIQB", 47, b"A", 1, 1000000000, 4207, b"ZORB    ", b"B", 100, 18725, 2),
-    "execute": struct.pack(">HcQQQI", 29, b"E", 2, 1000000100, 4207, 40),
-    "cancel": struct.pack(">HcQQQI", 29, b"C", 3, 1000000200, 4207, 60),
-    "trade": struct.pack(">HcQQQ8scIQB", 47, b"T", 4, 1000000300, 9313, b"QUIX    ", b"S", 25, 31418, 2),
+    "trade": struct.pack(">HcQQQ8scIQB", 47, b"T", 40, 77, 9313, b"QUIX    ", b"S", 9, 31418, 2),
+    "add": struct.pack(">HcQQQ8scIQB", 47, b"A", 41, 1650000000000000500, 4207, b"ZORB    ", b"B", 730, 18725, 2),
+    "cancel": struct.pack(">HcQQQI", 29, b"C", 42, 1650000000000000501, 4207, 15),
+    "execute": struct.pack(">HcQQQI", 29, b"E", 44, 1650000000000009000, 4207, 715),
 }
 
 
@@ -183,10 +183,10 @@ def test_golden_frames(spark):
     assert errors.count() == 0
     assert [(r["kind"], r["sequence"], r["event_time"], r["order_id"], r["trade_id"], r["symbol"], r["side"], r["quantity"],
              tuple(r["price"]) if r["price"] else None) for r in rows] == [
-        ("ORDER_ADDED", 1, 1000000000, 4207, None, "ZORB", "BUY", 100, (18725, 2)),
-        ("ORDER_EXECUTED", 2, 1000000100, 4207, None, None, None, 40, None),
-        ("ORDER_CANCELLED", 3, 1000000200, 4207, None, None, None, 60, None),
-        ("TRADE", 4, 1000000300, None, 9313, "QUIX", "SELL", 25, (31418, 2))]
+        ("TRADE", 40, 77, None, 9313, "QUIX", "SELL", 9, (31418, 2)),
+        ("ORDER_ADDED", 41, 1650000000000000500, 4207, None, "ZORB", "BUY", 730, (18725, 2)),
+        ("ORDER_CANCELLED", 42, 1650000000000000501, 4207, None, None, None, 15, None),
+        ("ORDER_EXECUTED", 44, 1650000000000009000, 4207, None, None, None, 715, None)]
 
 
 def test_bad_frames(spark):
@@ -214,7 +214,7 @@ def test_frames_normalize(spark):
     events, failures = normalize_frames(decode_frames(frames(spark, *raw))[0], "xtst")
     rows = events.orderBy("frame_number").collect()
     assert [(r["instrument"]["symbol"], r["payload"]["type"]) for r in rows] == [
-        ("ZORB", "ORDER_ADDED"), ("ZORB", "ORDER_EXECUTED"), ("ZORB", "ORDER_CANCELLED"), ("QUIX", "TRADE")]
+        ("QUIX", "TRADE"), ("ZORB", "ORDER_ADDED"), ("ZORB", "ORDER_CANCELLED"), ("ZORB", "ORDER_EXECUTED")]
     assert rows[0]["metadata"]["venue"] == "XTST" and rows[0]["metadata"]["rawEventReference"] == "stp:src:frame:1"
     assert [(r["frame_number"], r["reason"], r["detail"]) for r in failures.orderBy("frame_number").collect()] == [
         (5, "INSTRUMENT_NOT_RESOLVED", "no instrument is known for STP order 4207"),

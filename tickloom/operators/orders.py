@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tickloom.operators.scan import HOT_ROWS, PARTS, Running, chunked, running, without_chunks
+from tickloom.operators.scan import Running, running
 
 ADD, EXECUTE, CANCEL, TRADE = "ORDER_ADDED", "ORDER_EXECUTED", "ORDER_CANCELLED", "TRADE"
 NOT_RESOLVED = "INSTRUMENT_NOT_RESOLVED"
@@ -12,8 +12,7 @@ NOT_RESOLVED = "INSTRUMENT_NOT_RESOLVED"
 
 def order_state(df: DataFrame, source: str = "source", order_id: str = "order_id",
                 kind: str = "kind", quantity: str = "quantity", symbol: str = "symbol",
-                order: str | list[str] = "arrival", hot_rows: int = HOT_ROWS,
-                parts: int = PARTS) -> DataFrame:
+                order: str | list[str] = "arrival", parts: int | None = None) -> DataFrame:
     """Add ``open_symbol`` and ``remaining``: the order's state just before each row.
 
     An Add opens or replaces the order; Execute and Cancel reduce it; at or below zero it is closed
@@ -24,13 +23,12 @@ def order_state(df: DataFrame, source: str = "source", order_id: str = "order_id
     keys = [source, order_id]
     is_add = F.col(kind) == ADD
     is_less = F.col(kind).isin(EXECUTE, CANCEL)
-    taken = running(chunked(df, keys, order[0], hot_rows, parts), keys, order, [Running(
-        "__taken", "sum", F.when(is_less, F.col(quantity)).otherwise(F.lit(0)).cast("bigint"))])
-    taken = taken.withColumn("__taken", F.coalesce(F.col("__taken"), F.lit(0).cast("bigint")))
+    taken = Running("__taken", "sum", F.when(is_less, F.col(quantity)).otherwise(F.lit(0)).cast("bigint"))
+    so_far = F.coalesce(F.col("__taken"), F.lit(0).cast("bigint"))
     last_add = Running("__open", "last", F.when(is_add, F.struct(
-        F.col(symbol).alias("symbol"), F.col(quantity).cast("bigint").alias("quantity"),
-        F.col("__taken").alias("taken"))))
-    out = without_chunks(running(taken, keys, order, [last_add]))
+        F.col(symbol).alias("symbol"), F.col(quantity).cast("bigint").alias("quantity"), so_far.alias("taken"))),
+        lift=lambda s, sums: F.when(s.isNotNull(), s.withField("taken", s["taken"] + sums["__taken"])))
+    out = running(df, keys, order, [taken], [last_add], parts).withColumn("__taken", so_far)
     remaining = F.col("__open.quantity") - (F.col("__taken") - F.col("__open.taken"))
     return (out.withColumn("remaining", F.when(remaining > 0, remaining))
             .withColumn("open_symbol", F.when(F.col("remaining").isNotNull(), F.col("__open.symbol")))
@@ -39,8 +37,7 @@ def order_state(df: DataFrame, source: str = "source", order_id: str = "order_id
 
 def resolve_instruments(df: DataFrame, source: str = "source", order_id: str = "order_id",
                         kind: str = "kind", quantity: str = "quantity", symbol: str = "symbol",
-                        order: str | list[str] = "arrival", hot_rows: int = HOT_ROWS,
-                        parts: int = PARTS) -> DataFrame:
+                        order: str | list[str] = "arrival", parts: int | None = None) -> DataFrame:
     """Add ``instrument`` and ``resolve_error``.
 
     Add and Trade rows carry their own symbol; Execute and Cancel take it from the open order and get
@@ -49,7 +46,7 @@ def resolve_instruments(df: DataFrame, source: str = "source", order_id: str = "
     order = [order] if isinstance(order, str) else list(order)
     needs = F.col(kind).isin(EXECUTE, CANCEL)
     orders = order_state(df.filter(F.col(kind).isin(ADD, EXECUTE, CANCEL)), source, order_id, kind,
-                         quantity, symbol, order, hot_rows, parts)
+                         quantity, symbol, order, parts)
     others = df.filter(~F.col(kind).isin(ADD, EXECUTE, CANCEL)) \
         .withColumns({"remaining": F.lit(None).cast("bigint"),
                       "open_symbol": F.lit(None).cast("string")})

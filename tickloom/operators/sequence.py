@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tickloom.operators.scan import HOT_ROWS, PARTS, Running, running
+from tickloom.operators.scan import Running, running
 from tickloom.schema import MAX_LONG
 
 EXPECTED = "EXPECTED"
@@ -12,7 +12,7 @@ GAP = "GAP_DETECTED"
 DUPLICATE = "DUPLICATE"
 LATE = "LATE_OR_OUT_OF_ORDER"
 
-_LAST = "__last_accepted"
+_LAST, _EPOCH = "__last_accepted", "__epoch"
 
 
 def classify(sequence: Column, last: Column) -> tuple[Column, Column, Column]:
@@ -37,7 +37,7 @@ def classify(sequence: Column, last: Column) -> tuple[Column, Column, Column]:
 
 def sequence_integrity(df: DataFrame, source: str = "source", sequence: str = "sequence",
                        order: str | list[str] = "arrival", reset: str | None = None,
-                       hot_rows: int = HOT_ROWS, parts: int = PARTS) -> DataFrame:
+                       parts: int | None = None) -> DataFrame:
     """Add ``status``, ``expected`` and ``missing`` to every row.
 
     The last accepted number is the running maximum of the earlier rows, since only an expected
@@ -45,28 +45,27 @@ def sequence_integrity(df: DataFrame, source: str = "source", sequence: str = "s
     judged against 1 again, as if its source had been forgotten before it.
     """
     order = [order] if isinstance(order, str) else list(order)
-    keys = [source]
-    base = df
-    if reset is not None:
-        base = running(df, [source], order,
-                       [Running("__epoch", "sum", F.col(reset).cast("bigint"), inclusive=True)],
-                       hot_rows, parts)
-        keys = [source, "__epoch"]
-    out = running(base, keys, order, [Running(_LAST, "max", F.col(sequence).cast("bigint"))],
-                  hot_rows, parts)
-    status, expected, missing = classify(F.col(sequence), F.col(_LAST))
-    return out.withColumns({"status": status, "expected": expected, "missing": missing}) \
-        .drop(_LAST, "__epoch")
+    number = F.col(sequence).cast("bigint")
+    if reset is None:
+        out = running(df, [source], order, [Running(_LAST, "max", number)], parts=parts)
+        last = F.col(_LAST)
+    else:
+        # Epochs only grow, so the largest (epoch, number) is the largest number since the last reset.
+        epoch = Running(_EPOCH, "sum", F.coalesce(F.col(reset), F.lit(False)).cast("bigint"), inclusive=True)
+        top = Running(_LAST, "max", F.struct(F.col(_EPOCH).alias("epoch"), number.alias("number")),
+                      lift=lambda s, sums: F.when(s.isNotNull(), F.struct((s["epoch"] + sums[_EPOCH]).alias("epoch"), s["number"].alias("number"))))
+        out = running(df, [source], order, [epoch], [top], parts)
+        last = F.when(F.col(_LAST)["epoch"] == F.col(_EPOCH), F.col(_LAST)["number"])
+    status, expected, missing = classify(F.col(sequence), last)
+    return out.withColumns({"status": status, "expected": expected, "missing": missing}).drop(_LAST, _EPOCH)
 
 
 def sequence_strict(df: DataFrame, source: str = "source", sequence: str = "sequence",
-                    order: str | list[str] = "arrival", hot_rows: int = HOT_ROWS,
-                    parts: int = PARTS) -> DataFrame:
+                    order: str | list[str] = "arrival", parts: int | None = None) -> DataFrame:
     """Add ``accepted`` and ``previous``: a number not above the last accepted one is rejected.
 
     A source may start at any positive number and may skip numbers.
     """
     order = [order] if isinstance(order, str) else list(order)
-    out = running(df, [source], order, [Running("previous", "max", F.col(sequence).cast("bigint"))],
-                  hot_rows, parts)
+    out = running(df, [source], order, [Running("previous", "max", F.col(sequence).cast("bigint"))], parts=parts)
     return out.withColumn("accepted", F.col("previous").isNull() | (F.col(sequence) > F.col("previous")))

@@ -9,7 +9,6 @@ from tickloom.functions.fixed import fixed
 from tickloom.functions.ids import event_id, frame_reference
 from tickloom.functions.text import trim_symbol, upper_venue
 from tickloom.operators.orders import ADD, CANCEL, EXECUTE, NOT_RESOLVED, TRADE, resolve_instruments
-from tickloom.operators.scan import HOT_ROWS, PARTS
 from tickloom.operators.validate import issue, symbol_problem
 from tickloom.schema import EVENT_SCHEMA, MAX_QUANTITY, MAX_SCALE
 
@@ -137,8 +136,8 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> tuple[DataFrame, DataF
 
 
 def normalize_frames(decoded: DataFrame, venue: str, source: str = "source",
-                     stream: str | None = None, order: str | list[str] = "frame_number", hot_rows: int = HOT_ROWS,
-                     parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
+                     stream: str | None = None, order: str | list[str] = "frame_number",
+                     parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(events, failures) of decoded frames: instruments resolved, then canonical columns built.
 
     ``stream`` names the column whose rows share order state, the source by default.  A frame of an
@@ -146,8 +145,7 @@ def normalize_frames(decoded: DataFrame, venue: str, source: str = "source",
     open order with INSTRUMENT_NOT_RESOLVED.
     """
     order = [order] if isinstance(order, str) else list(order)
-    resolved = resolve_instruments(decoded, source=stream or source, order=order, hot_rows=hot_rows,
-                                   parts=parts)
+    resolved = resolve_instruments(decoded, source=stream or source, order=order, parts=parts)
     reason = F.when(F.col("kind") == UNSUPPORTED, F.lit(UNSUPPORTED_TYPE)).otherwise(F.col("resolve_error"))
     detail = F.when(F.col("kind") == UNSUPPORTED, F.concat(
         F.lit("STP message type "), F.col("message_type").cast("string"),
