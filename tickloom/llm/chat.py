@@ -39,6 +39,15 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"\1\2\3", text)
 
 
+def one_line(text: str) -> str:
+    """Line ends as backslash and n, backslashes doubled."""
+    return text.replace("\\", "\\\\").replace("\n", "\\n")
+
+
+def many_lines(line: str) -> str:
+    return re.sub(r"\\([\\n])", lambda m: "\n" if m[1] == "n" else "\\", line)
+
+
 @dataclass
 class Flattener:
     """Visitor over the parts of one turn: text as it is, escaped; anything else as a placeholder in its place."""
@@ -82,7 +91,7 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]
     visitor = Flattener()
     for part in parts:
         visitor.visit(part)
-    head = TURN + escape(role).replace("\n", "\\n") + BODY
+    head = TURN + one_line(escape(role)) + BODY
     body = "".join(visitor.out)
     for item in visitor.attachments:
         item["place"] += len(head)
@@ -93,7 +102,7 @@ def format_turn(role: str, parts: list[dict]) -> tuple[str, int, int, list[dict]
 def read_turn(segment: str) -> tuple[str, str]:
     """Role and text of a segment; attachments leave no text."""
     head, _, body = segment.removeprefix(TURN).removesuffix(END).partition(BODY)
-    return unescape(head.replace("\\n", "\n")), read_text(body)
+    return unescape(many_lines(head)), read_text(body)
 
 
 def read_text(body: str) -> str:
