@@ -39,12 +39,32 @@ def place(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, named)
 
 
+def without_dots(path_: Column) -> Column:
+    """A path with its ``.`` and ``..`` segments followed; one at the end leaves a slash."""
+    segments = F.split(F.regexp_replace(path_, r"/\.{1,2}$", "$0/"), "/")
+    kept = F.aggregate(segments, F.array().cast("array<string>"), lambda out, s: F.when(s == ".", out).when(
+        s == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(s))))
+    return F.when(path_.rlike(r"/\.{1,2}(/|$)"), F.array_join(kept, "/")).otherwise(path_)
+
+
 def resolved(target: Column, url: Column) -> Column:
-    """An address as found in a page; ``/x`` and ``//host/x`` are relative to the page."""
-    return (F.when(target == "", None)
-            .when(F.instr(target, "://") > 0, target)
-            .when(target.startswith("//"), F.concat(F.lit("http:"), target))
-            .when(target.startswith("/"), F.concat(F.lit("http://"), host(url), target)))
+    """An address as found in a page, seen from the page: ``&amp;`` is a plain sign, and only a scheme makes it absolute.
+
+    ``//host/x`` names a host, ``/x`` a path, ``x`` and ``../x`` a path beside the page's own, ``?x`` another query of the page.
+    Addresses of schemes without a host (``mailto:x``) name no place.
+    """
+    plain = F.regexp_replace(target, "&amp;", "&")
+    asked = F.regexp_extract(plain, r"(?s)^([^?#]*)(\?[^#]*)?", 1), F.regexp_extract(plain, r"(?s)^([^?#]*)(\?[^#]*)?", 2)
+    beside = F.concat(F.regexp_extract(F.concat(path(url), F.when(path(url) == "", "/").otherwise("")), r"(?s)^(.*/)", 1), asked[0])
+    own = F.when(asked[1] != "", asked[1]).otherwise(F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1))
+    here = F.concat(F.lit("http://"), host(url))
+    return (F.when(plain == "", None)
+            .when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), plain)
+            .when(plain.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+            .when(plain.startswith("//"), F.concat(F.lit("http:"), plain))
+            .when(plain.startswith("/"), F.concat(here, without_dots(asked[0]), asked[1]))
+            .when(asked[0] == "", F.concat(here, path(url), own))
+            .otherwise(F.concat(here, without_dots(beside), asked[1])))
 
 
 def matched(host_: Column, path_: Column, rules: Sequence[tuple[str, str]]) -> Column:
@@ -125,10 +145,21 @@ def _sql_place(url: str) -> str:
 
 def _sql_found(tag: str, target: str) -> str:
     tag, target = tag.replace("'", "''"), target.replace("'", "''")
-    found = f"regexp_extract(regexp_extract(coalesce(html, ''), '{tag}', 0), '{target}', 1)"
-    return (f"SELECT url AS from_url, CASE WHEN {found} = '' THEN NULL WHEN contains({found}, '://') THEN {found} "
-            f"WHEN starts_with({found}, '//') THEN 'http:' || {found} "
-            f"WHEN starts_with({found}, '/') THEN 'http://' || {_sql_host('url')} || {found} END AS to_url FROM pages")
+    # Segments are followed from left to right on the text itself: each .. takes the last one off.
+    dots = ("list_reduce(list_prepend('', string_split(ltrim(regexp_replace({0}, '/[.][.]?$', '\\0/'), '/'), '/')), lambda done, part: "
+            "CASE part WHEN '.' THEN done WHEN '..' THEN regexp_replace(done, '/[^/]*$', '') ELSE done || '/' || part END)")
+    follow = f"CASE WHEN regexp_matches({{0}}, '/[.][.]?(/|$)') THEN {dots} ELSE {{0}} END"
+    return f"""SELECT url AS from_url, CASE
+    WHEN found = '' THEN NULL
+    WHEN regexp_matches(found, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches(found, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN found END
+    WHEN starts_with(found, '//') THEN 'http:' || found
+    WHEN starts_with(found, '/') THEN 'http://' || h || ({follow.format("t")}) || q
+    WHEN t = '' THEN 'http://' || h || p || CASE WHEN q <> '' THEN q ELSE regexp_extract(coalesce(url, ''), '(?s)^[^?#]*(\?[^#]*)', 1) END
+    ELSE 'http://' || h || ({follow.format("beside")}) || q END AS to_url
+  FROM (SELECT *, CASE WHEN p = '' THEN '/' ELSE regexp_extract(p, '(?s)^(.*/)', 1) END || t AS beside FROM (
+    SELECT url, found, {_sql_host("url")} AS h, {_sql_path("url")} AS p, split_part(split_part(found, '#', 1), '?', 1) AS t,
+      regexp_extract(found, '(?s)^[^?#]*(\?[^#]*)', 1) AS q FROM (
+        SELECT url, replace(regexp_extract(regexp_extract(coalesce(html, ''), '{tag}', 0), '{target}', 1), '&amp;', '&') AS found FROM pages)))"""
 
 
 def _sql_rule(column: str, host_: str, path_: str, rules: Sequence[tuple[str, str]] = RULES) -> str:
