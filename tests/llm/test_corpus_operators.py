@@ -523,3 +523,19 @@ def test_pipeline_on_planted_cases(spark, tmp_path):
     assert text[503][0].endswith("<EMAIL>") and text[503][1] == len(text[503][0]) and text[4][0] == rows[4][1]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.select("doc_id").collect()} == left[3]
+
+
+def test_columns_named_like_helpers_come_back(spark):
+    """Stages that drop rows return every column as it was."""
+    from tickloom.llm.decontaminate import without_leaks
+    from tickloom.llm.near_dedup import without_near_duplicates
+    from tickloom.llm.personal_data import masked
+    from tickloom.llm.toxicity import without_toxic
+
+    names = ["_own", "_row", "_base", "_more", "row", "score", "digest", "c0"]
+    rows = [(i, f"plain words about number {i} and nothing else at all", *[f"mine {n} {i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(1, "an item of ten words that no text of these holds")], "item_id long, text string")
+    labels = spark.createDataFrame([(0, 0)], "doc_id long, toxic int")
+    for out in (without_leaks(docs, items), without_near_duplicates(docs), masked(docs), without_toxic(docs, labels, threshold=1.1)):
+        assert out.columns == docs.columns and {r for r in out.collect()} <= {r for r in docs.collect()} and out.count() > 0

@@ -219,9 +219,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, key: s
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
     """``docs``, all columns, without the rows whose own text holds a test item, whatever their doc_id."""
-    keyed = docs.withColumn("_own", text_key("text"))
+    keyed = docs.select(text_key("text").alias("_own"), "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     held = _found(keyed.select(F.col("_own").alias("doc_id"), "text"), benchmark, similarity, BLOCK_BYTES)
-    return keyed.join(held.select(F.col("doc_id").alias("_own")).distinct(), "_own", "left_anti").select(*docs.columns)
+    return keyed.join(held.select(F.col("doc_id").alias("_own")).distinct(), "_own", "left_anti").select("_row.*")
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, similarity: float, block_bytes: int) -> DataFrame:

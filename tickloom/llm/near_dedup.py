@@ -255,8 +255,8 @@ def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: int = 8
     """
     rows = _components(docs, width, similarity, "doc_id", "text")
     gone = rows.filter(F.struct("doc_id", "own") != F.col("first")).select("doc_id", F.col("own").alias("_own")).distinct()
-    return (docs.withColumn("_own", text_key("text")).join(gone, ["doc_id", "_own"], "left_anti")
-            .dropDuplicates(["doc_id", "_own"]).select(*docs.columns))
+    whole = docs.select("doc_id", text_key("text").alias("_own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return (whole.join(gone, ["doc_id", "_own"], "left_anti").dropDuplicates(["doc_id", "_own"]).select("_row.*"))
 
 
 @query("op10_near_dedup")
