@@ -283,14 +283,15 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
 def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind, as ``<EMAIL>``; all columns stay.
 
-    Overlapping spans are masked together under the kind of the first.  A null text stays null.  Columns whose names
-    clash with helpers (a leading underscore and a kind) are not supported by the search and are set aside.
+    Overlapping spans are masked together under the kind of the first.  A null text stays null.  No other column
+    takes part, whatever its name.
     """
-    model = learn(saved(with_candidates(docs.select(F.col(text).alias("text"))).select("_base", "_more"), "spans"))
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    whole = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("_row")
-    rows = with_candidates(docs.select(whole, F.col(text).alias("text")))
-    rows = rows.withColumn("_all", accepted(model))
+    others = [c for c in docs.columns if c != text]
+    whole = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("_row")
+    # Rows are written with their candidates, so that no text is searched twice.
+    rows = saved(with_candidates(docs.select(whole, F.col(f"`{text}`").alias("text"))).select("_row", "text", "_base", "_more"), "spans")
+    rows = rows.withColumn("_all", accepted(learn(rows)))
     by_place = F.array_sort(F.transform("_all", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
@@ -304,8 +305,7 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     done = F.aggregate(by_place, start, step, lambda acc: F.concat(
         F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
     rows = rows.withColumn("_clean", F.when(F.size("_all") > 0, done).otherwise(F.col("text")))
-    return rows.select(*[(F.col("_clean") if c == text else F.col(f"_row.c{i}")).alias(c)
-                         for i, c in enumerate(docs.columns)])
+    return rows.select(*[(F.col("_clean") if c == text else F.col(f"_row.c{others.index(c)}")).alias(c) for c in docs.columns])
 
 
 @query("op5_personal_data")
