@@ -25,6 +25,7 @@ SIGNIFICANT = 3.0  # standard errors by which a feature's share differs between
 STEPS, RATE, DECAY = 300, 0.08, 2e-6
 CALM = 4.0  # weight of the penalty on score changes
 THRESHOLD = 0.7
+PORTION = 1 << 20  # bytes of text whose features are in memory at once; a longer text is taken whole
 
 # Groups of people as neutral texts name them, by kind.  A counterfactual puts the next of its kind in each place.
 IDENTITIES = (
@@ -61,9 +62,9 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     start, end, first = word_places(data, offsets)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(len(column) + 1, np.int64)
-    hashed = (prefix_hashes(data, start, end, PREFIXES) >> np.uint64(64 - BITS)).astype(np.int64)
-    owner = np.repeat(np.arange(len(column)), np.diff(first))
-    keys = np.unique(((owner << BITS) + hashed).ravel())
+    owner = np.repeat(np.arange(len(column)), np.diff(first)) << BITS
+    keys = np.unique(np.concatenate([np.unique(owner + (prefix_hashes(data, start, end, (size,))[0] >> np.uint64(64 - BITS)).astype(np.int64))
+                                     for size in PREFIXES]))
     return keys & ((1 << BITS) - 1), np.searchsorted(keys >> BITS, np.arange(len(column) + 1))
 
 
@@ -131,7 +132,7 @@ def train(rows: DataFrame, identities: Terms = IDENTITIES) -> tuple[np.ndarray,
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (p for b in batches for p in portions(b, 0)):
+        for batch in (p for b in batches for p in portions(b, 0, PORTION)):
             texts = batch.column(0).fill_null("")
             swapped = [counterfactual(t, identities) for t in texts.to_pylist()]
             out = []
@@ -156,21 +157,23 @@ def train(rows: DataFrame, identities: Terms = IDENTITIES) -> tuple[np.ndarray,
     return fit(x, xo, got.column("label").to_numpy().astype(float), c, np.append(co[original], co[-1]), original)
 
 
-def scored(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text",
-           carry_text: bool = True) -> DataFrame:
-    """``row``, the whole row as a struct, and ``score``, the probability that its whole text is toxic."""
+def scored(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
+    """``row``, the whole row as a struct, and ``score``, the probability that its whole text is toxic.
+
+    Only the text goes through Python, and only a score comes back.
+    """
     model = docs.sparkSession.sparkContext.broadcast((weights, bias))
-    carried = [F.col(f"`{c}`") for c in docs.columns if c != text or carry_text]
-    kept = docs.select(F.struct(*carried).alias("row"), F.col(text).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def judge(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = model.value
-        for batch in (p for whole in batches for p in portions(whole)):
-            found, offsets = features(batch.column(1))
-            odds = np.clip(sums(w[found], offsets) + b, -30, 30)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-odds)))], names=["row", "score"])
+        for column in columns:
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            odds = [sums(w[found], offsets) + b for found, offsets in (features(p.column(0)) for p in portions(batch, 0, PORTION))]
+            yield pa.array(1 / (1 + np.exp(-np.clip(np.concatenate(odds or [np.zeros(0)]), -30, 30))))
 
-    return kept.mapInArrow(run, kept.select("row").schema.add("score", "double"))
+    probability = F.arrow_udf("double")(judge)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, probability(F.col(f"`{text}`")).alias("score"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE,
@@ -192,7 +195,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: in
     at = fold(F.col("doc_id"), folds)
     weights, bias = train(learning_rows(docs, labels, "toxic", at != held, sample), identities)
     rows = docs.select(F.col("doc_id").alias("doc_id"), "text")
-    return scored(rows, weights, bias, carry_text=False).select(F.col("row.doc_id").alias("doc_id"), "score").select(
+    return scored(rows, weights, bias).select(F.col("row.doc_id").alias("doc_id"), "score").select(
         "doc_id", F.coalesce(at == held, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
