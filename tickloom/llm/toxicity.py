@@ -73,6 +73,15 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def steps(offsets: np.ndarray, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` features each, so that what is computed from them stays small."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = min(n, max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1))
+        yield at, to
+        at = to
+
+
 def fit(feature: np.ndarray, offsets: np.ndarray, labels: np.ndarray, swapped: np.ndarray, swapped_offsets: np.ndarray,
         original: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of logistic regression on feature presence.
@@ -82,20 +91,28 @@ def fit(feature: np.ndarray, offsets: np.ndarray, labels: np.ndarray, swapped: n
     whose share differs significantly between the classes take part; the others would be fitted to noise.
     """
     size = 1 << BITS
-    held = np.bincount(feature, minlength=size)
+    held, toxic = np.zeros(size), np.zeros(size)
+    for at, to in steps(offsets):
+        found = feature[offsets[at]:offsets[to]]
+        held += np.bincount(found, minlength=size)
+        toxic += np.bincount(found, np.repeat(labels[at:to], np.diff(offsets[at:to + 1])), size)
     n, ones = len(labels), labels.sum()
     share = held / max(n, 1)
-    toxic = np.bincount(feature, np.repeat(labels, np.diff(offsets)), size)
     apart = toxic / max(ones, 1) - (held - toxic) / max(n - ones, 1)
     error = np.sqrt(share * (1 - share) * (1 / max(ones, 1) + 1 / max(n - ones, 1)))
     use = (held >= FEWEST) & (np.abs(apart) > SIGNIFICANT * error)
     at = np.flatnonzero(use)
-    number = np.full(size, -1, np.int64)
+    number = np.full(size, -1, np.int32)
     number[at] = np.arange(len(at))
 
     def narrowed(f: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kept = number[f] >= 0
-        return number[f][kept], np.concatenate([[0], np.cumsum(kept)])[o]
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for first, last in steps(o):
+            named = number[f[o[first]:o[last]]]
+            kept = named >= 0
+            parts.append(named[kept])
+            sizes.append(np.diff(np.concatenate([[0], np.cumsum(kept)])[o[first:last + 1] - o[first]]))
+        return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
 
     x, xo = narrowed(feature, offsets)
     c, co = narrowed(swapped, swapped_offsets)
@@ -143,18 +160,20 @@ def train(rows: DataFrame, identities: Terms = IDENTITIES) -> tuple[np.ndarray,
                                              names=["label", "features", "swapped", "has"])
 
     got = rows.select("text", "label").mapInArrow(
-        extract, "label int, features array<int>, swapped array<int>, has boolean").toArrow().combine_chunks()
+        extract, "label int, features array<int>, swapped array<int>, has boolean").toArrow()
 
     def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in column.chunks] or [np.zeros(0, np.int32)])
-        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0)])
-        return flat.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks] or [np.zeros(0, np.int32)])
+        return flat.astype(np.int32), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
 
     x, xo = lists(got.column("features"))
     c, co = lists(got.column("swapped"))
-    original = np.flatnonzero(got.column("has").to_numpy())
-    log.log(logging.INFO if len(original) else logging.WARNING, "%d counterfactual pairs in %d texts", len(original), len(got))
-    return fit(x, xo, got.column("label").to_numpy().astype(float), c, np.append(co[original], co[-1]), original)
+    original, labels = np.flatnonzero(got.column("has").to_numpy()), got.column("label").to_numpy().astype(float)
+    del got  # the driver holds one copy of the features
+    pa.default_memory_pool().release_unused()
+    log.log(logging.INFO if len(original) else logging.WARNING, "%d counterfactual pairs in %d texts", len(original), len(labels))
+    return fit(x, xo, labels, c, np.append(co[original], co[-1]), original)
 
 
 def scored(docs: DataFrame, weights: np.ndarray, bias: float, text: str = "text") -> DataFrame:
