@@ -357,6 +357,57 @@ def test_weak_supervision_adds_secrets_and_masks(docs):
     assert clean[5] == ('words token = "<SECRET>" and mail <EMAIL>', "x") and clean[300] == (None, "x")
 
 
+def test_personal_data_with_very_many_matches(docs):
+    n = 20_000
+    rows = [(1, "ab@example.org, " * n), (2, ("é x@y.de 10.0.0.1 @someone " * 3_000)), (3, None)]
+    got = {r.doc_id: r for r in pd_.find_personal_data(docs(rows)).collect()}
+    assert got[1].n_email == n and got[1].base_sha256 == hashlib.sha256(
+        ",".join(f"email:{16 * i}:{16 * i + 14}" for i in range(n)).encode()).hexdigest()
+    assert (got[2].n_email, got[2].n_ip) == (3_000, 3_000)
+    assert got[2].spans.startswith("email:2:8,email:29:35") and "ip:9:17" in got[2].spans
+    clean = {r.doc_id: r.text for r in pd_.masked(docs(rows)).collect()}
+    assert clean[1] == "<EMAIL>, " * n and clean[2].count("<EMAIL> <IP>") == 3_000 and clean[3] is None
+
+
+@pytest.mark.parametrize("values", [[], [3], [3, 1], [1, 4, 1, 5, 9], list(range(17))])
+def test_running_sums_by_doubling(spark, values):
+    df = spark.createDataFrame([(values,)], "v array<int>")
+    sums, tops = df.select(pd_.running(F.col("v"), lambda a, b: a + b), pd_.running(F.col("v"), F.greatest)).first()
+    assert sums == [sum(values[:i + 1]) for i in range(len(values))]
+    assert tops == [max(values[:i + 1]) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("start, length", [(0, 0), (0, 5), (510, 4), (511, 1), (512, 3), (1020, 700), (1990, 10)])
+def test_cut_out_of_blocks(spark, start, length):
+    text = "".join("aé😀\n"[i % 4] for i in range(2_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    assert df.select(pd_.cut(pd_.blocks(F.col("text")), F.lit(start), F.lit(length))).first()[0] == text[start:start + length]
+
+
+def test_personal_data_recall_of_planted_spans(docs):
+    """Secrets, numbers and handles planted in neutral and telling contexts among public look-alikes."""
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    rows, planted = [], {}
+    for i in range(400):
+        secret = "".join(rng.choice(letters) for _ in range(31)) + "7"
+        number = f"{rng.randint(201, 989)}-{rng.randint(201, 989)}-{rng.randint(1000, 9999)}"
+        handle = f"@{rng.choice(pd_.GIVEN_NAMES)}_{rng.randint(10, 99)}"
+        kind, value, text = rng.choice([("secret", secret, f"set api_key={secret} now"), ("number", number, f"call me: phone {number} today"),
+                                        ("handle", handle, f"write to {handle} or ann@gmail.com")])
+        start = text.index(value)
+        rows.append((i, text))
+        planted[i] = kind, f"{kind}:{start}:{start + len(value)}"
+    public = ["use the @media rule", "page 1234567 of it", "a-very-long-hyphenated-compound-word", "nothing at all"]
+    rows += [(1_000 + i, public[i % 4]) for i in range(200)]
+    got = {r.doc_id: (r.spans or "").split(",") for r in pd_.find_personal_data(docs(rows)).collect()}
+    for kind in ("secret", "number", "handle"):
+        ids = [i for i, (k, _) in planted.items() if k == kind]
+        assert sum(planted[i][1] in got[i] for i in ids) >= 0.9 * len(ids), kind
+    assert not any(got[i] != [""] for i in got if i >= 1_000)
+
+
+
 def test_reliabilities_are_found():
     rng = np.random.default_rng(11)
     truth = rng.random(4000) < 0.3

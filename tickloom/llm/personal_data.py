@@ -8,6 +8,7 @@ patterns, whatever the number of documents, so they are what the driver sees.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -38,7 +39,17 @@ SPAN = "array<struct<kind: int, start: int, end: int>>"
 SECRET_WORDS = "token|secret|api.?key|access.?key|password|passwd|passwort|kennwort|contraseña|clave|mot de passe|bearer"
 CONTACT_WORDS = "phone|fon|tel|mobile|handy|fax|call|card|karte|tarjeta|carte|visa|iban|konto|account|cuenta|compte|ssn"
 PUBLIC_WORDS = "version|isbn|issn|doi|page|seite|página|chapter|copyright|licen|rfc|©|https?:|www|commit|sha"
-LABELERS = 8
+# Gazetteers: what a span itself is looked up in.
+GIVEN_NAMES = ("anna anne ben carla carlos chloe claire daniel david diego elena emily emma eric felix hans ines jack james jan john jose "
+               "juan julia karl laura lena leo linda lisa lucas lucia maria marie mark martin mary max mia michael nina noah olivia "
+               "oscar otto paul paula pedro peter petra pierre rosa sam sara sofia sophie thomas tim tom").split()
+MAIL_HOSTS = ("gmail.com googlemail.com yahoo.com outlook.com hotmail.com live.com icloud.com aol.com gmx.de gmx.net web.de "
+              "orange.fr laposte.net libero.it proton.me protonmail.com").split()
+PUBLIC_HANDLES = ("media import charset supports keyframes layer param return returns throws throw see since author version override "
+                  "deprecated suppresswarnings test before after everyone here channel todo property staticmethod classmethod").split()
+PUBLIC_NUMBERS = ("1234567 12345678 123456789 1234567890 0123456789 4111111111111111 4242424242424242 5555555555554444 "
+                  "378282246310005 3141592 31415926 2718281 2147483647 2147483648 4294967295 4294967296").split()
+LABELERS = 9
 BEFORE = 24  # characters before a span that labelers look at
 
 
@@ -68,6 +79,24 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _powers(size: Column) -> Column:
+    """1, 2, 4 .. below ``size``; empty for a size of 0 or 1."""
+    bits = F.when(size > 1, F.sequence(F.lit(0), F.length(F.bin(size - 1)) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(bits, lambda k: F.pow(F.lit(2), k).cast("int"))
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of an array, by doubling steps: n log n work, where a fold copies its result n times."""
+    return _let(values, lambda first: F.aggregate(
+        _powers(F.size(first)), first, lambda acc, step: F.transform(
+            acc, lambda x, i: F.when(i >= step, combine(F.get(acc, i - step), x)).otherwise(x))))
+
+
 def matches(text: Column, kind: str) -> Column:
     """(kind, start, end, found) of the valid matches of a kind, in code points.
 
@@ -75,20 +104,31 @@ def matches(text: Column, kind: str) -> Column:
     """
     pattern = F.lit(PATTERNS[kind])
     pairs = F.zip_with(F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, pattern, F.lit(0)),
-                       lambda piece, found: F.struct(F.length(piece).alias("skip"), found.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(
-        "array<struct<kind: int, start: int, end: int, found: string>>").alias("out"))
+                       lambda piece, found: F.struct(F.length(piece).alias("skip"), F.length(found).alias("size"), found.alias("found")))
+
+    def placed(pairs: Column) -> Column:
+        ends = running(F.transform(pairs, lambda x: x["skip"] + F.coalesce(x["size"], F.lit(0))), lambda a, b: a + b)
+        return F.zip_with(pairs, ends, lambda x, end: F.struct(
+            F.lit(KINDS.index(kind)).alias("kind"), (end - x["size"]).alias("start"), end.alias("end"), x["found"].alias("found")))
+
+    spans = F.filter(_let(pairs, placed), lambda s: s["found"].isNotNull() & _valid(kind, s["found"]))
+    none = F.array().cast("array<struct<kind: int, start: int, end: int, found: string>>")
+    return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none)
+
+
+BLOCK = 512  # code points
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, size = acc["at"] + x["skip"], F.length(x["found"])
-        span = F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("start"), (begin + size).alias("end"),
-                        x["found"].alias("found"))
-        return F.struct((begin + F.coalesce(size, F.lit(0))).alias("at"), F.when(
-            x["found"].isNotNull() & _valid(kind, x["found"]), F.concat(acc["out"], F.array(span)))
-            .otherwise(acc["out"]).alias("out"))
 
-    found = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(NEEDS[kind]), found).otherwise(start["out"])
+def blocks(text: Column) -> Column:
+    """The text in blocks, so that a piece of it is cut without walking there from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def cut(blocks: Column, start: Column, length: Column) -> Column:
+    """``length`` code points from place ``start`` (from 0) on."""
+    first = F.floor(start / BLOCK).cast("int")
+    part = F.slice(blocks, first + 1, F.floor((start + length) / BLOCK).cast("int") - first + 1)
+    return F.substring(F.array_join(part, ""), start - first * BLOCK + 1, length)
 
 
 def _votes(span: Column, before: Column, after: Column, in_doc: Column) -> list[Column]:
@@ -100,7 +140,8 @@ def _votes(span: Column, before: Column, after: Column, in_doc: Column) -> list[
         out = F.when(condition, 2)
         return (out.when(no, 0) if no is not None else out).otherwise(1)
 
-    secret, number, base = kind == KINDS.index("secret"), kind == KINDS.index("number"), kind < len(BASE)
+    email, secret, number, handle = (kind == KINDS.index(k) for k in ("email", "secret", "number", "handle"))
+    base = kind < len(BASE)
     return [
         yes(base),  # an expression with a check behind it
         yes(found.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$"), secret & ~found.rlike("[0-9]")),
@@ -113,6 +154,9 @@ def _votes(span: Column, before: Column, after: Column, in_doc: Column) -> list[
         yes(in_doc),
         yes((secret & found.rlike("[0-9]") & found.rlike("[A-Za-z]")) | (number & (F.length(digits) >= 13)),
             (secret & ~found.rlike("[0-9]")) | (number & digits.rlike(r"^([0-9])\1+$"))),
+        yes((email & F.lower(F.substring_index(found, "@", -1)).isin(MAIL_HOSTS))
+            | (handle & F.regexp_extract(F.lower(found), "^@([a-z]+)", 1).isin(GIVEN_NAMES)),
+            (handle & F.lower(F.substring(found, 2, 64)).isin(PUBLIC_HANDLES)) | (number & digits.isin(PUBLIC_NUMBERS))),
     ]
 
 
@@ -139,8 +183,18 @@ def _code(values: list[Column], bases: tuple[int, ...]) -> Column:
     return out
 
 
-def _overlaps(spans: Column, span: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < span["end"]) & (span["start"] < s["end"]))
+def _cover(spans: Column) -> Column:
+    """Spans by their starts, each with the furthest end up to it."""
+    places = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    return running(places, lambda a, b: F.struct(b["start"].alias("start"), F.greatest(a["end"], b["end"]).alias("end")))
+
+
+def _overlaps(cover: Column, span: Column) -> Column:
+    """Whether a span meets one of those covered: a binary search for the last that starts before its end."""
+    steps = F.reverse(_powers(F.size(cover) + 1))
+    before = F.aggregate(steps, F.lit(0), lambda low, step: F.when(
+        F.coalesce(F.get(cover, low + step - 1)["start"] < span["end"], F.lit(False)), low + step).otherwise(low))
+    return _let(before, lambda n: F.coalesce(F.get(cover, n - 1)["end"] > span["start"], F.lit(False)))
 
 
 def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -150,23 +204,32 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     for kind in KINDS:
         docs = docs.withColumn(f"_{kind}", matches(F.col("_body"), kind))
     docs = docs.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in BASE]))
-    extra = F.col("_secret")
-    docs = docs.withColumn("_extra", F.filter(extra, lambda s: ~_overlaps(F.col("_base"), s)))
-    docs = docs.withColumn("_extra", F.concat("_extra", F.filter(
-        "_number", lambda s: ~_overlaps(F.col("_base"), s) & ~_overlaps(F.col("_extra"), s))))
-    docs = docs.withColumn("_extra", F.concat("_extra", F.filter(
-        "_handle", lambda s: ~_overlaps(F.col("_base"), s) & ~_overlaps(F.col("_extra"), s))))
-
-    def coded(s: Column) -> Column:
-        before = F.substring(F.col("_body"), F.greatest(s["start"] - BEFORE, F.lit(0)) + 1,
-                             F.least(s["start"], F.lit(BEFORE)))
-        after = F.substring(F.col("_body"), s["end"] + 1, F.lit(2))
+    none = F.array().cast(docs.schema["_base"].dataType)
+
+    def outside(kind: str, taken: Column) -> Column:
+        spans = F.col(f"_{kind}")
+        return F.when(F.size(spans) == 0, none).when(F.size(taken) == 0, spans).otherwise(
+            _let(_cover(taken), lambda c: F.filter(spans, lambda s: ~_overlaps(c, s))))
+
+    docs = docs.withColumn("_extra", outside("secret", F.col("_base")))
+    for kind in ("number", "handle"):
+        docs = docs.withColumn("_extra", F.concat("_extra", outside(kind, F.concat("_base", "_extra"))))
+
+    def seen(parts: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"] - BEFORE, F.lit(0))
+        return F.struct(s.alias("span"), cut(parts, begin, s["start"] - begin).alias("before"), cut(parts, s["end"], F.lit(2)).alias("after"))
+
+    def coded(x: Column) -> Column:
+        s, before, after = x["span"], x["before"], x["after"]
         votes = _votes(s, before, after, F.size("_base") > 0)
         return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         _code(votes, (3,) * LABELERS).alias("votes"),
                         _code(_features(s, before, after), FEATURES).alias("features"))
 
-    return (docs.withColumn("_more", F.transform(F.concat("_base", "_extra"), coded))
+    spans = F.concat("_base", "_extra")
+    more = _let(blocks(F.col("_body")), lambda parts: F.transform(F.transform(spans, lambda s: seen(parts, s)), coded))
+    empty = F.array().cast("array<struct<kind: int, start: int, end: int, votes: int, features: int>>")
+    return (docs.withColumn("_more", F.when(F.size(spans) > 0, more).otherwise(empty))
             .withColumn("_base", F.transform("_base", _span))
             .drop("_body", "_extra", *[f"_{k}" for k in KINDS]))
 
@@ -265,8 +328,8 @@ def find_personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text")
     Base spans follow the contract's expressions and checks and always stay; the classifier adds spans of the kinds
     secret, number and handle, which never overlap a base span.  Places are code points, ends exclusive.
 
-    Null and empty texts have no spans; repeated rows each keep a row; a text of any length is searched whole, since no
-    expression retries inside a run; without any candidate the model accepts none; an empty table gives an
+    Null and empty texts have no spans; repeated rows each keep a row; a text of any length and with any number of matches is
+    searched whole: no expression retries inside a run, and places, overlaps and contexts cost n log n; without any candidate the model accepts none; an empty table gives an
     empty result; other columns are not returned.
     """
     found = saved(with_candidates(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
@@ -294,16 +357,20 @@ def masked(docs: DataFrame, text: str = "text") -> DataFrame:
     rows = rows.withColumn("_all", accepted(learn(rows)))
     by_place = F.array_sort(F.transform("_all", lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], F.array(
-            F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"]))))
-            .otherwise(acc["out"]).alias("out"))
+    def piece(parts: Column, spans: Column, reach: Column, i: Column) -> Column:
+        """What lies between the furthest end before a span and the span, and its kind; nothing for one that overlaps."""
+        at = F.coalesce(F.get(reach, i - 1), F.lit(0))
+        s = F.get(spans, i)
+        return F.when(s["start"] >= at, F.concat(cut(parts, at, s["start"] - at), F.get(names, s["kind"]))).otherwise("")
+
+    def joined(parts: Column, spans: Column, reach: Column) -> Column:
+        at = F.array_max(reach)
+        return F.concat(F.array_join(F.transform(spans, lambda s, i: piece(parts, spans, reach, i)), ""),
+                        cut(parts, at, F.char_length("text") - at))
 
-    done = F.aggregate(by_place, start, step, lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    done = _let(blocks(F.col("text")), lambda parts: _let(by_place, lambda spans: _let(
+        running(F.transform(spans, lambda s: s["end"]), F.greatest), lambda reach: joined(parts, spans, reach))))
     rows = rows.withColumn("_clean", F.when(F.size("_all") > 0, done).otherwise(F.col("text")))
     return rows.select(*[(F.col("_clean") if c == text else F.col(f"_row.c{others.index(c)}")).alias(c) for c in docs.columns])
 
