@@ -205,3 +205,23 @@ def test_order_stream_equals_batch(spark, tmp_path):
     rows = order_rows(22)
     out = stream(spark, tmp_path, rows, ORDER_SCHEMA, lambda s: order_state_stream(s, buckets=3))
     assert got_orders(out) == follow(rows)
+
+
+def test_closed_orders_leave_the_state(spark, tmp_path):
+    """Four micro-batches: orders open in the first, shrink in the next two and close in the last."""
+    def batch(kind, quantity, at):
+        return [("s", i, kind, quantity, f"Y{i}" if kind == "ORDER_ADDED" else None, at * 100 + i) for i in range(40)]
+
+    schema = "source string, order_id long, kind string, quantity long, symbol string, arrival long"
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    held = []
+    for rows in (batch("ORDER_ADDED", 9, 0), batch("ORDER_EXECUTED", 2, 1), batch("ORDER_CANCELLED", 3, 2), batch("ORDER_EXECUTED", 4, 3)):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        stream_in = spark.readStream.schema(schema).parquet(path)
+        query = order_state_stream(stream_in, buckets=4).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", mark).trigger(availableNow=True).start()
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    assert held[0] == held[1] == held[2] == 4 and held[3] == 0
+    left = {(r.arrival // 100, r.remaining) for r in spark.read.parquet(out).collect()}
+    assert left == {(0, None), (1, 9), (2, 7), (3, 4)}

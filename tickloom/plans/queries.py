@@ -25,12 +25,15 @@ from tickloom.operators.sequence import sequence_integrity, sequence_strict
 from tickloom.operators.validate import normalized, with_validation
 from tickloom.plans import views as V
 from tickloom.plans.run import process_events
+from tickloom.schema import MAX_LONG
 from tickloom.sinks.files import write_csv, write_dead_letters, write_jsonl
 from tickloom.sources.capture import split_capture, split_errors
 from tickloom.sources.csv import CsvConfig, map_trades, read_trades_csv
 from tickloom.sources.deadletters import read_dead_letters
 from tickloom.sources.frames import decode_columns, decode_frames
-from tickloom.sources.jsonl import parse_event_lines
+from tickloom.sources.jsonl import parse_event_lines, read_canonical_jsonl
+from tickloom.sources.lines import FILE, read_lines, read_summary, with_ordinal
+from tickloom.streaming.pipeline import read_event_stream, start_counter_stream, stream_counters, stream_states
 from tickloom.streaming.state import order_state_stream, sequence_integrity_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -312,6 +315,84 @@ def csv_style_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ok, F.col("metadata.rawEventReference")).alias("reference"))
 
 
+@query("sequence_numbers", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN 'INVALID_FIELD' WHEN 2 THEN 'INVALID_FIELD' WHEN 3 THEN 'REQUIRED_FIELD' END AS reason
+  FROM orders""")
+def sequence_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, m = F.col("o_orderkey") % 5, F.col("metadata")
+    number = F.when(k == 1, F.lit(0)).when(k == 2, F.lit(-5)).when(k == 3, F.lit(None)).otherwise(m["sequenceNumber"]).cast("bigint")
+    df = V.adds(spark, sf_dir).withColumn("metadata", m.withField("sequenceNumber", number))
+    return with_validation(keep(df, F.col("o_orderkey").isNotNull())).select("o_orderkey", F.col("_issue.reason").alias("reason"))
+
+
+@query("quotes", f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'REQUIRED_FIELD' WHEN 4 THEN 'NORMALIZATION_ERROR' WHEN 5 THEN 'REQUIRED_FIELD' END AS reason,
+  CASE event_id % 6 WHEN 0 THEN 'payload.bid or payload.ask is required' WHEN 4 THEN 'quantity must be between 1 and 4294967295'
+    WHEN 5 THEN 'payload.ask.price and payload.ask.quantity are required' END AS detail,
+  CASE WHEN event_id % 6 IN (1, 3) THEN {s_plain(s_cents('value'), 2)} END AS bid,
+  CASE WHEN event_id % 6 IN (2, 3) THEN {s_plain(s_cents('value') + ' + 1', 2)} END AS ask FROM events""")
+def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = parse_event_lines(V.quote_lines(spark, sf_dir), "value")
+    good = F.col("_issue").isNull()
+    return parsed.select("event_id", F.col("_issue.reason").alias("reason"), F.col("_issue.detail").alias("detail"),
+                         F.when(good, fd_plain(F.col("payload.bid.price"))).alias("bid"),
+                         F.when(good, fd_plain(F.col("payload.ask.price"))).alias("ask"))
+
+
+def event_files(spark: SparkSession, sf_dir: str, files: int = 5) -> str:
+    """Folder with the JSON lines of events, one subfolder for each remainder of the id; the lines of one are in the order of ids."""
+    path = V.scratch(spark, "event-lines")
+    V.json_lines(spark, sf_dir).select((F.col("event_id") % files).alias("file"), "event_id", "value") \
+        .repartition("file").sortWithinPartitions("file", "event_id").select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+def file_number() -> Column:
+    return F.regexp_extract(FILE, "/file=([0-9]+)/", 1).cast("bigint")
+
+
+@query("line_numbers", """SELECT file, event_id, line FROM (SELECT event_id % 5 AS file, event_id,
+  row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) AS line FROM events) WHERE event_id % 23 NOT IN (21, 22)""")
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = with_ordinal(read_lines(spark, f"{event_files(spark, sf_dir)}/file=*"))
+    return lines.select(file_number().alias("file"), F.regexp_extract("value", '"events:([0-9]+)"', 1).alias("id"),
+                        F.col("line_number").alias("line")).filter("id <> ''").select("file", F.col("id").cast("bigint").alias("event_id"), "line")
+
+
+@query("read_summary", """SELECT event_id % 5 AS file, count(*) AS rows_read,
+  count(*) FILTER (WHERE event_id % 23 IN (0, 11)) AS events_produced, count(*) FILTER (WHERE event_id % 23 NOT IN (0, 11)) AS errors_reported
+FROM events GROUP BY ALL""")
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events, errors = read_canonical_jsonl(spark, f"{event_files(spark, sf_dir)}/file=*")
+    return read_summary(events, errors).select(file_number().alias("file"), "rows_read", "events_produced", "errors_reported")
+
+
+S_FEED = """s AS (SELECT event_id, CASE WHEN event_id % 23 NOT IN (0, 11) THEN 'PARSE_FAILED' WHEN event_id % 97 + 1 > 40 THEN 'EMITTED' ELSE 'FILTERED' END AS state FROM events)"""
+FEED_RULES = [{"op": "filter", "condition": C.comparison("payload.quantity", "GT", C.int64(40))}]
+
+
+def event_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events read as a stream, one file in a micro-batch, with the state of each row."""
+    return stream_states(read_event_stream(spark, f"{event_files(spark, sf_dir)}/file=*", maxFilesPerTrigger="1"), FEED_RULES)
+
+
+@query("stream_states", f"WITH {S_FEED} SELECT event_id, state, state = 'EMITTED' AS good FROM s WHERE state <> 'PARSE_FAILED'")
+def feed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, mark = V.scratch(spark, "feed-out"), V.scratch(spark, "feed-state")
+    keep(event_feed(spark, sf_dir), F.col("state") != "PARSE_FAILED").select(
+        (F.col("metadata.sequenceNumber") - 1).alias("event_id"), "state", (F.col("state") == "EMITTED").alias("good")) \
+        .writeStream.format("parquet").option("path", out).option("checkpointLocation", mark) \
+        .trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id bigint, state string, good boolean").parquet(out)
+
+
+@query("stream_counters", f"""WITH {S_FEED} SELECT count(*) AS received, count(*) FILTER (WHERE state <> 'PARSE_FAILED') AS parsed,
+  count(*) FILTER (WHERE state <> 'PARSE_FAILED') AS normalized, count(*) FILTER (WHERE state = 'FILTERED') AS filtered,
+  count(*) FILTER (WHERE state = 'EMITTED') AS emitted, count(*) FILTER (WHERE state = 'PARSE_FAILED') AS failed FROM s""")
+def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, mark = V.scratch(spark, "feed-counts"), V.scratch(spark, "feed-state")
+    start_counter_stream(event_feed(spark, sf_dir), out, mark).awaitTermination()
+    return stream_counters(spark, out)
+
+
 @query("jsonl_errors", f"""
 WITH e AS (SELECT *, event_id % 23 AS k, {s_cents('value')} AS cents FROM events),
 r AS (SELECT *, CASE k WHEN 1 THEN 'MALFORMED_JSON' WHEN 2 THEN 'EVENT_ID_MISMATCH' WHEN 3 THEN 'SCHEMA_VERSION'
@@ -454,6 +535,32 @@ def conditional_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome(out, instrument=doc_json(out, "instrument"))
 
 
+@query("filter_not_equal", f"""WITH {S_MIXED} SELECT k1, k2, k3, k4, CASE WHEN type = 'TRADE' AND aggressor IS NULL THEN 'FAILED'
+  WHEN type = 'ORDER_ADDED' THEN 'FAILED' WHEN aggressor <> 'BUY' AND qty <> 25 AND cents <> 100000 THEN 'TRANSFORMED' ELSE 'FILTERED' END AS status FROM m""")
+def filter_not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.apply_transformation(V.mixed(spark, sf_dir), [{"op": "filter", "condition": C.all_of(
+        C.comparison("payload.aggressorSide", "NE", C.enum("BUY")), C.comparison("payload.quantity", "NE", C.int64(25)),
+        C.comparison("payload.price", "NE", C.decimal(1000, 0)))}])
+    return outcome(out).select("k1", "k2", "k3", "k4", "status")
+
+
+@query("cast_to_own_type", f"WITH {S_MIXED} " + s_outcome(
+    "aggressor IS NULL", "'MISSING_FIELD'", "payload.aggressorSide", f"'{ABSENT}'", payload=s_payload()))
+def cast_to_own_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.apply_transformation(V.mixed(spark, sf_dir), [
+        {"op": "cast", "path": "payload.quantity", "toType": "INT64"},
+        {"op": "cast", "path": "payload.aggressorSide", "toType": "STRING"}])
+    return outcome(out, payload=doc_json(out, "payload"))
+
+
+@query("field_limit", f"""WITH {S_MIXED}, c AS (SELECT *, 10 + 2 + 6 + CASE WHEN type = 'ORDER_ADDED' OR aggressor IS NOT NULL THEN 1 ELSE 0 END AS n FROM m)
+SELECT k1, k2, k3, k4, CASE WHEN n > 18 THEN 'FAILED' ELSE 'TRANSFORMED' END AS status, CASE WHEN n > 18 THEN 'OUTPUT_FIELD_LIMIT_EXCEEDED' END AS code FROM c""")
+def field_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = X.apply_transformation(V.mixed(spark, sf_dir), [
+        {"op": "add_constant", "path": "payload.note", "value": C.text("x")}], limits=X.Limits(max_fields=18))
+    return outcome(out).select("k1", "k2", "k3", "k4", "status", "code")
+
+
 @query("map_enum", f"WITH {S_MIXED} " + s_outcome(
     "aggressor IS NULL OR aggressor = 'SELL'", "CASE WHEN aggressor IS NULL THEN 'MISSING_FIELD' ELSE 'UNMAPPED_ENUM_VALUE' END",
     "payload.aggressorSide", f"CASE WHEN aggressor IS NULL THEN '{ABSENT}' ELSE 'enum mapping has no entry for value: SELL' END",
@@ -794,13 +901,37 @@ def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "order_id", "kind", "arrival", "line", "part", "supplier", "quantity", "cents", "instrument", "resolve_error")
 
 
-def through_stream(spark: SparkSession, table: DataFrame, apply: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Write a table, stream it through ``apply`` until it is consumed, and read the result back."""
-    path, out, mark = (V.scratch(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    table.write.parquet(path)
-    source = spark.readStream.schema(table.schema).parquet(path)
-    apply(source).writeStream.format("parquet").option("path", out).option("checkpointLocation", mark) \
-        .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def end_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.sequences(spark, sf_dir).withColumn("sequence", F.when(F.col("arrival") % 29 == 0, F.lit(MAX_LONG)).otherwise(F.col("sequence")))
+
+
+@query("sequence_end_of_range", f"""WITH {S_SEQ}, x AS (SELECT source, arrival, CASE WHEN arrival % 29 = 0 THEN {MAX_LONG} ELSE sequence END AS sequence FROM q),
+w AS (SELECT *, max(sequence) OVER (PARTITION BY source ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l FROM x),
+z AS (SELECT *, CASE WHEN l IS NULL THEN 1 WHEN l < {MAX_LONG} THEN l + 1 END AS expected FROM w)
+SELECT source, arrival, sequence, CASE WHEN expected IS NULL AND sequence = l THEN 'DUPLICATE' WHEN expected IS NULL THEN 'LATE_OR_OUT_OF_ORDER'
+  WHEN sequence = expected THEN 'EXPECTED' WHEN sequence > expected THEN 'GAP_DETECTED' WHEN sequence = l THEN 'DUPLICATE' ELSE 'LATE_OR_OUT_OF_ORDER' END AS status,
+  expected, CASE WHEN sequence > expected THEN sequence - expected ELSE 0 END AS missing FROM z""")
+def sequence_end_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence_integrity(end_of_range(spark, sf_dir))
+
+
+def through_stream(spark: SparkSession, table: DataFrame, apply: Callable[[DataFrame], DataFrame], at: str = "arrival",
+                   batches: int = 4) -> DataFrame:
+    """Stream a table through ``apply`` in ``batches`` ranges of arrival, and read the result back.
+
+    Each range is a run of the query of its own that goes on from the checkpoint, so state crosses micro-batches and restarts.
+    Rows that arrive at the same time are in one range.
+    """
+    whole, path, out, mark = (V.scratch(spark, n) for n in ("stream-whole", "stream-in", "stream-out", "stream-state"))
+    table.write.parquet(whole)
+    saved = spark.read.schema(table.schema).parquet(whole)
+    ends = saved.approxQuantile(at, [i / batches for i in range(1, batches)], 0.01)
+    borders = [None, *sorted({int(e) for e in ends}), None]
+    for low, high in zip(borders, borders[1:]):
+        part = saved if low is None else saved.filter(F.col(at) > low)
+        (part if high is None else part.filter(F.col(at) <= high)).write.mode("append").parquet(path)
+        apply(spark.readStream.schema(table.schema).parquet(path)).writeStream.format("parquet").option("path", out) \
+            .option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 

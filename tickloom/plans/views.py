@@ -224,6 +224,25 @@ def json_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "user_id", text.alias("value"))
 
 
+def quote_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical JSON lines of quotes from events: none, one or both sides, and faults in the ask, by id modulo 6."""
+    key, k = F.col("event_id"), F.col("event_id") % 6
+    source = F.concat(F.lit("quotes/"), F.col("user_id").cast("string"))
+
+    def level(name: str, mantissa: Column, quantity: Column, price: Column | None = None) -> Column:
+        shown = F.concat(F.lit('"price":{"mantissa":'), mantissa.cast("string"), F.lit(',"scale":2},"quantity":'), quantity)
+        return F.concat(F.lit(f',"{name}":{{'), shown if price is None else F.when(price, shown).otherwise('"quantity":3'), F.lit("}"))
+
+    bid = F.when(k.isin(1, 3), level("bid", cents("value"), F.lit("7")))
+    ask = F.when(k.isin(2, 3, 4, 5), level("ask", cents("value") + 1, F.when(k == 4, "0").otherwise("9"), k != 5))
+    line = F.concat(
+        F.lit('{"metadata":{"eventId":'), json_string(event_id(source, key + 1)), F.lit(',"schemaVersion":{"major":1,"minor":0},"source":'),
+        json_string(source), F.lit(',"venue":"XTPC","exchangeTimestamp":'), nanos("ts").cast("string"), F.lit(',"sequenceNumber":'),
+        (key + 1).cast("string"), F.lit(',"rawEventReference":"q"},"instrument":{"symbol":"Q"},"payload":{"type":"QUOTE"'),
+        F.coalesce(bid, F.lit("")), F.coalesce(ask, F.lit("")), F.lit("}}"))
+    return spread(table(spark, sf_dir, "events")).select("event_id", line.alias("value"))
+
+
 def hex_long(value: Column, width: int) -> Column:
     return F.lpad(F.hex(value.cast("bigint")), width * 2, "0")
 
