@@ -14,7 +14,8 @@ from tickloom.operators.report import (
 )
 from tickloom.operators.validate import validate_events
 from tickloom.plans.run import read_capture_input, read_csv_input, read_jsonl_input, run
-from tickloom.sinks.files import publish, read_dead_letters, write_csv, write_jsonl
+from tickloom.sinks.files import read_dead_letters, write_csv, write_jsonl
+from tickloom.sinks.publish import publish
 from tickloom.streaming.pipeline import (
     batch_writer, live_counters, read_event_stream, start_counter_stream, start_file_streams, stream_counters,
     stream_states,

@@ -1,36 +1,48 @@
-"""One run: read, transform, shape, write, quarantine, count."""
+"""One run: read, transform, shape, write, quarantine, count.
+
+The input is parsed once: a run writes every row with its state, in folders by state, and takes output, dead letters,
+counters and the failure sample from the parts of that table that they need.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from tickloom.functions.common import keep
+from tickloom.functions.text import redact_message
 from tickloom.operators.blueprint import BLUEPRINT_FAILURE, render_blueprint
 from tickloom.operators.deadletter import DeadLetterConfig, FAIL_FAST, SKIP, dead_letters, quarantine
-from tickloom.operators.report import COUNTERS, failure_sample, run_counters, sequence_counters
+from tickloom.operators.report import COUNTERS, run_counters, sequence_counters
 from tickloom.operators.sequence import sequence_integrity
 from tickloom.operators.transform import FAILED, FAILURE, FILTERED, STATUS, apply_transformation
-from tickloom.sinks.files import write_csv, write_dead_letters, write_jsonl
+from tickloom.operators.validate import normalized
+from tickloom.plans.views import scratch
+from tickloom.sinks.files import csv_columns, csv_text, record_line, write_dead_letters
+from tickloom.sinks.publish import Kind, remove, renamed
 from tickloom.sources.capture import split_capture
 from tickloom.sources.csv import CsvConfig, read_trades_csv
 from tickloom.sources.frames import UNSUPPORTED, decode_columns, normalize_frames
-from tickloom.sources.jsonl import CONTINUE, read_canonical_jsonl
-from tickloom.sources.lines import FILE
+from tickloom.sources.jsonl import CONTINUE, FAIL_FAST as STOP, read_canonical_jsonl, read_jsonl_states
+from tickloom.sources.lines import BLOCK, FILE, ROW, line_offsets
 
 
 @dataclass(frozen=True)
 class Inputs:
-    """Events plus failed rows of the reading stages.
+    """Events plus failed rows of the reading stages, or ``parsed``, both in one frame from one scan.
 
-    All frames carry ``file_path``, ``position`` and ``source_location``; failures also ``stage``
-    and ``detail``.  ``sequence`` is the classified frame table of binary input.
+    Events and failures carry ``file_path``, ``position`` and ``source_location``; failures also ``stage``
+    and ``detail``.  ``parsed`` carries file, block, scan position and ``_issue``; lines get their numbers when
+    they have been written.  ``sequence`` is the classified frame table of binary input.
     """
 
-    events: DataFrame
-    failures: DataFrame
+    events: DataFrame | None
+    failures: DataFrame | None
     sequence: DataFrame | None = None
+    parsed: DataFrame | None = None
 
 
 @dataclass(frozen=True)
@@ -53,7 +65,9 @@ def _failures(df: DataFrame, stage: str, position: str) -> DataFrame:
                      detail.alias("detail"), text.alias("source_text"), frame.alias("frame"))
 
 
-def read_jsonl_input(spark: SparkSession, path: str, mode: str = CONTINUE) -> Inputs:
+def read_jsonl_input(spark: SparkSession, path: str | list[str], mode: str = CONTINUE) -> Inputs:
+    if mode != STOP:
+        return Inputs(None, None, parsed=read_jsonl_states(spark, path))
     events, errors = read_canonical_jsonl(spark, path, mode)
     return Inputs(events.withColumnRenamed("line_number", "position"), _failures(errors, "PARSE", "line_number"))
 
@@ -117,66 +131,165 @@ def process_events(events: DataFrame, rules: dict | list | None = None,
     return out.withColumns({"state": state, "stage": stage, "detail": detail, "below": below})
 
 
-def event_failures(processed: DataFrame) -> DataFrame:
-    """Failed events of the transform and blueprint stages in the shape of reading failures."""
-    return keep(processed, F.col("state") == "FAILED").select(
-        FILE, "position", F.concat("source_location", "below").alias("source_location"), "stage", "detail",
-        "source_text", F.lit(None).cast("binary").alias("frame"),
-        F.col("metadata.eventId").alias("event"))
+def parsed_states(parsed: DataFrame, rules: dict | list | None = None, blueprint: dict | None = None) -> DataFrame:
+    """``process_events`` over rows of which some have an ``_issue``: those end as PARSE_FAILED."""
+    out = process_events(parsed, rules, blueprint)
+    bad = F.col("_issue").isNotNull()
+    return out.withColumns({
+        "state": F.when(bad, "PARSE_FAILED").otherwise(F.col("state")),
+        "stage": F.when(bad, "PARSE").otherwise(F.col("stage")),
+        "detail": F.when(bad, F.concat(F.col("_issue.reason"), F.lit(": "), F.col("_issue.detail")))
+        .otherwise(F.col("detail")),
+        "below": F.when(bad, F.lit("")).otherwise(F.col("below")),
+    })
+
+
+BAD = ("PARSE_FAILED", "NORMALIZE_FAILED", "FAILED")
+STATE_PLACE = [FILE, BLOCK, ROW, "source_location", "below", "stage", "detail", "event", "source_text", "frame"]
+
+
+def classified(inputs: Inputs, rules: dict | list | None = None, blueprint: dict | None = None,
+               csv: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Every row of the input with its state, place, failure and, if it goes on, its output in ``written``.
+
+    ``written`` is the JSON line, or an array of CSV cells.  Only failed rows keep their source.
+    """
+    null, failed = F.lit(None), F.col("state").isin(*BAD)
+
+    def shaped(df: DataFrame) -> DataFrame:
+        written = record_line(df) if csv is None else F.array(*csv_columns(df, csv))
+        return df.withColumns({
+            "written": F.when(F.col("state") == "EMITTED", written), "source_text": F.when(failed, F.col("source_text")),
+            "frame": null.cast("binary"), "event": F.when(F.col("stage") != "PARSE", F.col("metadata.eventId")),
+        }).select(*STATE_PLACE, "state", "written")
+
+    if inputs.parsed is not None:
+        rows = normalized(inputs.parsed).withColumn("source_location", F.lit(None).cast("string"))
+        return shaped(parsed_states(rows, rules, blueprint))
+    zero = F.lit(0).cast("bigint")
+    good = shaped(process_events(inputs.events, rules, blueprint).withColumns({BLOCK: zero, ROW: F.col("position").cast("bigint")}))
+    bad = inputs.failures.withColumns({
+        BLOCK: zero, ROW: F.col("position").cast("bigint"), "below": F.lit(""), "event": null.cast("string"),
+        "state": F.concat(F.col("stage"), F.lit("_FAILED")), "written": null.cast(good.schema["written"].dataType)})
+    return good.unionByName(bad.select(*STATE_PLACE, "state", "written"))
+
+
+def located_failures(rows: DataFrame, stop: bool = False, unit: str | None = None) -> DataFrame:
+    """Failed rows of a written ``classified`` table with their positions and locations.
+
+    ``stop`` keeps the first of each file.  With a ``unit``, positions are line numbers, composed from one small
+    summary per block; that reads three narrow columns of the whole table.
+    """
+    bad = rows.filter(F.col("state").isin(*BAD))
+    if stop:
+        others = F.struct(*[c for c in bad.columns if c != FILE]).alias("row")
+        bad = bad.groupBy(FILE).agg(F.min_by(others, F.struct(BLOCK, ROW)).alias("row")).select(FILE, "row.*")
+    bad = bad.withColumn("position", F.col(ROW))
+    if unit is not None:
+        bad = bad.join(line_offsets(rows.select(FILE, BLOCK, ROW)), [FILE, BLOCK]) \
+            .withColumn("position", F.col(ROW) + F.col("__offset")) \
+            .withColumn("source_location", F.concat(FILE, F.lit(f":{unit} "), F.col("position").cast("string")))
+    return bad.select(FILE, "position", F.concat("source_location", F.coalesce("below", F.lit(""))).alias("source_location"),
+                      "stage", "detail", "source_text", "frame", "event")
+
+
+def counted(rows: DataFrame, stop: bool = False) -> dict[str, int]:
+    """The six counters of a written ``classified`` table; with ``stop``, of each file up to its first failure."""
+    if stop:
+        first = rows.filter(F.col("state").isin(*BAD)).groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("__stop"))
+        rows = rows.select(FILE, BLOCK, ROW, "state").join(first, FILE, "left").filter(
+            F.col("__stop").isNull() | (F.struct(BLOCK, ROW) <= F.col("__stop")))
+    return run_counters(rows.select("state")).first().asDict()
+
+
+SINK_ERRORS = (Py4JError, PySparkException, OSError)
 
 
-def _cut(frames: list[DataFrame]) -> list[DataFrame]:
-    """Rows of every file up to and including its first failure."""
-    places = [f.select(FILE, F.col("position"), F.col("state").isin(
-        "PARSE_FAILED", "NORMALIZE_FAILED", "FAILED").alias("bad")) for f in frames]
-    first = places[0]
-    for more in places[1:]:
-        first = first.unionByName(more)
-    first = first.filter("bad").groupBy(FILE).agg(F.min("position").alias("__stop"))
-    return [f.join(first, FILE, "left").filter(
-        F.col("__stop").isNull() | (F.col("position") <= F.col("__stop"))).drop("__stop") for f in frames]
+def sink_failure(spark: SparkSession, place: str, error: Exception) -> Row:
+    """A failure of the OUTPUT stage in the shape of other failures; the detail is one redacted line."""
+    text = str(error).strip().split("\n", 1)[0] or type(error).__name__
+    detail = spark.range(1).select(redact_message(F.lit(text))).first()[0]
+    return Row(file_path=None, position=None, stage="OUTPUT", source_location=place, detail=detail)
 
 
 def run(inputs: Inputs, output: str, rules: dict | list | None = None, blueprint: dict | None = None,
         csv: list[tuple[str, str]] | None = None, header: bool = True,
         dead_letter_path: str | None = None, config: DeadLetterConfig | None = None,
-        pipeline_id: str = "local", pipeline_version: str = "1", sample: int = 100) -> Report:
+        pipeline_id: str = "local", pipeline_version: str = "1", sample: int = 100,
+        kind: Kind = renamed, work: str | None = None) -> Report:
     """Run a pipeline and publish its output.
 
     Failed rows are counted and go on or are quarantined; with policy FAIL_FAST the run counts up to the
-    first failure of a file, ends FAILED and publishes nothing.
+    first failure of a file, ends FAILED and publishes nothing.  An output or dead-letter folder that cannot be written
+    is a failure of stage OUTPUT: the run ends FAILED and an older output stays as it was.  A failed output is quarantined
+    as RETRYABLE.  Output becomes current only after the dead letters have.
+
+    ``work`` is a folder that all executors share, for the classified rows; it is removed at the end.
     """
-    processed = process_events(inputs.events, rules, blueprint)
-    reading = inputs.failures.withColumn("state", F.concat(F.col("stage"), F.lit("_FAILED"))) \
-        .withColumn("event", F.lit(None).cast("string"))
-    if config is not None and config.policy == FAIL_FAST:
-        processed, reading = _cut([processed, reading])
-    counters = run_counters(processed.select("state").unionByName(reading.select("state")))
-    failures = event_failures(processed).unionByName(reading.drop("state"))
-    first, more = failure_sample(
-        failures.select(FILE, "position", "stage", "source_location", "detail"), [FILE, "position"], sample)
-    stopped = False
-    counted = counters.first().asDict()
-    if config is not None and config.policy == FAIL_FAST:
-        stopped = counted["failed"] > 0
-    if not stopped:
-        good = keep(processed, F.col("state") == "EMITTED")
-        if csv is None:
-            write_jsonl(good, output)
-        else:
-            write_csv(good, output, csv, header)
+    rows = classified(inputs, rules, blueprint, csv)
+    spark = rows.sparkSession
+    work = work or scratch(spark, "run")
+    try:
+        rows.write.partitionBy("state").parquet(work)
+        states = spark.read.schema(rows.schema).parquet(work)
+        return _finish(states, inputs, output, csv, header, dead_letter_path, config, pipeline_id, pipeline_version, sample, kind)
+    finally:
+        remove(spark, work)
+
+
+def _finish(states: DataFrame, inputs: Inputs, output: str, csv: list[tuple[str, str]] | None, header: bool,
+            dead_letter_path: str | None, config: DeadLetterConfig | None, pipeline_id: str, pipeline_version: str,
+            sample: int, kind: Kind) -> Report:
+    spark = states.sparkSession
+    stop = config is not None and config.policy == FAIL_FAST
+    numbers = counted(states, stop)
+    failures = located_failures(states, stop, "line" if inputs.parsed is not None else None)
+    broken: list[Row] = []
+    if not (stop and numbers["failed"]):
+        good = states.filter(F.col("state") == "EMITTED")
+        staged = kind(spark, output)
+        try:
+            if csv is None:
+                good.select(F.col("written").alias("value")).write.text(staged.folder)
+            else:
+                csv_text(good.select(*[F.get("written", F.lit(i)).alias(name) for i, (name, _) in enumerate(csv)]), staged.folder, header)
+        except SINK_ERRORS as error:
+            staged.abort()
+            broken.append(sink_failure(spark, "output", error))
         if config is not None and config.policy not in (SKIP, FAIL_FAST) and dead_letter_path:
-            write_dead_letters(quarantine([dead_letters(
-                failures, F.col("stage"), F.col("source_location"), F.col("detail"), pipeline_id,
-                pipeline_version, F.col("event"), F.col("source_text"), config=config)]
-                if inputs.sequence is None else [dead_letters(
-                    failures, F.col("stage"), F.col("source_location"), F.col("detail"), pipeline_id,
-                    pipeline_version, F.col("event"), frame=F.col("frame"), config=config)]),
-                dead_letter_path)
+            try:
+                write_dead_letters(_letters(failures, broken, inputs, config, pipeline_id, pipeline_version), dead_letter_path, kind)
+            except SINK_ERRORS as error:
+                if not broken:
+                    staged.abort()
+                broken.append(sink_failure(spark, "dead-letter", error))
+        if not broken:
+            try:
+                staged.commit()
+            except SINK_ERRORS as error:
+                staged.abort()
+                broken.append(sink_failure(spark, "output", error))
     gaps = duplicates = 0
     if inputs.sequence is not None:
         total = sequence_counters(inputs.sequence, FILE).agg(
             F.coalesce(F.sum("sequence_gap_count"), F.lit(0)), F.coalesce(F.sum("duplicate_count"), F.lit(0))).first()
         gaps, duplicates = int(total[0]), int(total[1])
-    return Report({name: counted[name] for name in COUNTERS}, "FAILED" if stopped else "COMPLETED",
-                  first.collect(), more.first()["suppressed"], gaps, duplicates)
+    first = []
+    if numbers["failed"]:
+        first = failures.select(FILE, "position", "stage", "source_location", "detail").orderBy(FILE, "position").limit(sample).collect()
+    numbers["failed"] += len(broken)
+    first = (first + broken)[:sample]
+    return Report({name: numbers[name] for name in COUNTERS}, "FAILED" if broken or stop and numbers["failed"] else "COMPLETED",
+                  first, numbers["failed"] - len(first), gaps, duplicates)
+
+
+def _letters(failures: DataFrame, broken: list[Row], inputs: Inputs, config: DeadLetterConfig,
+             pipeline_id: str, pipeline_version: str) -> DataFrame:
+    """Dead letters of failed rows and of a failed output; frames are the payload of binary input, lines of text input."""
+    if broken:
+        lost = failures.sparkSession.createDataFrame(
+            [(r.source_location, r.stage, r.detail) for r in broken], "source_location string, stage string, detail string")
+        failures = failures.unionByName(lost, allowMissingColumns=True)
+    source = {"source_text": F.col("source_text")} if inputs.sequence is None else {"frame": F.col("frame")}
+    return quarantine([dead_letters(failures, F.col("stage"), F.col("source_location"), F.col("detail"), pipeline_id,
+                                    pipeline_version, F.col("event"), config=config, **source)])

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.functions.fixed import fd_plain
@@ -12,35 +9,7 @@ from tickloom.functions.jsontext import json_line, json_value
 from tickloom.operators.blueprint import OUTPUT, OUTPUT_JSON
 from tickloom.operators.document import DOCUMENT, ROOTS
 from tickloom.schema import DEAD_LETTER_SCHEMA, check_path, logical_type, OBJECT, FIXED_DECIMAL
-
-STAGING = ".staging-"
-PREVIOUS = ".previous-"
-
-
-def publish(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
-    """Write beside ``path`` and swap on success; a failed job leaves the old output untouched.
-
-    Spark's overwrite mode removes the old files before the job runs, so it is not used here.
-    """
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    mark = uuid.uuid4().hex
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    staging, previous = hadoop.Path(path.rstrip("/") + STAGING + mark), hadoop.Path(path.rstrip("/") + PREVIOUS + mark)
-    try:
-        write(staging.toString())
-    except Exception:
-        fs.delete(staging, True)
-        raise
-    had_old = fs.exists(target)
-    if had_old and not fs.rename(target, previous):
-        raise OSError(f"cannot replace {path}")
-    if not fs.rename(staging, target):
-        if had_old:
-            fs.rename(previous, target)
-        raise OSError(f"cannot publish {path}")
-    if had_old:
-        fs.delete(previous, True)
+from tickloom.sinks.publish import Kind, publish, renamed
 
 
 def record_line(df: DataFrame) -> Column:
@@ -53,10 +22,10 @@ def record_line(df: DataFrame) -> Column:
     return json_line(df.schema, roots or None)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
+def write_jsonl(df: DataFrame, path: str, kind: Kind = renamed) -> None:
     """One record per line, keys sorted at every level, absent fields left out."""
     lines = df.select(record_line(df).alias("value"))
-    publish(df.sparkSession, path, lambda to: lines.write.text(to))
+    publish(df.sparkSession, path, lambda to: lines.write.text(to), kind)
 
 
 def csv_columns(df: DataFrame, columns: list[tuple[str, str]]) -> list[Column]:
@@ -86,7 +55,13 @@ def csv_columns(df: DataFrame, columns: list[tuple[str, str]]) -> list[Column]:
     return cells
 
 
-def write_csv(df: DataFrame, path: str, columns: list[tuple[str, str]], header: bool = True) -> None:
+def csv_text(cells: DataFrame, path: str, header: bool) -> None:
+    """Write text cells as they are; an empty cell is nothing between two commas."""
+    cells.write.csv(path, header=header, escape='"', emptyValue="", nullValue="",
+                    ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def write_csv(df: DataFrame, path: str, columns: list[tuple[str, str]], header: bool = True, kind: Kind = renamed) -> None:
     """Comma-separated cells, quoted only when they hold a comma, quote or line break.
 
     Every part file of the output carries the header.
@@ -94,15 +69,13 @@ def write_csv(df: DataFrame, path: str, columns: list[tuple[str, str]], header:
     if not columns:
         raise ValueError("CSV output needs at least one column")
     cells = df.select(*csv_columns(df, columns))
-    publish(df.sparkSession, path, lambda to: cells.write.csv(
-        to, header=header, escape='"', emptyValue="", nullValue="",
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
+    publish(df.sparkSession, path, lambda to: csv_text(cells, to, header), kind)
 
 
-def write_dead_letters(letters: DataFrame, path: str) -> None:
+def write_dead_letters(letters: DataFrame, path: str, kind: Kind = renamed) -> None:
     """Quarantine records as JSON Lines."""
     line = json_line(DEAD_LETTER_SCHEMA)
-    publish(letters.sparkSession, path, lambda to: letters.select(line.alias("value")).write.text(to))
+    publish(letters.sparkSession, path, lambda to: letters.select(line.alias("value")).write.text(to), kind)
 
 
 def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:

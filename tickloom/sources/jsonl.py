@@ -303,6 +303,16 @@ def split_parsed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return events, errors
 
 
+def read_jsonl_states(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every line of JSON Lines files with its event or ``_issue``, from one scan and without a shuffle.
+
+    Lines keep their file, block and scan position; ``lines.with_ordinal`` on these three columns, read
+    back from what was written, gives line numbers.
+    """
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    return parse_event_lines(read_lines(spark, path).withColumnRenamed("value", "source_text"), "source_text")
+
+
 def read_canonical_jsonl(spark: SparkSession, path: str | list[str],
                          mode: str = CONTINUE) -> tuple[DataFrame, DataFrame]:
     """(events, errors) of canonical JSON Lines files.

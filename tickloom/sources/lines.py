@@ -51,6 +51,16 @@ def with_ordinal(df: DataFrame, per_file: bool = True, name: str = "line_number"
             .withColumn(name, F.col(ROW) + F.col("__offset")).drop("__offset"))
 
 
+def line_offsets(df: DataFrame) -> DataFrame:
+    """Per file and block: what to add to a scan position to get the 1-based line number in the file.
+
+    ``df`` holds every line of its files, as read or as written since.
+    """
+    blocks = df.groupBy(FILE, BLOCK).agg(F.min(ROW).alias("first"), F.count("*").alias("lines"))
+    before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.select(FILE, BLOCK, (F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first") + 1).alias("__offset"))
+
+
 def until_first_error(df: DataFrame, errors: DataFrame, number: str = "line_number") -> DataFrame:
     """Rows of each file up to and including its first error."""
     first = errors.groupBy(FILE).agg(F.min(number).alias("__first"))

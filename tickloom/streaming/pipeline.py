@@ -11,7 +11,7 @@ from tickloom.functions.common import keep
 from tickloom.functions.jsontext import json_line
 from tickloom.operators.deadletter import DeadLetterConfig, dead_letters
 from tickloom.operators.report import counter_columns
-from tickloom.plans.run import process_events
+from tickloom.plans.run import parsed_states
 from tickloom.schema import DEAD_LETTER_SCHEMA
 from tickloom.sinks.files import record_line
 from tickloom.sources.jsonl import parse_event_lines
@@ -34,15 +34,7 @@ def read_event_stream(spark: SparkSession, path: str, **options: str) -> DataFra
 def stream_states(parsed: DataFrame, rules: dict | list | None = None,
                   blueprint: dict | None = None) -> DataFrame:
     """Every parsed row with its final ``state``, ``stage``, ``detail`` and output columns."""
-    out = process_events(parsed, rules, blueprint)
-    bad = F.col("_issue").isNotNull()
-    return out.withColumns({
-        "state": F.when(bad, "PARSE_FAILED").otherwise(F.col("state")),
-        "stage": F.when(bad, "PARSE").otherwise(F.col("stage")),
-        "detail": F.when(bad, F.concat(F.col("_issue.reason"), F.lit(": "), F.col("_issue.detail")))
-        .otherwise(F.col("detail")),
-        "below": F.when(bad, F.lit("")).otherwise(F.col("below")),
-    })
+    return parsed_states(parsed, rules, blueprint)
 
 
 def observed(states: DataFrame, name: str = OBSERVED) -> DataFrame:
