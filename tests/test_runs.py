@@ -13,9 +13,9 @@ from tickloom.operators.report import (
     duration_average, event_rate, in_source_order, latest_per_key, recent_dead_letters, run_outcome,
 )
 from tickloom.operators.validate import validate_events
-from tickloom.plans.run import read_capture_input, read_csv_input, read_jsonl_input, run
+from tickloom.plans.run import classified, read_capture_input, read_csv_input, read_jsonl_input, run
 from tickloom.sinks.files import read_dead_letters, write_csv, write_jsonl
-from tickloom.sinks.publish import publish
+from tickloom.sinks.publish import current_path, publish, remove_unpublished, versioned, versions
 from tickloom.streaming.pipeline import (
     batch_writer, live_counters, read_event_stream, start_counter_stream, start_file_streams, stream_counters,
     stream_states,
@@ -120,6 +120,81 @@ def test_publish_keeps_the_old_output_on_failure(spark, tmp_path):
     assert text(out) == []
 
 
+def test_a_run_scans_its_lines_once(spark, tmp_path):
+    p = write(tmp_path / "in.jsonl", ADD + "\n")
+    plan = classified(read_jsonl_input(spark, p), rules=EXAMPLE, blueprint=BLUEPRINT)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 1 and "Exchange" not in plan
+
+
+def test_line_numbers_over_blocks_and_blank_lines(spark, tmp_path):
+    lines = [ADD, "", "bad", TRADE, "  "] * 400
+    p = write(tmp_path / "in.jsonl", "\n".join(lines))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        report = run(read_jsonl_input(spark, p), str(tmp_path / "out"), sample=5000, work=str(tmp_path / "work"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert numbers(report) == (2000, 800, 800, 0, 800, 1200) and report.suppressed == 0
+    assert [r["source_location"].rsplit(" ", 1)[1] for r in report.failures] == [
+        str(i) for i, line in enumerate(lines, 1) if line not in (ADD, TRADE)]
+    assert len(text(tmp_path / "out")) == 800 and not (tmp_path / "work").exists()
+
+
+def test_empty_input_publishes_an_empty_output(spark, tmp_path):
+    p = write(tmp_path / "in.jsonl", "")
+    report = run(read_jsonl_input(spark, p), str(tmp_path / "out"), config=DeadLetterConfig("FAIL_FAST"))
+    assert numbers(report) == (0,) * 6 and report.outcome == "COMPLETED" and text(tmp_path / "out") == []
+
+
+def test_versions_replace_each_other_and_stay_readable(spark, tmp_path):
+    out = str(tmp_path / "out")
+    assert current_path(spark, out) is None and versions(spark, out) == []
+    seen = []
+    for i in range(11):
+        write_jsonl(spark.createDataFrame([(i,)], "a long"), out, versioned)
+        seen.append(current_path(spark, out))
+        assert [spark.read.text(p).first()[0] for p in seen[-2:]] == [f'{{"a":{n}}}' for n in range(max(i - 1, 0), i + 1)]
+    assert len(versions(spark, out)) == 2 and len(list((tmp_path / "out" / "versions").iterdir())) == 2
+    with pytest.raises(Exception):
+        write_jsonl(spark.range(1).select(F.raise_error(F.lit("stop")).cast("string").alias("a")), out, versioned)
+    assert current_path(spark, out) == seen[-1] and len(list((tmp_path / "out" / "versions").iterdir())) == 2
+    lost = versioned(spark, out)  # a driver that ends before its commit
+    spark.range(3).selectExpr("cast(id as string)").write.text(lost.folder)
+    assert current_path(spark, out) == seen[-1]
+    assert remove_unpublished(spark, out, 3_600_000) == 0 and remove_unpublished(spark, out, 0) == 1
+    assert current_path(spark, out) == seen[-1] and spark.read.text(seen[-1]).count() == 1
+
+
+def test_two_writers_of_one_number_leave_one_current(spark, tmp_path):
+    out = str(tmp_path / "out")
+    first, second = versioned(spark, out), versioned(spark, out)
+    for i, staged in enumerate((first, second)):
+        spark.createDataFrame([(str(i),)], "value string").write.text(staged.folder)
+    second.commit()
+    first.commit()
+    assert current_path(spark, out) == first.folder and len(versions(spark, out)) == 2
+
+
+def test_output_that_cannot_be_written(spark, tmp_path):
+    p = write(tmp_path / "in.jsonl", "{}\n" + ADD + "\n")
+    blocked = write(tmp_path / "file", "x")
+    report = run(read_jsonl_input(spark, p), blocked + "/out", config=DeadLetterConfig(), dead_letter_path=str(tmp_path / "dead"))
+    assert report.outcome == "FAILED" and numbers(report) == (2, 1, 1, 0, 1, 2)
+    assert [(r["stage"], r["source_location"]) for r in report.failures][1:] == [("OUTPUT", "output")]
+    rows = {r["stage"]: r for r in read_dead_letters(spark, str(tmp_path / "dead")).collect()}
+    assert set(rows) == {"PARSE", "OUTPUT"} and rows["OUTPUT"]["retryability"] == "RETRYABLE" and rows["OUTPUT"]["eventId"] is None
+
+
+def test_dead_letters_that_cannot_be_written_hold_the_output_back(spark, tmp_path):
+    p = write(tmp_path / "in.jsonl", "{}\n" + ADD + "\n")
+    blocked = write(tmp_path / "file", "x")
+    write_jsonl(spark.createDataFrame([(1,)], "a long"), str(tmp_path / "out"))
+    report = run(read_jsonl_input(spark, p), str(tmp_path / "out"), config=DeadLetterConfig(), dead_letter_path=blocked + "/dead")
+    assert report.outcome == "FAILED" and report.failures[-1]["source_location"] == "dead-letter"
+    assert text(tmp_path / "out") == ['{"a":1}'] and sorted(x.name for x in tmp_path.iterdir()) == ["file", "in.jsonl", "out"]
+
+
 def test_csv_sink_quoting_and_rejects(spark, events, tmp_path):
     df = spark.createDataFrame([("a,b",), (' pad ',), ('q"x',), ("l\nb",), ("",), (None,), ("plain",)], "v string").select(
         F.struct("v").alias("output"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tickloom.functions.common import keep
@@ -13,7 +14,7 @@ from tickloom.functions.jsontext import json_string, json_value
 from tickloom.functions.text import binary_payload, pad_symbol, payload_preview, redact_message, redact_payload
 from tickloom.functions.times import iso_parse, iso_utc
 from tickloom.operators import blueprint as B, conditions as C, transform as X
-from tickloom.operators.deadletter import dead_letters
+from tickloom.operators.deadletter import DeadLetterConfig, FAIL_FAST, QUARANTINE, SKIP, dead_letters
 from tickloom.operators.document import DOCUMENT
 from tickloom.operators.documents import check_document, event_json, find_credential_keys
 from tickloom.operators.orders import order_state, resolve_instruments
@@ -24,12 +25,12 @@ from tickloom.operators.report import (
 from tickloom.operators.sequence import sequence_integrity, sequence_strict
 from tickloom.operators.validate import normalized, with_validation
 from tickloom.plans import views as V
-from tickloom.plans.run import process_events
+from tickloom.plans.run import Report, process_events, read_jsonl_input, run
 from tickloom.schema import MAX_LONG
-from tickloom.sinks.files import write_csv, write_dead_letters, write_jsonl
+from tickloom.sinks.files import read_dead_letters, write_csv, write_dead_letters, write_jsonl
+from tickloom.sinks.publish import Kind, current_path, publish, renamed, versioned, versions
 from tickloom.sources.capture import split_capture, split_errors
 from tickloom.sources.csv import CsvConfig, map_trades, read_trades_csv
-from tickloom.sources.deadletters import read_dead_letters
 from tickloom.sources.frames import decode_columns, decode_frames
 from tickloom.sources.jsonl import parse_event_lines, read_canonical_jsonl
 from tickloom.sources.lines import FILE, read_lines, read_summary, with_ordinal
@@ -393,14 +394,17 @@ def feed_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_counters(spark, out)
 
 
-@query("jsonl_errors", f"""
-WITH e AS (SELECT *, event_id % 23 AS k, {s_cents('value')} AS cents FROM events),
-r AS (SELECT *, CASE k WHEN 1 THEN 'MALFORMED_JSON' WHEN 2 THEN 'EVENT_ID_MISMATCH' WHEN 3 THEN 'SCHEMA_VERSION'
+S_LINE_REASON = """CASE k WHEN 1 THEN 'MALFORMED_JSON' WHEN 2 THEN 'EVENT_ID_MISMATCH' WHEN 3 THEN 'SCHEMA_VERSION'
   WHEN 4 THEN 'INVALID_FIELD' WHEN 5 THEN 'REQUIRED_FIELD' WHEN 6 THEN 'MALFORMED_JSON' WHEN 7 THEN 'MALFORMED_JSON'
   WHEN 8 THEN 'INVALID_FIELD' WHEN 9 THEN 'UNSUPPORTED_EVENT_TYPE' WHEN 10 THEN 'INVALID_FIELD'
   WHEN 12 THEN 'REQUIRED_FIELD' WHEN 13 THEN 'INVALID_FIELD' WHEN 14 THEN 'INVALID_FIELD' WHEN 15 THEN 'INVALID_FIELD'
   WHEN 16 THEN 'INVALID_FIELD' WHEN 17 THEN 'INVALID_FIELD' WHEN 18 THEN 'INVALID_FIELD' WHEN 19 THEN 'MALFORMED_JSON'
-  WHEN 20 THEN 'MALFORMED_JSON' WHEN 21 THEN 'EMPTY_LINE' WHEN 22 THEN 'MALFORMED_JSON' END AS reason FROM e)
+  WHEN 20 THEN 'MALFORMED_JSON' WHEN 21 THEN 'EMPTY_LINE' WHEN 22 THEN 'MALFORMED_JSON' END"""
+
+
+@query("jsonl_errors", f"""
+WITH e AS (SELECT *, event_id % 23 AS k, {s_cents('value')} AS cents FROM events),
+r AS (SELECT *, {S_LINE_REASON} AS reason FROM e)
 SELECT event_id, reason, CASE WHEN reason IS NULL THEN event_id + 1 END AS sequence,
   CASE WHEN reason IS NULL THEN epoch_us(ts) * 1000 END AS at_ns,
   CASE WHEN reason IS NULL THEN 'XTPC' END AS venue,
@@ -1075,3 +1079,139 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return good.unionByName(errors.select(
         null.cast("bigint").alias("at_ns"), null.cast("string").alias("symbol"), null.cast("bigint").alias("cents"),
         null.cast("bigint").alias("quantity"), null.cast("string").alias("side"), "reason"))
+
+
+# -- whole runs -------------------------------------------------------------------------------
+
+def feed_run(spark: SparkSession, sf_dir: str, output: str, policy: str, letters: str | None = None,
+             kind: Kind = renamed, max_bytes: int = 40) -> Report:
+    """One run over the event files: rows above a quantity are emitted."""
+    config = DeadLetterConfig(policy, include_payload=True, max_bytes=max_bytes)
+    return run(read_jsonl_input(spark, f"{event_files(spark, sf_dir)}/file=*"), output, FEED_RULES, config=config,
+               dead_letter_path=letters, kind=kind, pipeline_id="feed", pipeline_version="2")
+
+
+def report_rows(spark: SparkSession, report: Report, **more: object) -> DataFrame:
+    """A report as (name, value) rows; it has a fixed, small number of them."""
+    found = {**report.counters, "outcome": report.outcome, "retained": len(report.failures), "suppressed": report.suppressed, **more}
+    return spark.createDataFrame([(n, str(v)) for n, v in found.items()], "name string, value string")
+
+
+def s_report(source: str, outcome: str, failed_more: int = 0, **more: str) -> str:
+    """SQL of ``report_rows`` over ``source``, rows with a state; ``more`` are SQL texts by name."""
+    parts = {"received": "count(*)", "parsed": "count(*) FILTER (WHERE state <> 'PARSE_FAILED')",
+             "normalized": "count(*) FILTER (WHERE state <> 'PARSE_FAILED')",
+             "filtered": "count(*) FILTER (WHERE state = 'FILTERED')", "emitted": "count(*) FILTER (WHERE state = 'EMITTED')",
+             "failed": f"(count(*) FILTER (WHERE state = 'PARSE_FAILED') + {failed_more})"}
+    rows = [f"SELECT '{n}' AS name, {x}::VARCHAR AS value FROM {source}" for n, x in parts.items()]
+    rows.append(f"SELECT 'retained', least({parts['failed']}, 100)::VARCHAR FROM {source}")
+    rows.append(f"SELECT 'suppressed', greatest({parts['failed']} - 100, 0)::VARCHAR FROM {source}")
+    rows += [f"SELECT '{n}', ({x})::VARCHAR" for n, x in {"outcome": f"'{outcome}'", **more}.items()]
+    return " UNION ALL ".join(rows)
+
+
+S_EMITTED = "SELECT count(*) FROM s WHERE state = 'EMITTED'"
+
+
+@query("run_skip", f"WITH {S_FEED} " + s_report("s", "COMPLETED", published=S_EMITTED))
+def run_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = V.scratch(spark, "run-out")
+    report = feed_run(spark, sf_dir, out, SKIP)
+    return report_rows(spark, report, published=spark.read.text(out).count())
+
+
+@query("run_fail_fast", f"""WITH {S_FEED}, w AS (SELECT state, event_id, min(CASE WHEN state = 'PARSE_FAILED' THEN event_id END) OVER (PARTITION BY event_id % 5) AS stop FROM s),
+c AS (SELECT * FROM w WHERE stop IS NULL OR event_id <= stop) """ + s_report("c", "FAILED", published=S_EMITTED, versions="1"))
+def run_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that ends at the first failure of each file, over the output of an earlier run, which stays current."""
+    out = V.scratch(spark, "run-out")
+    feed_run(spark, sf_dir, out, SKIP, kind=versioned)
+    report = feed_run(spark, sf_dir, out, FAIL_FAST, kind=versioned)
+    return report_rows(spark, report, published=spark.read.text(current_path(spark, out)).count(), versions=len(versions(spark, out)))
+
+
+@query("run_output", f"""WITH {S_FEED} SELECT e.event_id, e.event_id % 97 + 1 AS quantity, upper(event_type) AS symbol, {s_cents('value')} AS cents
+FROM events e JOIN s USING (event_id) WHERE state = 'EMITTED'""")
+def run_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, letters = V.scratch(spark, "run-out"), V.scratch(spark, "run-letters")
+    feed_run(spark, sf_dir, out, QUARANTINE, letters, versioned)
+    event = "metadata struct<sequenceNumber bigint>, instrument struct<symbol string>, payload struct<quantity bigint, price decimal(20,2)>"
+    return spark.read.schema(event).json(current_path(spark, out)).select(
+        (F.col("metadata.sequenceNumber") - 1).alias("event_id"), F.col("payload.quantity").alias("quantity"),
+        F.col("instrument.symbol").alias("symbol"), (F.col("payload.price") * 100).cast("bigint").alias("cents"))
+
+
+@query("run_payloads", f"""WITH e AS (SELECT *, event_id % 23 AS k, row_number() OVER (PARTITION BY event_id % 5 ORDER BY event_id) AS line,
+  {s_event_id("('user/' || user_id)", 'event_id + 1')} AS hash FROM events), r AS (SELECT *, {S_LINE_REASON} AS reason FROM e),
+t AS (SELECT *, CASE k WHEN 21 THEN '  ' WHEN 22 THEN 'not-json' ELSE CASE k WHEN 1 THEN '{{"extra":1,' ELSE '{{' END || '"metadata":{{"eventId":"' ||
+  CASE k WHEN 2 THEN repeat('0', 64) ELSE hash END END AS text FROM r WHERE reason IS NOT NULL)
+SELECT event_id % 5 AS file, line, 'PARSE' AS stage, 'MALFORMED_INPUT' AS category, 'NON_RETRYABLE' AS retryability, reason,
+  substr(text, 1, 40) AS payload, length(text) > 40 AS truncated FROM t""")
+def run_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dead letters of a run with the beginning of each bad line."""
+    out, letters = V.scratch(spark, "run-out"), V.scratch(spark, "run-letters")
+    feed_run(spark, sf_dir, out, QUARANTINE, letters)
+    place = [F.regexp_extract("sourceLocation", pattern, 1) for pattern in ("/file=([0-9]+)/", r":line ([0-9]+)\z")]
+    return read_dead_letters(spark, letters).select(
+        place[0].cast("bigint").alias("file"), place[1].cast("bigint").alias("line"), "stage", "category", "retryability",
+        F.substring_index("safeMessage", ":", 1).alias("reason"), F.col("payload.value").alias("payload"),
+        F.col("payload.truncated").alias("truncated"))
+
+
+@query("run_sink_failure", f"WITH {S_FEED} " + s_report(
+    "s", "FAILED", 1, published="'none'", letters="SELECT count(*) + 1 FROM s WHERE state = 'PARSE_FAILED'", retryable="1"))
+def run_sink_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run whose output folder cannot be made, since a file is in its place: quarantined, reported and ended as failed."""
+    base, letters = V.scratch(spark, "run-blocked"), V.scratch(spark, "run-letters")
+    place = spark._jvm.org.apache.hadoop.fs.Path(base)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(place)
+    report = feed_run(spark, sf_dir, f"{base}/out", QUARANTINE, letters, versioned)
+    quarantined = read_dead_letters(spark, current_path(spark, letters))
+    output = quarantined.filter((F.col("stage") == "OUTPUT") & (F.col("category") == "OUTPUT") & (F.col("retryability") == "RETRYABLE"))
+    return report_rows(spark, report, published="none", letters=quarantined.count(), retryable=output.count())
+
+
+def order_lines(spark: SparkSession, sf_dir: str, path: str, times: int) -> None:
+    """Publish a version of one line per order: its key and total, ``times`` over."""
+    lines = V.table(spark, sf_dir, "orders").select(F.concat_ws(",", "o_orderkey", (V.cents("o_totalprice") * times)).alias("value"))
+    publish(spark, path, lambda to: lines.write.text(to), versioned)
+
+
+def order_totals(spark: SparkSession, path: str, version: str) -> DataFrame:
+    line = F.split("value", ",")
+    return spark.read.text(path).select(F.lit(version).alias("version"), line[0].cast("bigint").alias("o_orderkey"), line[1].cast("bigint").alias("total"))
+
+
+@query("publish_replace", f"""SELECT 'held' AS version, o_orderkey, {s_cents('o_totalprice')} * 2 AS total FROM orders
+UNION ALL SELECT 'current', o_orderkey, {s_cents('o_totalprice')} * 3 FROM orders""")
+def publish_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three versions of one output: the reader of the second goes on while the third is current; the first is gone."""
+    path = V.scratch(spark, "published")
+    order_lines(spark, sf_dir, path, 1)
+    order_lines(spark, sf_dir, path, 2)
+    held = current_path(spark, path)
+    order_lines(spark, sf_dir, path, 3)
+    return order_totals(spark, held, "held").unionByName(order_totals(spark, current_path(spark, path), "current"))
+
+
+@query("publish_abort", f"SELECT 'current' AS version, o_orderkey, {s_cents('o_totalprice')} AS total, 1 AS versions FROM orders")
+def publish_abort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A version whose job fails on its last order is thrown away; the one before stays current."""
+    path = V.scratch(spark, "published")
+    order_lines(spark, sf_dir, path, 1)
+    orders = V.table(spark, sf_dir, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    broken = orders.select(F.when(F.col("o_orderkey") == last, F.raise_error(F.lit("stop")).cast("string")).otherwise("x").alias("value"))
+    try:
+        publish(spark, path, lambda to: broken.write.text(to), versioned)
+    except PySparkException:
+        pass
+    return order_totals(spark, current_path(spark, path), "current").withColumn("versions", F.lit(len(versions(spark, path))))
+
+
+@query("redact_whole_texts", f"""WITH {S_TEXTS} SELECT kind, id, turn,
+  sha256(regexp_replace(text, '{S_PAYLOAD_PATTERN}', '\\1=[REDACTED]', 'g')) AS digest FROM x""")
+def redact_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redaction of whole texts, far behind any cut, told by a digest."""
+    safe = redact_payload(F.col("text"), (1 << 31) - 1)
+    return V.texts(spark, sf_dir).select("kind", "id", "turn", F.sha2(safe["value"], 256).alias("digest"))
