@@ -42,6 +42,23 @@ def test_token_counts_through_the_cache(spark, docs, monkeypatch):
     assert tokens.token_counts(docs([]), new_path(spark, "cache"), BYTES).count() == 0
 
 
+def test_batches_share_one_cache(spark, docs):
+    path = new_path(spark, "cache")
+    first, second = [(i, f"text {i % 7}") for i in range(40)], [(i, f"text {i % 9}") for i in range(40, 80)] + [(None, None), (5, "text 1")]
+    got = sorted(map(tuple, tokens.token_counts_in_batches([docs(first), docs(second)], path, BYTES).collect()), key=str)
+    library = Tokenizer.from_file(BYTES)
+    assert got == sorted([(i, len((t or "").encode()), len(library.encode(t or "").ids), False) for i, t in first + second], key=str)
+    assert spark.read.schema(tokens.CACHE_SCHEMA).parquet(path).count() == 10  # 7 contents, then 2 new ones and the empty one
+
+
+def test_hot_content_is_not_shuffled(spark, docs, monkeypatch):
+    monkeypatch.setattr(tokens, "HOT", 4)
+    rows = [(i, "the same" if i % 3 else f"own {i}") for i in range(120)] + [(500, "twice"), (501, "twice")]
+    got = tokens.token_counts(docs(rows), new_path(spark, "cache"), BYTES)
+    library = Tokenizer.from_file(BYTES)
+    assert sorted(map(tuple, got.collect())) == sorted((i, len(t), len(library.encode(t).ids), False) for i, t in rows)
+
+
 def test_packing_keeps_every_id_once(spark, docs):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "42"]) for _ in range(rng.randrange(900)))) for i in range(60)]

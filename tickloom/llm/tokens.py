@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tickloom.llm.registry import query, table
-from tickloom.llm.shared import new_path
+from tickloom.llm.shared import new_path, saved
 
 PIECES = 1_200_000  # tokens of so many pieces are kept by a worker; then it starts anew
 _CUT = re.compile(r"(?<=\S)(?= )")  # no token holds a space behind a visible character
@@ -183,6 +183,7 @@ def tokenizer_version(path: str) -> str:
         return hashlib.sha256(file.read()).hexdigest()
 
 
+HOT = 1 << 16  # a content with more than this share of all rows is joined by a broadcast; there are at most so many
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
 
@@ -225,6 +226,9 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     once each and appended, then every row takes its count from the cache by a join.  Two runs that append the
     same digest at once do no harm, since the count is the same and is read once.
 
+    A content with many copies is no hot key: the contents with at least 1 / ``HOT`` of all rows (and two rows), at most
+    ``HOT`` of them, are broadcast with their counts, and only the other rows are shuffled.
+
     Null and empty texts have 0 tokens and 0 bytes; repeated rows each keep their row; an empty table gives an empty
     result; other columns of ``docs`` are not returned.
     """
@@ -236,15 +240,33 @@ def token_counts(docs: DataFrame, cache_path: str, tokenizer: str, limit: int =
     cache = (spark.read.schema(CACHE_SCHEMA).parquet(cache_path)
              .filter(F.col("version") == tokenizer_version(tokenizer))
              .groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
-    rows = docs.select(F.col(key).alias("doc_id"), digest(text).alias("digest"),
-                       F.octet_length(content(text)).cast("long").alias("n_bytes"))
-    return (rows.join(cache, "digest")
-            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    rows = saved(docs.select(F.col(key).alias("doc_id"), digest(text).alias("digest"),
+                             F.octet_length(content(text)).cast("long").alias("n_bytes")), "token-rows")
+    often = max(2, -(-rows.count() // HOT))
+    hot = rows.groupBy("digest").agg(F.count("*").alias("copies")).filter(F.col("copies") >= often).select("digest")
+    hot = saved(cache.join(F.broadcast(hot), "digest"), "token-hot")  # at most HOT rows
+    known = rows.join(F.broadcast(hot), "digest", "left")
+    found = known.filter(F.col("n_tokens").isNotNull()).unionByName(
+        known.filter(F.col("n_tokens").isNull()).drop("n_tokens").join(cache, "digest"))
+    # Written at once: Spark takes scans of one folder for equal, whatever files each has listed, so two results that
+    # met in one plan would both read the older state of the cache.
+    return saved(found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")
+
+
+def token_counts_in_batches(batches: list[DataFrame], cache_path: str, tokenizer: str, limit: int = 512) -> DataFrame:
+    """``token_counts`` of one batch after another through one cache, so that a batch encodes only what none before had."""
+    out = token_counts(batches[0], cache_path, tokenizer, limit)
+    for batch in batches[1:]:
+        out = out.unionByName(token_counts(batch, cache_path, tokenizer, limit))
+    return out
 
 
 @query("op2_token_counts")
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in two batches by the parity of their id: the first fills the cache, the second also uses it."""
     import public_tokenizers
 
-    return token_counts(table(spark, sf_dir, "documents"), new_path(spark, "token-cache"),
-                        public_tokenizers.path("byte_bpe_50k.json"))
+    docs = table(spark, sf_dir, "documents")
+    even = F.coalesce(F.pmod("doc_id", F.lit(2)) == 0, F.lit(False))
+    return token_counts_in_batches([docs.filter(even), docs.filter(~even)], new_path(spark, "token-cache"),
+                                   public_tokenizers.path("byte_bpe_50k.json"))
