@@ -204,8 +204,8 @@ def count_misses(docs: DataFrame, cache: DataFrame, tokenizer: str, text: str =
     version = tokenizer_version(tokenizer)
     known = cache.filter(F.col("version") == version).select("digest")
     misses = (docs.select(digest(text).alias("digest"), content(text).alias("content"))
-              .join(known, "digest", "left_anti")
-              .groupBy("digest").agg(F.first("content").alias("content")))
+              .groupBy("digest").agg(F.first("content").alias("content"))
+              .join(known, "digest", "left_anti"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(tokenizer)
