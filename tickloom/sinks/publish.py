@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 STAGING = ".staging-"
@@ -44,6 +45,14 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(at(path), True)
 
 
+def _abandon(fs, folder) -> None:
+    """Remove what was staged; where that fails too, it stays unread, and the first error is the one to tell."""
+    try:
+        fs.delete(folder, True)
+    except Py4JError:
+        pass
+
+
 def renamed(spark: SparkSession, path: str) -> Staged:
     """A plain folder at ``path``.  Between the two renames of a replacement there is no output for a moment."""
     fs, at = _files(spark, path)
@@ -62,7 +71,7 @@ def renamed(spark: SparkSession, path: str) -> Staged:
         if had_old:
             fs.delete(previous, True)
 
-    return Staged(staging.toString(), commit, lambda: fs.delete(staging, True))
+    return Staged(staging.toString(), commit, lambda: _abandon(fs, staging))
 
 
 def versions(spark: SparkSession, path: str) -> list[str]:
@@ -110,7 +119,7 @@ def versioned(spark: SparkSession, path: str, kept: int = KEPT) -> Staged:
             fs.delete(at(f"{base}/{POINTERS}/{gone}"), True)
             fs.delete(at(_folder(path, gone)), True)
 
-    return Staged(folder, commit, lambda: fs.delete(at(folder), True))
+    return Staged(folder, commit, lambda: _abandon(fs, at(folder)))
 
 
 def remove_unpublished(spark: SparkSession, path: str, age_ms: int) -> int:
