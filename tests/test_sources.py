@@ -137,6 +137,19 @@ def test_csv_header_and_modes(spark, tmp_path):
     assert csv(spark, tmp_path, "1970-01-01T00:00:01Z|A|1500|3|b\n", named) == ([], [(1, "INVALID_CONFIGURATION")])
 
 
+def test_plain_csv_sorts_no_lines_and_checks_headers_once(spark, tmp_path):
+    rows = ["1,A,X,1,1,B", '2,"B",X,1,5,B', "3,C,X,1,0,B", '4,"C"x,X,1,5,B', "5,D,X,1,5,B"]
+    for text in (HEAD + "\n".join(rows), HEAD + "\r\n".join(rows[:3]), HEAD + '1,"A,X,1,1,B', HEAD + '1,A"B,X,1,1,B\n', "", "\n"):
+        assert csv(spark, tmp_path, text, quoted_line_breaks=False) == csv(spark, tmp_path, text)
+    events, errors = read_trades_csv(spark, write(tmp_path / "plan.csv", HEAD + "\n".join(rows)), CONFIG, quoted_line_breaks=False)
+    for part in (events, errors):
+        query = part._jdf.queryExecution()
+        assert "SortAggregate" not in query.executedPlan().toString()
+        plan = query.optimizedPlan().toString().splitlines()
+        checks = [i for i, step in enumerate(plan) if "Filter" in step and "duplicate CSV header" in step]
+        assert checks and all(any("CollectMetrics" in step for step in plan[i + 1:i + 3]) for i in checks)
+
+
 def test_csv_over_many_splits_equals_python(spark, tmp_path):
     import csv as std
     import io

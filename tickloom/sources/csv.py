@@ -200,40 +200,62 @@ def _syntax(df: DataFrame, config: CsvConfig) -> DataFrame:
     return df.withColumn("__bad", F.when(good, F.lit(None).cast("string")).otherwise(text))
 
 
-def _numbered(lines: DataFrame, quoted_line_breaks: bool) -> DataFrame:
+def _quotes() -> Column:
+    """Number of quotes in a line; nearly every line has none."""
+    line = F.col("value")
+    return F.when(line.contains('"'), F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))).otherwise(F.lit(0))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
     """Add physical line number, record number and whether the line starts inside quotes."""
     bound = block_bound(lines)
-    scan = lines.withColumn("__quotes", F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit(""))))
-    if quoted_line_breaks:
-        # Running quotes inside a block; a block is bounded by the split size.
-        inner = Window.partitionBy(FILE, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
-        scan = scan.withColumn("__before", F.coalesce(F.sum("__quotes").over(inner), F.lit(0)))
-        odd = (F.col("__before") % 2) == 1
-        blocks = scan.groupBy(FILE, BLOCK).agg(
-            F.min(ROW).alias("first"), F.count("*").alias("lines"), F.sum("__quotes").alias("quotes"),
-            F.count_if(~odd).alias("even"), F.count_if(odd).alias("odd"))
-        before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-        blocks = blocks.withColumn("__start", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
-        blocks = blocks.withColumn("__records", F.when(F.col("__start") == 0, F.col("even"))
-                                   .otherwise(F.col("odd")))
-        offsets = blocks.select(
-            FILE, BLOCK, "first", "__start",
-            F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("__lines"),
-            F.coalesce(F.sum("__records").over(before), F.lit(0)).alias("__records"))
-        joined = scan.join(maybe_broadcast(offsets, bound), [FILE, BLOCK])
-        starts = ((F.col("__before") + F.col("__start")) % 2) == 0
-        through = Window.partitionBy(FILE, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
-        return (joined.withColumn("__inside", ~starts)
-                .withColumn("line_number", F.col(ROW) - F.col("first") + F.col("__lines") + 1)
-                .withColumn("record", F.col("__records")
-                            + F.sum(F.when(starts, 1).otherwise(0)).over(through)))
-    blocks = scan.groupBy(FILE, BLOCK).agg(F.min(ROW).alias("first"), F.count("*").alias("lines"))
+    scan = lines.withColumn("__quotes", _quotes())
+    # Running quotes inside a block; a block is bounded by the split size.
+    inner = Window.partitionBy(FILE, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, -1)
+    scan = scan.withColumn("__before", F.coalesce(F.sum("__quotes").over(inner), F.lit(0)))
+    odd = (F.col("__before") % 2) == 1
+    blocks = scan.groupBy(FILE, BLOCK).agg(
+        F.min(ROW).alias("first"), F.count("*").alias("lines"), F.sum("__quotes").alias("quotes"),
+        F.count_if(~odd).alias("even"), F.count_if(odd).alias("odd"))
     before = Window.partitionBy(FILE).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(FILE, BLOCK, "first",
-                            F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("__lines"))
-    number = F.col(ROW) - F.col("first") + F.col("__lines") + 1
-    return (scan.join(maybe_broadcast(offsets, bound), [FILE, BLOCK])
-            .withColumns({"__inside": F.lit(False), "line_number": number, "record": number}))
+    blocks = blocks.withColumn("__start", F.coalesce(F.sum("quotes").over(before), F.lit(0)) % 2)
+    blocks = blocks.withColumn("__records", F.when(F.col("__start") == 0, F.col("even"))
+                               .otherwise(F.col("odd")))
+    offsets = blocks.select(
+        FILE, BLOCK, "first", "__start",
+        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("__lines"),
+        F.coalesce(F.sum("__records").over(before), F.lit(0)).alias("__records"))
+    joined = scan.join(maybe_broadcast(offsets, bound), [FILE, BLOCK])
+    starts = ((F.col("__before") + F.col("__start")) % 2) == 0
+    through = Window.partitionBy(FILE, BLOCK).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    return (joined.withColumn("__inside", ~starts)
+            .withColumn("line_number", F.col(ROW) - F.col("first") + F.col("__lines") + 1)
+            .withColumn("record", F.col("__records")
+                        + F.sum(F.when(starts, 1).otherwise(0)).over(through)))
+
+
+def _plain_records(lines: DataFrame, config: CsvConfig) -> tuple[DataFrame, DataFrame]:
+    """(records, syntax errors) of lines that are one record each.
+
+    All that a line needs to know of others is one row of whole numbers per block: the lines before the block, and
+    the first bad line of the file.  So lines are neither sorted nor shuffled, and nothing but quotes is looked at for it.
+    """
+    scan = _syntax(lines.withColumns({"__quotes": _quotes(), "__inside": F.lit(False)}), config)
+    wrong = F.when(F.col("__quotes") > 0, F.coalesce("__bad", F.when(F.col("__quotes") % 2 == 1, F.lit(NOT_CLOSED))))
+    scan = scan.select(FILE, BLOCK, ROW, "value", wrong.alias("__wrong"))
+    blocks = scan.groupBy(FILE, BLOCK).agg(F.min(ROW).alias("first"), F.count("*").alias("lines"),
+                                           F.min(F.when(F.col("__wrong").isNotNull(), F.col(ROW))).alias("wrong"))
+    whole = Window.partitionBy(FILE)
+    before = whole.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.withColumn("__offset", F.coalesce(F.sum("lines").over(before), F.lit(0)) - F.col("first") + 1)
+    offsets = offsets.select(FILE, BLOCK, "__offset", F.min(F.col("wrong") + F.col("__offset")).over(whole).alias("__stop"))
+    numbered = scan.join(maybe_broadcast(offsets, block_bound(lines)), [FILE, BLOCK]) \
+        .withColumn("record", F.col(ROW) + F.col("__offset"))
+    errors = numbered.filter(F.col("__wrong").isNotNull() & (F.col("record") == F.col("__stop"))).select(
+        FILE, F.col("record").alias("row"), F.lit(MALFORMED_ROW).alias("reason"), F.col("__wrong").alias("detail"),
+        F.lit("").alias("source_text"))
+    good = numbered.filter(F.col("__stop").isNull() | (F.col("record") < F.col("__stop")))
+    return good.select(FILE, "record", F.col("record").alias("row"), F.col("value").alias("source_text")), errors
 
 
 def read_csv_records(spark: SparkSession, path: str | list[str], config: CsvConfig,
@@ -245,8 +267,12 @@ def read_csv_records(spark: SparkSession, path: str | list[str], config: CsvConf
     """
     # Only line feeds split; a carriage return before one belongs to the line break.
     lines = read_lines(spark, path, line_sep="\n")
-    lines = lines.withColumn("value", F.regexp_replace("value", "\r\\z", ""))
-    numbered = _syntax(_numbered(lines, quoted_line_breaks), config)
+    value = F.col("value")
+    lines = lines.withColumn("value", F.when(value.endswith("\r"), F.substring(value, F.lit(1), F.length(value) - 1)).otherwise(value))
+    if not quoted_line_breaks:
+        records, errors = _plain_records(lines, config)
+        return _with_cells(records, config), errors
+    numbered = _syntax(_numbered(lines), config)
     ends_inside = F.when(F.col("__inside"), (F.col("__quotes") % 2) == 0).otherwise((F.col("__quotes") % 2) == 1)
     marks = numbered.withColumn("__open", ends_inside)
     # One row per file: its first bad record, and the last record when its quote never closes.
@@ -256,11 +282,6 @@ def read_csv_records(spark: SparkSession, path: str | list[str], config: CsvConf
             F.col("record"), F.col("__bad").alias("detail")))).alias("bad"),
         F.when(last, F.struct(F.max("record").alias("record"), F.lit(NOT_CLOSED).alias("detail")))
         .alias("open"))
-    if not quoted_line_breaks:
-        per_file = marks.groupBy(FILE).agg(
-            F.min(F.when(F.col("__bad").isNotNull() | F.col("__open"), F.struct(
-                F.col("record"), F.coalesce(F.col("__bad"), F.lit(NOT_CLOSED)).alias("detail")))).alias("bad"),
-            F.lit(None).cast("struct<record:bigint,detail:string>").alias("open"))
     stop = per_file.select(FILE, F.least(F.col("bad"), F.col("open")).alias("__stop"))
     files = len(lines.inputFiles())
     kept = marks.join(maybe_broadcast(stop, files), FILE)
@@ -271,18 +292,19 @@ def read_csv_records(spark: SparkSession, path: str | list[str], config: CsvConf
     good = kept.filter(F.col("__stop").isNull() | (F.col("record") < F.col("__stop.record")))
     single = good.filter(~F.col("__inside") & ~F.col("__open")).select(
         FILE, "record", F.col("line_number").alias("row"), F.col("value").alias("source_text"))
-    records = single
-    if quoted_line_breaks:
-        # Only lines of records that span line breaks are grouped, by file and record.
-        several = good.filter(F.col("__inside") | F.col("__open")).groupBy(FILE, "record").agg(
-            F.min("line_number").alias("row"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))),
-                                     lambda x: x["value"]), "\n").alias("source_text"))
-        records = single.unionByName(several)
+    # Only lines of records that span line breaks are grouped, by file and record.
+    several = good.filter(F.col("__inside") | F.col("__open")).groupBy(FILE, "record").agg(
+        F.min("line_number").alias("row"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "value"))),
+                                 lambda x: x["value"]), "\n").alias("source_text"))
+    return _with_cells(single.unionByName(several), config), errors
+
+
+def _with_cells(records: DataFrame, config: CsvConfig) -> DataFrame:
     raw = F.regexp_extract_all("source_text", F.lit(_patterns(config.delimiter)["cells"]), F.lit(1))
     plain = F.split("source_text", re.escape(config.delimiter), -1)
     cells = F.when(F.col("source_text").contains('"'), F.transform(raw, _unquote)).otherwise(plain)
-    return records.withColumn("cells", cells), errors
+    return records.withColumn("cells", cells)
 
 
 def _unquote(cell: Column) -> Column:
@@ -315,9 +337,12 @@ def read_trades_csv(spark: SparkSession, path: str | list[str], config: CsvConfi
         raise ValueError(source_bad)
     if config.has_header:
         files = len(records.inputFiles())
+        # One row per file.  The observed count keeps the checks of a header above this filter; Spark would move them
+        # below the join that numbers the lines and check every line as if it were a header.
         heads = records.filter(F.col("record") == 1).select(
             FILE, F.col("cells").alias("__header"), F.col("row").alias("__hrow"),
             F.col("source_text").alias("__htext"))
+        heads = keep(heads, F.col(FILE).isNotNull())
         heads = heads.withColumn("__hissue", _header_issue(F.col("__header"), config))
         header_errors = heads.filter(F.col("__hissue").isNotNull()).select(
             FILE, F.col("__hrow").alias("row"), F.col("__hissue.reason").alias("reason"),
