@@ -75,6 +75,32 @@ def test_jsonl_reasons(spark, tmp_path):
     assert {r[0] for r in events.select("metadata.venue").collect()} == {"XTST"}
 
 
+def test_absent_members_are_not_looked_up_by_path(spark):
+    from tickloom.sources.jsonl import parse_event_lines
+
+    def put(text, *path, value):
+        doc = json.loads(text)
+        inner = doc
+        for name in path[:-1]:
+            inner = inner[name]
+        inner[path[-1]] = value
+        return json.dumps(doc)
+
+    level = {"price": {"mantissa": 5, "scale": 1}, "quantity": 3}
+    cases = [(ADD, None), (QUOTE, None), (put(QUOTE, "payload", "ask", value=level), None), ("[]", "INVALID_FIELD"), (ADD + ",1", "MALFORMED_JSON"),
+             (put(ADD, "payload", value=[1]), "INVALID_FIELD"), (put(ADD, "payload", value={}), "REQUIRED_FIELD"),
+             (put(ADD, "metadata", value={}), "REQUIRED_FIELD"), (put(ADD, "metadata", value=None), "REQUIRED_FIELD"),
+             (put(ADD, "metadata", "schemaVersion", value=7), "MALFORMED_JSON"), (put(ADD, "metadata", "venue", value={}), "MALFORMED_JSON"),
+             (put(ADD, "payload", "price", value=1), "INVALID_FIELD"), (put(ADD, "payload", "price", value={"mantissa": 1}), "REQUIRED_FIELD"),
+             (put(QUOTE, "payload", "ask", value=None), "REQUIRED_FIELD"), (put(QUOTE, "payload", "bid", "price", value=[]), "INVALID_FIELD"),
+             (put(QUOTE, "payload", "bid", "price", "more", value=1), "INVALID_FIELD"), (put(ADD, "instrument", "more", value={}), "MALFORMED_JSON")]
+    parsed = parse_event_lines(spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "i int, value string"))
+    got = dict(parsed.select("i", "_issue.reason").collect())
+    assert [got[i] for i in range(len(cases))] == [reason for _, reason in cases]
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert "$[0].payload.bid" not in plan and "$[1]" not in plan
+
+
 def test_line_numbers_over_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
     try:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tickloom.functions.common import keep
@@ -47,37 +49,94 @@ PATHS = (
 )
 
 
+# Paths that hold an object in a good event, and so have members of their own.
+OBJECTS = ("", "metadata", "metadata.schemaVersion", "instrument", "payload", "payload.price", "payload.bid",
+           "payload.bid.price", "payload.ask", "payload.ask.price")
+# Those that nearly every event has; the others are asked for only where they are.
+USUAL = OBJECTS[:5]
+
+
+def _members_of(path: str) -> list[str]:
+    start = f"{path}." if path else ""
+    return [p for p in PATHS if p and p.startswith(start) and "." not in p[len(start):]]
+
+
+def _type_of(path: str) -> str:
+    """Type that takes an object apart into nodes, and usual objects in it into theirs."""
+    parts = [f"{p.rpartition('.')[2]}:{_type_of(p) if p in USUAL else 'variant'}" for p in _members_of(path)]
+    return f"struct<{','.join(parts)}>"
+
+
 class _Json:
     """Typed access to one parsed line.
 
     The line is parsed once into a VARIANT; every path is looked up once into a node and a kind
-    column, so the many rules only read columns.
+    column, so the many rules only read columns.  Nodes come from casts to structs, an absent member being a NULL field: a lookup by
+    path leaves by an exception where there is none, which costs more than all else, and most paths are absent.  Of an
+    object only its number of members is taken: its node or schema is a copy of all that lies below it.
     """
 
     def __init__(self, df: DataFrame):
         self.place = {path: i for i, path in enumerate(PATHS)}
-        nodes = {f"__n{i}": F.try_variant_get(F.col(_DOC), f"$[0].{p}" if p else "$[0]", "variant")
-                 for p, i in self.place.items()}
-        # One lambda for all kinds keeps the generated code of this wide stage small.
+        df = df.withColumn("__o0", F.try_variant_get(F.col(_DOC), "$[0]", _type_of("")))
+        for i, path in enumerate(OBJECTS):
+            if path not in USUAL:
+                df = df.withColumn(f"__o{i}", F.try_variant_get(self._member(path), "$", _type_of(path)))
+        members, nodes = {}, {}
+        for path in OBJECTS:
+            # Values of the map are empty structs, so no member is copied or cast.
+            if path in USUAL:
+                at = f"$[0].{path}" if path else "$[0]"
+                there = self._object(path).isNotNull()
+                members[self._count(path)] = F.when(there, self._size(F.col(_DOC), at))
+                parent = self._object(path.rpartition(".")[0]).isNotNull() if path else F.lit(True)
+                nodes[f"__n{self.place[path]}"] = F.when(~there & parent, F.try_variant_get(F.col(_DOC), at, "variant"))
+            else:
+                members[self._count(path)] = self._size(self._member(path), "$")
+        for path, i in self.place.items():
+            if path not in USUAL:
+                nodes[f"__n{i}"] = self._member(path)
+        # One lambda for all kinds keeps the generated code of this wide stage small.  Objects need none.
         kinds = F.transform(
-            F.array(*[F.col(name) for name in nodes]),
+            F.array(*[F.when(F.col(self._count(p)).isNull(), F.col(f"__n{i}")) if p in OBJECTS else F.col(f"__n{i}")
+                      for p, i in self.place.items()]),
             lambda node: F.when(node.isNotNull(), F.substring_index(F.schema_of_variant(node), "<", 1)))
-        self.df = df.withColumns(nodes).withColumn("__kinds", kinds)
+        self.df = df.withColumns({**members, **nodes}).withColumn("__kinds", kinds)
+
+    @staticmethod
+    def _size(node: Column, at: str) -> Column:
+        return F.size(F.map_keys(F.try_variant_get(node, at, "map<string,struct<>>")))
+
+    @staticmethod
+    def _count(path: str) -> str:
+        return f"__m{OBJECTS.index(path)}"
+
+    def _object(self, path: str) -> Column:
+        """The struct of an object's members; NULL for what is no object."""
+        if path in USUAL and path:
+            return self._member(path)
+        return F.col(f"__o{OBJECTS.index(path)}")
+
+    def _member(self, path: str) -> Column:
+        above, _, name = path.rpartition(".")
+        return self._object(above)[name]
 
     @property
     def temporaries(self) -> list[str]:
-        return [f"__n{i}" for i in self.place.values()] + ["__kinds"]
+        return [f"__n{i}" for i in self.place.values()] + [self._count(p) for p in OBJECTS] \
+            + [f"__o{i}" for i, p in enumerate(OBJECTS) if not p or p not in USUAL] + ["__kinds"]
 
     def node(self, path: str) -> Column:
-        """NULL when absent; a JSON null is a variant null."""
+        """Node of a value that is no object; NULL when absent; a JSON null is a variant null."""
         return F.col(f"__n{self.place[path]}")
 
     def kind(self, path: str) -> Column:
         """JSON kind of the node: OBJECT, ARRAY, STRING, BIGINT, VOID (null), ..; NULL when absent."""
-        return F.col("__kinds")[self.place[path]]
+        kind = F.col("__kinds")[self.place[path]]
+        return F.when(F.col(self._count(path)).isNotNull(), F.lit("OBJECT")).otherwise(kind) if path in OBJECTS else kind
 
     def is_object(self, path: str) -> Column:
-        return self.kind(path).eqNullSafe("OBJECT")
+        return F.col(self._count(path)).isNotNull()
 
     def has(self, path: str) -> Column:
         return self.kind(path).isNotNull()
@@ -100,9 +159,9 @@ class _Json:
         return self.kind(path).eqNullSafe("STRING")
 
     def unknown_keys(self, path: str, allowed: tuple[str, ...]) -> Column:
-        members = F.map_keys(F.try_variant_get(self.node(path), "$", "map<string,variant>"))
-        extra = F.array_except(members, F.array(*[F.lit(k) for k in allowed]))
-        return F.coalesce(F.size(extra) > 0, F.lit(False))
+        """An object with more members than it has allowed ones; each of ``allowed`` is one of the paths."""
+        known = [F.when(self.has(f"{path}.{k}" if path else k), 1).otherwise(0) for k in allowed]
+        return F.coalesce(F.col(self._count(path)) > reduce(lambda a, b: a + b, known), F.lit(False))
 
 
 def _price(j: _Json, path: str) -> Column:
@@ -249,7 +308,7 @@ def parse_event_lines(df: DataFrame, column: str = "value") -> DataFrame:
     wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit("]")))
     base = df.withColumn(_DOC, F.when(~is_blank(line), wrapped))
     j = _Json(base)
-    second = F.try_variant_get(F.col(_DOC), "$[1]", "variant")
+    second = F.size(F.try_variant_get(F.col(_DOC), "$", "array<struct<>>")) > 1
     stray = line.contains("]") & F.try_parse_json(
         F.concat(F.lit('{"r":'), line, F.lit("}"))).isNull()
     base = j.df.withColumns(_event_columns(j))
@@ -261,7 +320,7 @@ def parse_event_lines(df: DataFrame, column: str = "value") -> DataFrame:
                        issue(INVALID, "payload.type must be a string"))
     rules = [
         F.when(is_blank(line), issue(EMPTY, "line is empty")),
-        F.when(F.col(_DOC).isNull() | second.isNotNull() | stray | j.node("").isNull(),
+        F.when(F.col(_DOC).isNull() | second | stray | ~j.has(""),
                issue(MALFORMED, "line is not one JSON value")),
         F.when(~j.is_object(""), issue(INVALID, "record must be an object")),
         _binding(j),
