@@ -201,6 +201,23 @@ def test_sequence_stream_equals_batch(spark, tmp_path):
     assert got_integrity(out) == expected_integrity(rows)
 
 
+def test_sources_share_states(spark, tmp_path):
+    """Many sources with few rows, one of them null, in fewer states than sources; each goes on where it was."""
+    schema = "source string, arrival long, sequence long"
+    path, out, mark = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    names = [None, *[f"s{i}" for i in range(49)]]
+    for batch, number in enumerate((1, 2, 4)):
+        rows = [(s, batch * 100 + i, number) for i, s in enumerate(names)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        apply = sequence_integrity_stream(spark.readStream.schema(schema).parquet(path), buckets=4)
+        query = apply.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark) \
+            .trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 4
+    got = spark.read.parquet(out).groupBy("source", "status").agg(F.sum("missing")).collect()
+    assert {tuple(r) for r in got} == {(s, k, m) for s in names for k, m in (("EXPECTED", 0), ("GAP_DETECTED", 1))}
+
+
 def test_order_stream_equals_batch(spark, tmp_path):
     rows = order_rows(22)
     out = stream(spark, tmp_path, rows, ORDER_SCHEMA, lambda s: order_state_stream(s, buckets=3))

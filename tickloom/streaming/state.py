@@ -7,7 +7,6 @@ key's rows of one micro-batch meet in one task; the trigger's batch size bounds
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -23,19 +22,17 @@ from tickloom.schema import MAX_LONG
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def _in_order(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    parts = list(chunks)
-    rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
-    return rows.iloc[np.lexsort([rows[c].to_numpy() for c in reversed(order)])].reset_index(drop=True)
-
-
 def _longs(values: list, present: np.ndarray) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(np.asarray(values, dtype="int64"), ~present)
 
 
 def sequence_integrity_stream(df: DataFrame, source: str = "source", sequence: str = "sequence",
-                              order: str | list[str] = "arrival") -> DataFrame:
-    """``sequence_integrity`` on a stream; the state of a source is its last accepted number."""
+                              order: str | list[str] = "arrival", buckets: int = 1024) -> DataFrame:
+    """``sequence_integrity`` on a stream; the state of a source is its last accepted number.
+
+    Sources may be many with few rows each, so state is kept per bucket of sources (source, last number): one call handles many.
+    More ``buckets`` make smaller states; the number must stay the same for a checkpoint's life.
+    """
     order = [order] if isinstance(order, str) else list(order)
     schema = T.StructType(df.schema.fields + [
         T.StructField("status", T.StringType()), T.StructField("expected", T.LongType()),
@@ -43,26 +40,38 @@ def sequence_integrity_stream(df: DataFrame, source: str = "source", sequence: s
     names = df.columns
 
     def track(key, chunks, state):
-        rows = _in_order(chunks, order)
-        numbers = rows[sequence].to_numpy(dtype="int64")
+        parts = list(chunks)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        group, found = pd.factorize(rows[source], use_na_sentinel=False)
+        found = [None if pd.isna(s) else s for s in found.tolist()]
+        held = dict(zip(*state.get)) if state.exists else {}
         # Numbers are positive, so 0 stands for "nothing accepted yet" and makes 1 the expected one.
-        start = state.get[0] if state.exists else 0
-        last = np.maximum.accumulate(np.concatenate(([start], numpy_int(numbers))))[:-1]
+        # One row per source stands for the state before the batch and comes before its rows.
+        starts = np.array([held.get(s, 0) for s in found], dtype="int64")
+        groups = np.concatenate((np.arange(len(found)), group))
+        real = np.concatenate((np.zeros(len(found), bool), np.ones(len(rows), bool)))
+        keys = [np.concatenate((np.repeat(v[:1], len(found)), v)) for v in (rows[c].to_numpy() for c in reversed(order))]
+        at = np.lexsort((*keys, real, groups))
+        values = np.concatenate((starts, rows[sequence].to_numpy(dtype="int64")))[at]
+        top = pd.Series(values).groupby(groups[at]).cummax().to_numpy()
+        spot = np.flatnonzero(real[at])
+        numbers, last = values[spot], top[spot - 1]
         done = last == MAX_LONG
         expected = np.where(done, 0, last + np.where(done, 0, 1))
         status = np.select(
             [done & (numbers == last), done, numbers == expected, numbers > expected, numbers == last],
             [DUPLICATE, LATE, EXPECTED, GAP, DUPLICATE], LATE)
         missing = np.where(~done & (numbers > expected), numbers - expected, 0)
-        state.update((int(max(start, numbers.max())),))
-        yield rows[names].assign(status=status, expected=_longs(expected, ~done), missing=missing)
-
-    return df.groupBy(source).applyInPandasWithState(
-        track, schema, "last long", "append", GroupStateTimeout.NoTimeout)
-
-
-def numpy_int(values: np.ndarray) -> np.ndarray:
-    return values.astype("int64", copy=False)
+        ends = np.append(np.flatnonzero(np.diff(groups[at])), len(at) - 1)
+        held.update(zip(found, top[ends].tolist()))
+        state.update((list(held), list(held.values())))
+        out = rows[names].iloc[at[spot] - len(found)].reset_index(drop=True)
+        yield out.assign(status=status, expected=_longs(expected, ~done), missing=missing)
+
+    bucketed = df.withColumn("__bucket", F.pmod(F.xxhash64(source), F.lit(buckets)))
+    kind = df.schema[source].dataType.simpleString()
+    return bucketed.groupBy("__bucket").applyInPandasWithState(
+        track, schema, f"sources array<{kind}>, last array<bigint>", "append", GroupStateTimeout.NoTimeout)
 
 
 def order_state_stream(df: DataFrame, source: str = "source", order_id: str = "order_id",
