@@ -214,6 +214,28 @@ def test_validate_events_and_event_json(spark, events):
     assert doc.endswith('"payload":{"bid":{"price":0.5,"quantity":3},"type":"QUOTE"}}') and "receiveTimestamp" not in doc
 
 
+def test_first_failures_are_found_without_sorting_rows(spark, tmp_path, monkeypatch):
+    from tickloom.plans import queries
+    from tickloom.plans.run import first_failures, located_failures
+
+    rows = [(f, b, r, s) for f, states in {"a": "GGBGB", "b": "GGGG", "c": "BGGGB"}.items()
+            for i, s in enumerate(states) for b, r in [(i // 2, 100 - 10 * (i // 2) + i)]]
+    frame = spark.createDataFrame([(f, b, r, None, "", None, None, None, "x" * 9, None, "PARSE_FAILED" if s == "B" else "EMITTED")
+                                   for f, b, r, s in rows], "file_path string, __block long, __row long, source_location string, below string, "
+                                  "stage string, detail string, event string, source_text string, frame binary, state string")
+    assert sorted(map(tuple, first_failures(frame).collect())) == [("a", 1, 92), ("c", 0, 100)]
+    assert sorted(r.position for r in located_failures(frame, stop=True).collect()) == [92, 100]
+    assert "SortAggregate" not in first_failures(frame)._jdf.queryExecution().executedPlan().toString()
+    # Both runs of the query go over the same files.
+    made = []
+    spark.range(50).selectExpr("id AS event_id", "id % 3 AS user_id", "timestamp'2024-01-01' AS ts", "'view' AS event_type", "1.5D AS value") \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    plain = queries.event_files
+    monkeypatch.setattr(queries, "event_files", lambda *a: made.append(plain(*a)) or made[-1])
+    report = dict(queries.run_fail_fast(spark, str(tmp_path)).collect())
+    assert len(made) == 1 and report["outcome"] == "FAILED" and report["received"] == "6" and report["failed"] == "5"
+
+
 def test_fail_fast_letters_fail_the_job(spark):
     df = spark.createDataFrame([("f", "a:line 1", "m")], "failureId string, sourceLocation string, safeMessage string")
     assert quarantine([df, df]).count() == 2 and quarantine([df], "SKIP").count() == 0

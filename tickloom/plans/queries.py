@@ -1084,10 +1084,10 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- whole runs -------------------------------------------------------------------------------
 
 def feed_run(spark: SparkSession, sf_dir: str, output: str, policy: str, letters: str | None = None,
-             kind: Kind = renamed, max_bytes: int = 40) -> Report:
-    """One run over the event files: rows above a quantity are emitted."""
+             kind: Kind = renamed, max_bytes: int = 40, files: str | None = None) -> Report:
+    """One run over the event files, those in ``files`` if given: rows above a quantity are emitted."""
     config = DeadLetterConfig(policy, include_payload=True, max_bytes=max_bytes)
-    return run(read_jsonl_input(spark, f"{event_files(spark, sf_dir)}/file=*"), output, FEED_RULES, config=config,
+    return run(read_jsonl_input(spark, f"{files or event_files(spark, sf_dir)}/file=*"), output, FEED_RULES, config=config,
                dead_letter_path=letters, kind=kind, pipeline_id="feed", pipeline_version="2")
 
 
@@ -1124,9 +1124,9 @@ def run_skip(spark: SparkSession, sf_dir: str) -> DataFrame:
 c AS (SELECT * FROM w WHERE stop IS NULL OR event_id <= stop) """ + s_report("c", "FAILED", published=S_EMITTED, versions="1"))
 def run_fail_fast(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run that ends at the first failure of each file, over the output of an earlier run, which stays current."""
-    out = V.scratch(spark, "run-out")
-    feed_run(spark, sf_dir, out, SKIP, kind=versioned)
-    report = feed_run(spark, sf_dir, out, FAIL_FAST, kind=versioned)
+    out, files = V.scratch(spark, "run-out"), event_files(spark, sf_dir)
+    feed_run(spark, sf_dir, out, SKIP, kind=versioned, files=files)
+    report = feed_run(spark, sf_dir, out, FAIL_FAST, kind=versioned, files=files)
     return report_rows(spark, report, published=spark.read.text(current_path(spark, out)).count(), versions=len(versions(spark, out)))
 
 

@@ -10,13 +10,14 @@ from dataclasses import dataclass, field
 
 from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, Window, functions as F
 
 from tickloom.functions.common import keep
 from tickloom.functions.text import redact_message
 from tickloom.operators.blueprint import BLUEPRINT_FAILURE, render_blueprint
 from tickloom.operators.deadletter import DeadLetterConfig, FAIL_FAST, SKIP, dead_letters, quarantine
 from tickloom.operators.report import COUNTERS, run_counters, sequence_counters
+from tickloom.operators.scan import matched
 from tickloom.operators.sequence import sequence_integrity
 from tickloom.operators.transform import FAILED, FAILURE, FILTERED, STATUS, apply_transformation
 from tickloom.operators.validate import normalized
@@ -27,7 +28,7 @@ from tickloom.sources.capture import split_capture
 from tickloom.sources.csv import CsvConfig, read_trades_csv
 from tickloom.sources.frames import UNSUPPORTED, decode_columns, normalize_frames
 from tickloom.sources.jsonl import CONTINUE, FAIL_FAST as STOP, read_canonical_jsonl, read_jsonl_states
-from tickloom.sources.lines import BLOCK, FILE, ROW, line_offsets
+from tickloom.sources.lines import BLOCK, FILE, ROW, block_bound, line_offsets, maybe_broadcast
 
 
 @dataclass(frozen=True)
@@ -174,19 +175,32 @@ def classified(inputs: Inputs, rules: dict | list | None = None, blueprint: dict
     return good.unionByName(bad.select(*STATE_PLACE, "state", "written"))
 
 
-def located_failures(rows: DataFrame, stop: bool = False, unit: str | None = None) -> DataFrame:
+def first_failures(rows: DataFrame) -> DataFrame:
+    """(file, block, scan position) of the first failed row of each file.
+
+    Numbers alone are aggregated, by file and block, so no failed row is sorted or moved for it.
+    """
+    blocks = rows.filter(F.col("state").isin(*BAD)).groupBy(FILE, BLOCK).agg(F.min(ROW).alias(ROW))
+    return (blocks.withColumn("__least", F.min(BLOCK).over(Window.partitionBy(FILE)))
+            .filter(F.col(BLOCK) == F.col("__least")).drop("__least"))
+
+
+def located_failures(rows: DataFrame, stop: bool = False, unit: str | None = None, blocks: int | None = None) -> DataFrame:
     """Failed rows of a written ``classified`` table with their positions and locations.
 
     ``stop`` keeps the first of each file.  With a ``unit``, positions are line numbers, composed from one small
-    summary per block; that reads three narrow columns of the whole table.
+    summary per block; that reads three narrow columns of the whole table.  ``blocks`` is a bound of their number, if known.
     """
     bad = rows.filter(F.col("state").isin(*BAD))
     if stop:
+        # One row per file, whose paths the driver lists anyway, so failed rows stay where they are.
+        bad = matched(bad, first_failures(rows), [FILE, BLOCK, ROW], "left_semi")
         others = F.struct(*[c for c in bad.columns if c != FILE]).alias("row")
         bad = bad.groupBy(FILE).agg(F.min_by(others, F.struct(BLOCK, ROW)).alias("row")).select(FILE, "row.*")
     bad = bad.withColumn("position", F.col(ROW))
     if unit is not None:
-        bad = bad.join(line_offsets(rows.select(FILE, BLOCK, ROW)), [FILE, BLOCK]) \
+        offsets = line_offsets(rows.select(FILE, BLOCK, ROW))
+        bad = bad.join(offsets if blocks is None else maybe_broadcast(offsets, blocks), [FILE, BLOCK]) \
             .withColumn("position", F.col(ROW) + F.col("__offset")) \
             .withColumn("source_location", F.concat(FILE, F.lit(f":{unit} "), F.col("position").cast("string")))
     return bad.select(FILE, "position", F.concat("source_location", F.coalesce("below", F.lit(""))).alias("source_location"),
@@ -196,8 +210,8 @@ def located_failures(rows: DataFrame, stop: bool = False, unit: str | None = Non
 def counted(rows: DataFrame, stop: bool = False) -> dict[str, int]:
     """The six counters of a written ``classified`` table; with ``stop``, of each file up to its first failure."""
     if stop:
-        first = rows.filter(F.col("state").isin(*BAD)).groupBy(FILE).agg(F.min(F.struct(BLOCK, ROW)).alias("__stop"))
-        rows = rows.select(FILE, BLOCK, ROW, "state").join(first, FILE, "left").filter(
+        first = first_failures(rows).select(FILE, F.struct(BLOCK, ROW).alias("__stop"))
+        rows = rows.select(FILE, BLOCK, ROW, "state").join(F.broadcast(first), FILE, "left").filter(
             F.col("__stop").isNull() | (F.struct(BLOCK, ROW) <= F.col("__stop")))
     return run_counters(rows.select("state")).first().asDict()
 
@@ -243,7 +257,8 @@ def _finish(states: DataFrame, inputs: Inputs, output: str, csv: list[tuple[str,
     spark = states.sparkSession
     stop = config is not None and config.policy == FAIL_FAST
     numbers = counted(states, stop)
-    failures = located_failures(states, stop, "line" if inputs.parsed is not None else None)
+    lines = inputs.parsed is not None
+    failures = located_failures(states, stop, "line" if lines else None, block_bound(inputs.parsed) if lines else None)
     broken: list[Row] = []
     if not (stop and numbers["failed"]):
         good = states.filter(F.col("state") == "EMITTED")
