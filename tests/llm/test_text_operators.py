@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -29,6 +30,21 @@ def test_pieces_equal_the_library(kind, path, of):
     assert kind(path).of(texts) == [of(e) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_kept_pieces_stay_small():
+    rng, letters = random.Random(3), "abcdefghijklmnoprstuvé"
+    words = ["".join(rng.choices(letters, k=rng.randint(5, 12))) + rng.choice(["", "", ",", ".)"]) for _ in range(600_000)]
+    words += ["".join(rng.choices(letters, k=2000)) + "!" * 100 for _ in range(300)]
+    table, most = tokens.PieceIds(WORDS), 0
+    for at in range(0, len(words), 50_000):
+        table.of([" ".join(words[at:at + 50_000])])
+        most = max(most, sum(sys.getsizeof(kept) + sum(sys.getsizeof(k) + sys.getsizeof(v) for k, v in kept.items())
+                             for kept in (table, table.signs)))
+    assert most < 64 << 20
+    library = Tokenizer.from_file(WORDS)
+    texts = [" ".join(words[:40]), " ".join(words[-3:]), " ".join(words[-310:-290])]
+    assert table.of(texts) == [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts_through_the_cache(spark, docs, monkeypatch):
     rows = [(1, "one two"), (2, None), (3, "one two"), (3, "one two"), (None, "x"), (4, "long " * 600)]
     path = new_path(spark, "cache")
@@ -59,6 +75,21 @@ def test_hot_content_is_not_shuffled(spark, docs, monkeypatch):
     assert sorted(map(tuple, got.collect())) == sorted((i, len(t), len(library.encode(t).ids), False) for i, t in rows)
 
 
+def test_texts_are_tokenized_in_portions(spark, docs, monkeypatch):
+    rows = [(i, f"word{i} " * 40) for i in range(60)] + [(60, None), (61, ""), (None, "x " * 900)]
+    whole, seen = packing.portions, []
+    monkeypatch.setattr(packing, "portions", lambda b: (seen.append(len(p)) or p for p in whole(b, 1, 1000)))
+    frames = []
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, schema: frames.append((f, self.toArrow())) or self)
+    packing.tokenized(docs(rows), WORDS)
+    encode, table = frames[0]
+    out = [b for b in encode(iter(table.combine_chunks().to_batches()))]
+    library = Tokenizer.from_file(WORDS)
+    want = [(i, np.array([*library.encode(t or "", add_special_tokens=False).ids, packing.END], "<u2").tobytes()) for i, t in rows]
+    got = [(r["doc_id"], r["ids"]) for b in out for r in b.to_pylist()]
+    assert sorted(got, key=str) == sorted(want, key=str) and max(seen) < 5 and len(out) == len(seen)
+
+
 def test_packing_keeps_every_id_once(spark, docs):
     rng = random.Random(2)
     rows = [(i, " ".join(rng.choice(["alpha", "beta,", "42"]) for _ in range(rng.randrange(900)))) for i in range(60)]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.llm.registry import query, table
 from tickloom.llm.shared import saved
 from tickloom.llm.tokens import piece_ids
+from tickloom.llm.wordhash import portions
 
 CAPACITY = 4096
 END = 2  # closes every document
@@ -33,11 +34,12 @@ def tokenized(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str =
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_ids(tokenizer)
-        for batch in batches:
+        for batch in (p for b in batches for p in portions(b)):
             ids = [i + end for i in table.of(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())],
                 names=["doc_id", "n_tokens", "ids"])
+        pa.default_memory_pool().release_unused()  # a worker outlives its task
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
     return rows.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")

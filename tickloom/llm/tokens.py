@@ -11,6 +11,7 @@ import hashlib
 import json
 import os
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -20,12 +21,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tickloom.llm.registry import query, table
 from tickloom.llm.shared import new_path, saved
 
-PIECES = 1_200_000  # tokens of so many pieces are kept by a worker; then it starts anew
+PIECES = 300_000  # tokens of so many pieces are kept by a worker, some 45 MB; then it starts anew
+LONGEST = 64  # characters of a piece that is kept; longer ones hardly come again
 _CUT = re.compile(r"(?<=\S)(?= )")  # no token holds a space behind a visible character
 _WIDE = re.compile(r"\s ")
 # A run of signs behind a letter is a token run of its own, so "word" and "word," share one encoding.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_TAIL = r"(.*[A-Za-z])([!-/:-@\[-`{-~]+)"
 
 
 @functools.lru_cache(maxsize=4)
@@ -83,27 +84,29 @@ class Pieces(dict):
     """What the library gives for a piece (with ``before`` put before it), learned when first asked for."""
 
     special = "<|"  # how the tokenizers' own strings begin
-    tail = re.compile(_TAIL, re.DOTALL)
+    punctuation = string.punctuation
 
     def __init__(self, path: str, before: str = ""):
         super().__init__()
         self.before, self.merge, self.whole, self.signs = before, merger(path), load(path), {}
 
     def __missing__(self, piece):
-        found = None if self.special in piece else self.tail.fullmatch(piece)
-        if found:
-            value = self[found[1]] + self.sign(found[2])
+        word = piece.rstrip(self.punctuation)
+        last = word[-1:]
+        if len(word) < len(piece) and last.isalpha() and last.isascii() and self.special not in piece:
+            value = self[word] + self.sign(piece[len(word):])
         else:
             value = self.value(self.ids(piece))
-        if len(self) >= PIECES:
-            self.clear()
-        self[piece] = value
+        if len(piece) <= LONGEST:
+            if len(self) >= PIECES:
+                self.clear()
+            self[piece] = value
         return value
 
     def ids(self, piece) -> list[int]:
         """Runs of plain letters by the merge loop, anything else by the library itself."""
         text = piece if isinstance(piece, str) else piece.decode()
-        if _LETTERS.fullmatch(text):
+        if (text.isalpha() and text.isascii()) or _LETTERS.fullmatch(text):
             return self.merge(self.before + self.folded(text))
         return self.whole.encode(self.before + text, add_special_tokens=False).ids
 
@@ -112,12 +115,15 @@ class Pieces(dict):
         return text
 
     def sign(self, signs):
-        if signs not in self.signs:
+        value = self.signs.get(signs)
+        if value is None:
             text = signs if isinstance(signs, str) else signs.decode()
-            if len(self.signs) >= PIECES:
-                self.signs.clear()
-            self.signs[signs] = self.value(self.whole.encode(text, add_special_tokens=False).ids)
-        return self.signs[signs]
+            value = self.value(self.whole.encode(text, add_special_tokens=False).ids)
+            if len(signs) <= LONGEST:
+                if len(self.signs) >= PIECES:
+                    self.signs.clear()
+                self.signs[signs] = value
+        return value
 
 
 class PieceCounts(Pieces):
@@ -149,7 +155,7 @@ class PieceIds(Pieces):
     """Ids as little-endian 16-bit numbers, for tokenizers that drop white space and case.  Keys are UTF-8."""
 
     special = b"<|"
-    tail = re.compile(_TAIL.encode(), re.DOTALL)
+    punctuation = string.punctuation.encode()
     folded = staticmethod(str.lower)
 
     @staticmethod
