@@ -1,5 +1,6 @@
 """Near duplicates, decontamination, fingerprints, personal data, classifiers, pipeline."""
 
+import collections
 import hashlib
 import random
 import re
@@ -75,6 +76,37 @@ def test_near_duplicates_against_brute_force(docs, width, similarity):
     assert all(r.n_shingles == sizes[i] for i, r in named.items())
 
 
+@pytest.mark.parametrize("similarity", [80, 85])
+def test_differences_from_a_hub_are_placed_only_as_far_as_links_need(spark, similarity):
+    rng = random.Random(41)
+    fresh = iter(range(1000, 10**9))
+    hub = set(range(300))
+    changed = lambda base, n: base - set(rng.sample(sorted(base), n)) | {next(fresh) for _ in range(n)}
+    texts = []
+    for _ in range(12):  # families far from the hub, members from alike to just not linked
+        head = changed(hub, rng.randrange(20, 90))
+        texts += [head] + [changed(head, rng.randrange(0, 45)) for _ in range(6)]
+    copies = [changed(hub, 8) for _ in range(10)]
+    copies = [c for c in copies for _ in range(5)]  # linked with the hub, with edits only they have, five times each
+    alike = lambda x, y, percent: 100 * len(x & y) >= percent * len(x | y)
+    sets = dict(enumerate([x for x in texts if alike(x, hub, near_dedup.NEAR)] + copies))
+    linked = {i for i, x in sets.items() if alike(x, hub, similarity)}
+    rows = [(i, -1, i in linked, sorted(x ^ hub), len(x & hub), len(x), len(hub)) for i, x in sets.items()]
+    near = spark.createDataFrame(rows, "a long, b long, linked boolean, diff array<long>, common long, na long, nb long")
+    want = {(i, j) for i in sets for j in sets if i < j and not {i, j} <= linked and alike(sets[i], sets[j], similarity)}
+    got = {tuple(sorted(r)) for r in near_dedup.third_pairs(near, similarity).collect()}
+    assert len(want) > 30 and want <= got and not any({i, j} <= linked for i, j in got)
+    places = collections.Counter(r.rep for r in near_dedup.rarest_differences(near, similarity).collect())
+    holders = collections.Counter(z for x in sets.values() for z in x ^ hub)
+    shared = {i: sum(holders[z] > 1 for z in x ^ hub) for i, x in sets.items()}
+    wanted = {z for i, x in sets.items() if i not in linked for z in x ^ hub}
+    assert all(places[i] <= len((x ^ hub) & wanted) for i, x in sets.items())
+    far = [i for i in sets if i not in linked]
+    assert sum(places[i] for i in far) < 0.7 * sum(shared[i] for i in far)
+    ours = [i for i in sets if i >= len(sets) - len(copies)]
+    assert set(ours) <= linked and 2 * sum(places[i] for i in ours) <= sum(shared[i] for i in ours)
+
+
 def test_near_duplicates_of_nothing(docs):
     assert near_dedup.near_duplicates(docs([])).count() == 0
     kept = near_dedup.without_near_duplicates(docs([(2, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (None, "a b c d e f")]))

@@ -169,17 +169,11 @@ def third_pairs(near: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) of texts near one hub, not both linked with it, among which are all that are linked.
 
     Two texts share what both share with the hub, and o shingles of their differences from it, so their similarity says how
-    large o must be.  The differences of each text are put in order, the rarest first.  If a shingle is the first
-    that two texts share, o is at most what is left in either list from there; pairs that cannot reach the o they need
-    are dropped in the join, so what only sets the hub apart pairs nothing.
+    large o must be.  If a shingle is the first that two texts share, o is at most what is left in either list of
+    differences from there; pairs that cannot reach the o they need are dropped in the join, so what only sets the hub
+    apart pairs nothing.
     """
-    parts = near.select(F.col("a").alias("rep"), F.col("b").alias("to"), "linked", "common", "na", "nb",
-                        F.explode("diff").alias("shingle"))
-    held = parts.groupBy("to", "shingle").agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
-    lists = (parts.join(held, ["to", "shingle"]).groupBy("rep", "to", "linked", "common", "na", "nb")
-             .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own")))  # one text's own shingles
-    placed = lists.select("rep", "to", "linked", "common", "na", "nb", F.size("own").alias("size"),
-                          F.posexplode("own").alias("place", "x")).withColumn("shingle", F.col("x.shingle")).drop("x")
+    placed = saved(rarest_differences(near, similarity), "near-placed")  # read by both sides, worked out once
     x, y = placed.filter("not linked").alias("x"), placed.alias("y")
     bound = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
     need = (similarity * (F.col("x.na") + F.col("y.na"))
@@ -190,6 +184,36 @@ def third_pairs(near: DataFrame, similarity: int) -> DataFrame:
             .select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
 
 
+def rarest_differences(near: DataFrame, similarity: int) -> DataFrame:
+    """Per text and hub (rep, to), the places of its rarest differences from the hub among which any partner shares one.
+
+    Only differences that a text not linked with the hub has, and another text too, can count; ``size`` of them are put
+    in order, the rarest first.  A linked partner shares at least ``least`` of them, so one of the first size - least + 1:
+
+    * one, and as many as the text lacks to be linked with the hub, since no partner is closer to the hub than the hub;
+    * all but (100 - similarity) / similarity of its shingles, since what one of two linked texts alone differs by from
+      the hub sets the two apart.
+
+    A text with fewer than ``least`` has no partner here.
+    """
+    parts = near.select(F.col("a").alias("rep"), F.col("b").alias("to"), "linked", "common", "na", "nb",
+                        F.explode("diff").alias("shingle"))
+    held = (parts.groupBy("to", "shingle").agg(F.count(F.lit(1)).alias("held"), F.min("linked").alias("settled"))
+            .filter("held > 1 and not settled").drop("settled"))
+    keys = ["rep", "to", "linked", "common", "na", "nb"]
+    lists = (parts.join(held, ["to", "shingle"]).groupBy(*keys)
+             .agg(F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("own")))  # one text's own shingles
+    lacks = F.ceil((similarity * (F.col("na") + F.col("nb")) - (100 + similarity) * F.col("common")) / (100 + similarity))
+    differs = F.col("na") + F.col("nb") - 2 * F.col("common")
+    lists = (lists.withColumn("size", F.size("own"))
+             .withColumn("least", F.greatest(F.lit(1), lacks, differs - F.floor(
+                 (100 - similarity) * F.col("na") / max(similarity, 1))).cast("int"))
+             .filter("size >= least"))
+    return (lists.select(*keys, "size", F.posexplode(F.slice("own", F.lit(1), F.col("size") - F.col("least") + 1))
+                         .alias("place", "x"))
+            .withColumn("shingle", F.col("x.shingle")).drop("x"))
+
+
 def rare_pairs(sets: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b) among which are all that reach ``similarity`` percent (prefix filter).
 
