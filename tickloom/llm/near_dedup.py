@@ -151,13 +151,17 @@ def links(classes: DataFrame, docs: DataFrame, width: int, similarity: int, name
         pairs = pairwise.union(to_hub).groupBy("a", "b").agg(F.max("hub").alias("hub"))
         compared = saved(verified(pairs, sets, similarity, far=True), f"{name}-compared")
         found.append(compared.filter("linked").select("a", "b"))
-        third = saved(third_pairs(compared.filter("hub and diff is not null"), similarity), f"{name}-thirds")
+        met, held = compared.filter("hub").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("close").cast("int")), F.lit(0))).first()
+        last = held <= WORTH * met
+        near = compared.filter("hub and diff is not null")
+        if last:  # where a hub settles no text, all of them are left, and rare_pairs finds their links
+            near = near.join(near.filter("close").select("b").distinct(), "b", "left_semi")
+        third = saved(third_pairs(near, similarity), f"{name}-thirds")
         found.append(saved(verified(third, sets, similarity).filter("linked").select("a", "b"), f"{name}-third"))
         done = compared.filter("close").select(F.col("a").alias("rep"), F.col("b").alias("to"))
         rest = saved(many.filter("rep <> to").join(done, ["rep", "to"], "left_anti")
                      .select("rep", "bucket", "n", "score"), f"{name}-rest")
-        met, held = compared.filter("hub").agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("close").cast("int")), F.lit(0))).first()
-        if held <= WORTH * met:
+        if last:
             break
     alone = sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
     found.append(saved(verified(rare_pairs(alone, similarity), sets, similarity).filter("linked").select("a", "b"),
